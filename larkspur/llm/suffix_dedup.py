@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.workspace import written
 
 GRAM = 32
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 PAD = b"\xff" * 8  # no UTF-8 text holds this byte; a segment's last suffix is then smaller than its successor
 WORDS = 8
@@ -348,7 +348,7 @@ def _sorter(length: int, batch_bytes: int):
     return run
 
 
-def repeated_runs(keyed: DataFrame, length: int = 200, group_segments: int = 20_000, batch_bytes: int = 2 << 20) -> DataFrame:
+def repeated_runs(keyed: DataFrame, length: int = 200, group_segments: int = 2_000, batch_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, text_hash, runs``: sorted runs of repeated starts per text.
 
     ``keyed`` has ``doc_id long, text_hash long, content binary``.
