@@ -67,9 +67,9 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = N
         given = docs.sparkSession.createDataFrame(rows, "name string, weight double")
         weighted = counts.join(given, counts["source"].cast("string").eqNullSafe(given["name"]), "left").drop("name")
         weighted = weighted.fillna(0.0, ["weight"])
-    sums = weighted.agg(F.sum("n_rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
-    share = F.col("weight") / (F.col("all_weight") if weights is None else F.lit(1.0))
-    rated = weighted.crossJoin(F.broadcast(sums)).withColumn("rate", share * F.col("all_rows") / F.col("n_rows"))
+    sums = weighted.agg(F.sum("n_rows").alias("n"), F.sum("weight").alias("weight")).first()
+    all_weight = F.lit(sums["weight"] if weights is None else 1.0)
+    rated = weighted.withColumn("rate", F.col("weight") / all_weight * F.lit(sums["n"]).cast("double") / F.col("n_rows"))
     return rated.select("source", "n_rows", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
 
 
