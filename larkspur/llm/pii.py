@@ -104,7 +104,7 @@ def base_spans(text: str | None) -> list[Span]:
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 #: What a stretch begins at, and how it goes on: with words that hold a digit, an at-sign or a bracket.
 TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]")
-STRETCH = re.compile(r"\S+(?:[ \t]?[\[(]\s?(?:at|dot)\s?[\])][ \t]?\S+)*(?:[ \t]\S*[0-9@(]\S*)*")
+STRETCH = re.compile(r"(?:(?:@|[\[(]\s?at\s?[\])])[ \t]?)?\S+(?:[ \t]?[\[(]\s?(?:at|dot)\s?[\])][ \t]?\S+)*(?:[ \t]\S*[0-9@(]\S*)*")
 LOOK_BACK = 256
 AT = re.compile(r"@|[\[(]\s?at\s?[\])]")
 AT_WORD = re.compile(r"[\[(]\s?(?:at|dot)\s?[\])]")
@@ -167,11 +167,27 @@ def span_features(text: str, start: int, end: int, kind: str, cues: frozenset[st
     return [f"{kind}|{f}" for f in out]
 
 
+def _spoken_emails(text: str) -> Iterator[re.Match]:
+    """Leftmost matches, found from their at-signs, so that long words cost linear time."""
+    end = 0
+    for sign in AT.finditer(text):
+        if sign.start() < end:
+            continue
+        before = text[end : sign.start()]
+        local = before[:-1] if before[-1:].isspace() else before
+        start = end + len(local.rstrip(LOCAL))
+        end = sign.end()
+        found = SPOKEN_EMAIL.match(text, start) if local[-1:] in LOCAL else None
+        if found:
+            yield found
+            end = found.end()
+
+
 def candidates(text: str, cuts: list[int], cues: frozenset[str]) -> list[Segment]:
     """Spans between token cuts that could be an entity, at most MAX_TOKENS long."""
     place = {c: i for i, c in enumerate(cuts)}
     out: list[Segment] = []
-    for m in SPOKEN_EMAIL.finditer(text):
+    for m in _spoken_emails(text):
         if m.start() in place and m.end() in place and place[m.end()] - place[m.start()] <= MAX_TOKENS:
             out.append(Segment(place[m.start()], place[m.end()], "email", span_features(text, m.start(), m.end(), "email", cues)))
     for m in NUMERIC.finditer(text):
@@ -194,7 +210,7 @@ def candidates(text: str, cuts: list[int], cues: frozenset[str]) -> list[Segment
                     kinds.append("ip")
                 if n >= 12 and span[0].isdigit() and re.fullmatch(r"[0-9](?:[ -]?[0-9])+", span):
                     kinds.append("card")
-                if 7 <= n <= 15 and re.fullmatch(r"\+?[0-9]*(?:[ .-]?\(?[0-9]+\)?)+", span):
+                if 7 <= n <= 15 and re.fullmatch(r"\+?(?:[ .-]?\(?[0-9]++\)?)++", span):
                     kinds.append("phone")
                 out.extend(Segment(place[a], place[b], k, span_features(text, a, b, k, cues)) for k in kinds)
     return out
