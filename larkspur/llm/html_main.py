@@ -21,7 +21,6 @@ pieces, and its length isn't limited.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -60,6 +59,7 @@ class BlockReader(HTMLParser):
         self.lines: list[Line] = []
         self.parents = [-1]  # of each section; section 0 is the page
         self.kinds = ["page"]
+        self.marked = [False]  # whether a section is a content section or lies in one
         self.open: list[tuple[str, int]] = []  # element and the section around it
         self.section = 0
         self.skipped = ""  # the element that is being skipped
@@ -70,7 +70,7 @@ class BlockReader(HTMLParser):
         if tag in DROPPED:
             return True
         if tag == "header":
-            return not any(self.kinds[s] == "content" for s in self._around())
+            return not self.marked[self.section]
         if tag in ("body", "html", "article", "main"):
             wanted = ("class", "id") if tag == "article" else ()
         else:
@@ -83,12 +83,6 @@ class BlockReader(HTMLParser):
         words = [w for k in wanted for w in given.get(k, "").lower().split()]
         return any(w in NOISE or NOISE_PREFIX.match(w) for w in words)
 
-    def _around(self) -> Iterator[int]:
-        at = self.section
-        while at >= 0:
-            yield at
-            at = self.parents[at]
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipped:
             self.depth += tag == self.skipped
@@ -106,6 +100,7 @@ class BlockReader(HTMLParser):
                 self.open.append((tag, self.section))
             if tag in SECTIONS or content:
                 self.parents.append(self.section)
+                self.marked.append(content or self.marked[self.section])
                 self.kinds.append("content" if content else tag)
                 self.section = len(self.parents) - 1
         elif self.line is not None:
@@ -169,11 +164,8 @@ def content_section(reader: BlockReader, lengths: list[int], cover: float = 0.8)
     for s in range(len(held) - 1, 0, -1):
         held[reader.parents[s]] += held[s]
     best, most = 0, 0.0
-    for s, kind in enumerate(reader.kinds):
-        inside, at = False, reader.parents[s]
-        while at >= 0 and not inside:
-            inside, at = reader.kinds[at] == "content", reader.parents[at]
-        if kind == "content" and not inside and held[s] > most:
+    for s, kind in enumerate(reader.kinds[1:], 1):
+        if kind == "content" and not reader.marked[reader.parents[s]] and held[s] > most:
             best, most = s, held[s]
     if best:
         return best
