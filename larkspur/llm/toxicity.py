@@ -1,7 +1,7 @@
 """Toxicity scores from weak supervision.
 
-Voters.  Words and word beginnings that mark toxic rows of the training folds
-are mined with smoothed log-odds; they are dealt to lexicon voters by strength,
+Voters.  Words, word beginnings, and beginnings that are frequent within a text
+and that mark toxic rows of the training folds are mined with smoothed log-odds; they are dealt to lexicon voters by strength,
 and pattern voters look at how often, how densely and how closely together they
 occur.  A small fixed lexicon votes too, so that there is a model without labels.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,6 +46,10 @@ SEED_LEXICON = frozenset(
     "basura estúpido gilipollas idiota imbécil inútil asqueroso".split()
 )
 PREFIXES = (4, 5, 6)
+#: Beginnings that count only where they are frequent in a text: in at least
+#: DENSE_WORDS of its words, and in one in 100.
+DENSE_PREFIXES = (3, 4, 5)
+DENSE_WORDS, DENSE_SHARE = 3, 0.01
 LEXICONS = 8
 #: Pattern voters follow the lexicon voters: any seed word, at least 2 marked
 #: words, at least 4, one in 100 words, one in 30 words, two within 8 words.
@@ -59,6 +64,10 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 != 1
 
 
+def is_dense(n: int, n_words: int) -> bool:
+    return n >= DENSE_WORDS and n >= DENSE_SHARE * n_words
+
+
 class Features(NamedTuple):
     terms: list[int]
     numbers: list[float]
@@ -68,23 +77,26 @@ class Features(NamedTuple):
 class Lexicon:
     """Mined terms, and what a text shows of them.
 
-    A term is a whole word or, with a final ``*``, the beginning of one.
+    A term is a whole word or, with a final ``*``, the beginning of one, or with
+    a final ``#`` a beginning that is frequent in the text.
     """
 
     def __init__(self, terms: list[tuple[str, float]]) -> None:
         self.index = {t: i for i, (t, _) in enumerate(terms)}
         self.size = len(terms)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
-    def terms_of(self, word: str) -> tuple[int, ...]:
+    def terms_of(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The word's terms, and those that need more such words."""
         found = self.memo.get(word)
         if found is None:
             get = self.index.get
             keys = [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
-            found = tuple(i for k in keys if (i := get(k)) is not None)
+            dense = [word[:n] + "#" for n in DENSE_PREFIXES if len(word) >= n]
+            found = tuple(i for k in keys if (i := get(k)) is not None), tuple(i for k in dense if (i := get(k)) is not None)
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             self.memo[word] = found
@@ -95,9 +107,16 @@ class Lexicon:
 
     def features(self, text: str | None) -> Features:
         words = WORD.findall((text or "").lower())
-        distinct = set(words)
-        marks = {w: t for w in distinct if (t := self.terms_of(w))}
-        seeds = distinct & SEED_LEXICON
+        counts = Counter(words)
+        shown = {w: f for w in counts if any(f := self.terms_of(w))}
+        often: Counter[int] = Counter()
+        for w, (_, dense) in shown.items():
+            for d in dense:
+                often[d] += counts[w]
+        frequent = {d for d, n in often.items() if is_dense(n, len(words))}
+        marks = {w: {*single, *frequent.intersection(dense)} for w, (single, dense) in shown.items()}
+        marks = {w: found for w, found in marks.items() if found}
+        seeds = counts.keys() & SEED_LEXICON
         if not marks and not seeds:
             return Features([], [0.0] * 5, 0)
         marked = marks.keys() | seeds
@@ -197,8 +216,11 @@ def _logistic(rows: list[Features], target: np.ndarray, size: int, rounds: int =
 
 
 def _mine(text: str | None) -> set[str]:
-    words = set(WORD.findall((text or "").lower()))
-    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
+    every = WORD.findall((text or "").lower())
+    words = set(every)
+    begun = Counter(w[:n] for w in every for n in DENSE_PREFIXES if len(w) >= n)
+    dense = {p + "#" for p, n in begun.items() if is_dense(n, len(every))}
+    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n} | dense
 
 
 def mined_terms(sample: DataFrame, n_terms: int, min_docs: int) -> list[tuple[str, float]]:

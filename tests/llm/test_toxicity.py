@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import toxicity
 from larkspur.llm.queries import op1_toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_held_out_rows_are_told_apart(spark):
@@ -13,8 +13,8 @@ def test_held_out_rows_are_told_apart(spark):
     assert len(bad) > 3 and len(good) > 50
     above = sum((b["score"] > g["score"]) + 0.5 * (b["score"] == g["score"]) for b in bad for g in good)
     assert above / (len(bad) * len(good)) >= 0.9
-    assert sum(r["predicted"] for r in bad) >= 0.7 * len(bad)
-    assert sum(r["predicted"] for r in good) <= 0.05 * len(good)
+    assert sum(r["predicted"] for r in bad) >= 0.8 * len(bad)
+    assert sum(r["predicted"] for r in good) <= 0.01 * len(good)
 
 
 def test_labels_of_the_held_out_fold_change_nothing(spark):
