@@ -7,7 +7,7 @@ again as the next one's ``docs``.  All but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, line_dedup, mixing, simhash, toxicity
@@ -17,17 +17,28 @@ from larkspur.llm.workspace import scratch_path
 REJECT_AT = 0.7
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id, text, and the columns but the text as one, whose names then can't clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*others).alias("__row"))
+
+
+def _unpacked(packed: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    same = {"text": F.col("text")} | changed
+    return packed.select(*[same.get(c, F.col("__row").getField(c)).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below the threshold."""
     labels = toxicity.read_labels(spark, f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).where(F.col("toxicity") < REJECT_AT).select(*docs.columns)
+    return _unpacked(toxicity.score(_packed(docs), model).where(F.col("toxicity") < REJECT_AT), docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that at least 10 of them share."""
-    out = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = line_dedup.dedup_lines(_packed(docs), min_docs=10, min_chars=1)
+    return _unpacked(out, docs.columns, n_chars=F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +46,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.near_duplicates(docs.select("doc_id", "text"), radius=3, size=3)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first"))
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.find_contamination(docs, benchmark, width=10).where(~F.col("contaminated")).select(*docs.columns)
+    return _unpacked(decontaminate.find_contamination(_packed(docs), benchmark, width=10).where(~F.col("contaminated")), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
