@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected_components
-from larkspur.llm.workspace import written
+from larkspur.llm.workspace import key128, written
 
 TILE = 1024
 HASHES_AT_ONCE = 1 << 17
@@ -66,14 +66,14 @@ def fingerprint(text: str | None, size: int) -> int:
     return int.from_bytes(np.packbits(ones * 16 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row as a signed long."""
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` and the columns ``also``: the fingerprint of each row as a signed long."""
 
     @F.pandas_udf("long")
     def of(column: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, size)) for t in column], dtype="int64")
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), of(F.col(f"`{text}`")).alias("fp"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), of(F.col(f"`{text}`")).alias("fp"), *also)
 
 
 def bands(radius: int) -> list[tuple[int, int]]:
@@ -189,12 +189,38 @@ def _compared(rows: pd.DataFrame, key: list[str], radius: int) -> Iterator[pd.Da
         yield pd.DataFrame({"src": np.concatenate(src).view(np.int64), "dst": np.concatenate(dst).view(np.int64)})
 
 
+def groups_of(marked: DataFrame, radius: int = 3, group_rows: int = 20_000) -> DataFrame:
+    """``fp, low, component`` for each fingerprint of ``marked (doc_id, fp)``.
+
+    ``component`` names the near-duplicate group, also one of null ids alone;
+    ``low`` is the fingerprint's smallest id.
+    """
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    members = connected_components(links(nodes.select("fp"), radius, group_rows))
+    return written(nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "simhash-members")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text: str = "text", group_rows: int = 20_000) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id among all rows reachable."""
     marked = written(fingerprints(docs, size, id_col, text), "simhash")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    members = connected_components(links(nodes.select("fp"), radius, group_rows))
-    joined = written(nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "simhash-members")
+    joined = groups_of(marked, radius, group_rows)
     named = joined.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = written(joined.join(named, "component").select("fp", "component_id"), "simhash-classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text: str = "text", group_rows: int = 20_000) -> DataFrame:
+    """One row of ``docs`` per near-duplicate group: the smallest id, then the smallest text key.
+
+    Rows are told apart by id and text, so neither a repeated nor a null id loses
+    a row of another group.
+    """
+    ident = F.col(f"`{id_col}`").cast("long")
+    keyed = docs.select(ident.alias("doc_id"), F.col(f"`{text}`").alias("text"), key128(F.col(f"`{text}`")).alias("key"))
+    marked = written(fingerprints(keyed, size, also=("key",)), "simhash")
+    classes = groups_of(marked.select("doc_id", "fp"), radius, group_rows).select("fp", "component")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    first = marked.join(classes, "fp").groupBy("component").agg(smallest.alias("__first"))
+    same = ident.eqNullSafe(F.col("__first.doc_id")) & (key128(F.col(f"`{text}`")) == F.col("__first.key"))
+    kept = docs.join(first.select("__first"), same, "left_semi")
+    return kept.withColumn("__key", key128(F.col(f"`{text}`"))).dropDuplicates([id_col, "__key"]).drop("__key")

@@ -54,6 +54,15 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
     assert cp.run(spark, sf_dir).columns == [*COLUMNS, "copy_no"]
 
 
+def test_near_copies_lose_no_other_text(spark, tmp_path):
+    """Null ids and one id on unrelated texts: one row of each group stays, whatever its id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (5, d), (9, c), (9, e), (None, e)]
+    docs = docs_of(spark, saved(spark, tmp_path, [(i, t, "en", "a", 9) for i, t in rows]))
+    got = sorted((r["text"], r["doc_id"]) for r in cp.drop_near_copies(spark, docs, "").collect())
+    assert got == [(a, None), (b, None), (c, 7), (d, 5), (e, 9)]
+
+
 def test_empty_tables(spark, tmp_path):
     assert cp.run(spark, saved(spark, tmp_path, [])).count() == 0
 
