@@ -3,8 +3,10 @@
 The standard library's streaming parser turns a page into block lines, each with
 its text length and number of tags.  The ratio of the two is smoothed along the
 page with a Gaussian, lines are clustered by a threshold on the smoothed ratio,
-and the cluster above it says which section of the page holds the content.  All
-lines of that section are returned, short ones too.  Lines in menus, headers,
+and the cluster above it says which sections of the page hold the content: all
+outermost ``article`` and ``main`` parts with a line of it, or else the smallest
+section outside of which no line of it and no heading lies.  All lines of these
+sections are returned, short ones too.  Lines in menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comment sections
 never become candidates.
 
@@ -43,12 +45,13 @@ READ_CHARS = 1 << 16
 
 
 class Line:
-    __slots__ = ("parts", "section", "tags")
+    __slots__ = ("heading", "parts", "section", "tags")
 
-    def __init__(self, section: int) -> None:
+    def __init__(self, section: int, heading: bool) -> None:
         self.parts: list[str] = []
         self.tags = 1
         self.section = section
+        self.heading = heading
 
 
 class BlockReader(HTMLParser):
@@ -136,7 +139,7 @@ class BlockReader(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line(self.section)
+            self.line = Line(self.section, bool(self.open) and self.open[-1][0] in HEADINGS)
             self.lines.append(self.line)
         self.line.parts.append(data)
 
@@ -149,30 +152,31 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel, mode="full")[reach : reach + len(ratios)]
 
 
-def content_section(reader: BlockReader, lengths: list[int], cover: float = 0.8) -> int:
-    """The innermost section that holds most of the lines above the threshold.
+def content_sections(reader: BlockReader, lengths: list[int]) -> set[int]:
+    """The sections to return.
 
-    Among marked content sections the outermost counts; without one, the
-    smallest section holding the share ``cover`` of the weight is taken.
+    Every outermost marked content section with a line above the threshold counts.
+    Without one, it is the innermost section that leaves no line above the
+    threshold and no heading outside.
     """
     ratio = smoothed(np.array([n / x.tags for n, x in zip(lengths, reader.lines, strict=True)], dtype=float))
     threshold = min(ratio.std(), ratio.mean())  # lines below it cluster as boilerplate
-    weight = np.where(ratio >= threshold, lengths, 0)
-    held = np.zeros(len(reader.parents))
-    for x, w in zip(reader.lines, weight, strict=True):
-        held[x.section] += w
+    held = [0] * len(reader.parents)
+    content = [0] * len(reader.parents)
+    for x, above in zip(reader.lines, (ratio >= threshold).tolist(), strict=True):
+        content[x.section] += above
+        held[x.section] += above or x.heading
     for s in range(len(held) - 1, 0, -1):
         held[reader.parents[s]] += held[s]
-    best, most = 0, 0.0
-    for s, kind in enumerate(reader.kinds[1:], 1):
-        if kind == "content" and not reader.marked[reader.parents[s]] and held[s] > most:
-            best, most = s, held[s]
-    if best:
-        return best
-    for s in range(len(held)):  # sections are numbered from the outside in
-        if held[s] >= cover * held[0] and (s == 0 or reader.parents[s] == best):
+        content[reader.parents[s]] += content[s]
+    marked = {s for s, kind in enumerate(reader.kinds) if kind == "content" and not reader.marked[reader.parents[s]] and content[s]}
+    if marked:
+        return marked
+    best = 0
+    for s in range(1, len(held)):  # sections are numbered from the outside in
+        if held[s] == held[0] and reader.parents[s] == best:
             best = s
-    return best
+    return {best}
 
 
 def main_text(html: str | None) -> str:
@@ -189,9 +193,8 @@ def main_text(html: str | None) -> str:
         return ""
     reader.lines = [reader.lines[i] for i in kept]
     texts = [texts[i] for i in kept]
-    section = content_section(reader, [len(t) for t in texts])
-    inside = {section}
-    for s in range(section + 1, len(reader.parents)):
+    inside = content_sections(reader, [len(t) for t in texts])
+    for s in range(min(inside) + 1, len(reader.parents)):
         if reader.parents[s] in inside:
             inside.add(s)
     return "\n".join(t for t, x in zip(texts, reader.lines, strict=True) if x.section in inside)

@@ -29,6 +29,16 @@ def test_deep_and_long_pages_are_whole():
     assert html_main.main_text("<article>" + "".join(f"<p>{x}</p>" for x in body) + "</article>") == "\n".join(body)
 
 
+def test_no_part_of_an_article_is_left_behind():
+    p = " ".join(PARAGRAPH.split())
+    lead = "A lead of one sentence, which says what follows in a few words more."
+    body = "".join(f"<p>{PARAGRAPH}</p>" for _ in range(5))
+    page = f"<body><div id=post><div class=post-title><h1>Title</h1></div><div class=lead><p>{lead}</p></div><div class=body>{body}</div></div></body>"
+    assert html_main.main_text(page) == "\n".join(["Title", lead] + [p] * 5)
+    page = f"<body><article><h2>A</h2>{body}</article><p>between</p><article><h2>B</h2><p>{PARAGRAPH}</p></article><main><p>{PARAGRAPH}</p></main></body>"
+    assert html_main.main_text(page) == "\n".join(["A"] + [p] * 5 + ["B", p, p])
+
+
 def test_smoothing_keeps_level_lines():
     import numpy as np
 
