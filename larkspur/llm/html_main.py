@@ -15,7 +15,8 @@ into single spaces; blocks are joined in page order by one newline.
 
 Defined results for odd input: a null or empty page, or one without content,
 gives an empty text; text outside any tag is a block of its own; unclosed tags
-end with their parents or with the page; plain text is returned as it is; rows
+end with their parents or with the page, paragraphs, items, rows and cells also
+where the next one opens; plain text is returned as it is; rows
 repeat as they come; an empty table gives an empty table.  A page is read in
 pieces, and its length isn't limited.
 """
@@ -42,6 +43,10 @@ NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 CONTENT_ROLES = frozenset(["main", "article"])
 NOISE_PREFIX = re.compile(r"(?:ad|ads|advert|banner|comment|comments|cookie|footer|menu|nav|newsletter|notice|promo|sidebar|share|social|sponsor|widget)[-_]|.*[-_](?:ad|ads|advert|banner|comments?|cookies?|footer|menu|nav|newsletter|notice|promo|sidebar|widget)$")
 READ_CHARS = 1 << 16
+#: Elements whose end tag may be left out: which open ones a start tag ends, and where the search for them stops.
+ENDED = {t: (frozenset(ended.split()), frozenset(stop.split())) for tags, ended, stop in [
+    ("li", "li", "ul ol menu"), ("dt dd", "dt dd", "dl"), ("td th", "td th", "tr table"), ("tr", "tr", "table"), ("tbody thead tfoot", "tbody thead tfoot caption", "table"),
+] for t in tags.split()}
 
 
 class Line:
@@ -64,6 +69,7 @@ class BlockReader(HTMLParser):
         self.kinds = ["page"]
         self.marked = [False]  # whether a section is a content section or lies in one
         self.open: list[tuple[str, int]] = []  # element and the section around it
+        self.at: dict[str, list[int]] = {}  # positions of each name in ``open``
         self.section = 0
         self.skipped = ""  # the element that is being skipped
         self.depth = 0
@@ -86,10 +92,32 @@ class BlockReader(HTMLParser):
         words = [w for k in wanted for w in given.get(k, "").lower().split()]
         return any(w in NOISE or NOISE_PREFIX.match(w) for w in words)
 
+    def _close(self, position: int) -> None:
+        """End the open element at ``position`` and all inside it."""
+        self.section = self.open[position][1]
+        for tag, _ in self.open[position:]:
+            self.at[tag].pop()
+        del self.open[position:]
+
+    def _last(self, tags: frozenset[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def _end_siblings(self, tag: str) -> None:
+        """End what ``tag`` ends by opening: a paragraph, or a sibling without an end tag."""
+        if self.open and self.open[-1][0] == "p":
+            self._close(len(self.open) - 1)
+        if tag in ENDED:
+            ended, stop = ENDED[tag]
+            bound = self._last(stop)
+            if inside := [self.at[t][-1] for t in ended if self.at.get(t) and self.at[t][-1] > bound]:
+                self._close(min(inside))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipped:
             self.depth += tag == self.skipped
             return
+        if tag in BLOCKS:
+            self._end_siblings(tag)
         if self._noise(tag, attrs):
             if tag not in VOID:
                 self.skipped, self.depth = tag, 1
@@ -100,6 +128,7 @@ class BlockReader(HTMLParser):
             self.line = None
             content = tag in ("article", "main") or dict(attrs).get("role") in CONTENT_ROLES
             if tag not in VOID:
+                self.at.setdefault(tag, []).append(len(self.open))
                 self.open.append((tag, self.section))
             if tag in SECTIONS or content:
                 self.parents.append(self.section)
@@ -127,11 +156,8 @@ class BlockReader(HTMLParser):
         if tag not in BLOCKS:
             return
         self.line = None
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[i][0] == tag:
-                self.section = self.open[i][1]
-                del self.open[i:]
-                return
+        if self.at.get(tag):
+            self._close(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.skipped:

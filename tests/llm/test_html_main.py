@@ -39,6 +39,20 @@ def test_no_part_of_an_article_is_left_behind():
     assert html_main.main_text(page) == "\n".join(["A"] + [p] * 5 + ["B", p, p])
 
 
+def test_missing_end_tags_close_nothing_late():
+    s = "The old mill stands beside the river, half hidden by the trees."
+    after = "<div><p>Outside of the article, a teaser that is long enough to count</p></div>"
+    for n in (1, 198, 199, 5000):
+        assert html_main.main_text("<article>" + f"<p>{s}" * n + "</article>" + after) == "\n".join([s] * n)
+        assert html_main.main_text("<article><ul>" + f"<li>{s}" * n + "</ul></article>" + after) == "\n".join([s] * n)
+        assert html_main.main_text("<article><dl>" + f"<dt>{s}<dd>{s}" * n + "</dl></article>" + after) == "\n".join([s] * 2 * n)
+        assert html_main.main_text("<article><table>" + f"<tr><td>{s}<td>{s}" * n + "</table></article>" + after) == "\n".join([s] * 2 * n)
+        assert html_main.main_text("<article>" + f"<div>{s}" * n + "</article>" + after) == "\n".join([s] * n)
+    nested = html_main.BlockReader()
+    nested.feed("<ul><li>a<ul><li>b<li>c</ul><li>d<table><tr><td>e<table><tr><td>f</table><td>g")
+    assert [t for t, _ in nested.open] == ["ul", "li", "table", "tr", "td"]
+
+
 def test_smoothing_keeps_level_lines():
     import numpy as np
 
