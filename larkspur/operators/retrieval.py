@@ -165,6 +165,55 @@ def tagged(chunk_hits: DataFrame, article_hits: DataFrame) -> DataFrame:
     return chunks.unionByName(articles, allowMissingColumns=True)
 
 
+def article_scope(articles: DataFrame, kb_id: int | str | None = None) -> DataFrame:
+    """Published articles, optionally of one knowledge base."""
+    out = articles.where(F.col("status") == "published")
+    return out.where(F.col("kb_id") == kb_id) if kb_id is not None else out
+
+
+def kb_lists(
+    articles: DataFrame, scoped: DataFrame, query: str, vector: Sequence[float], articles_only: bool = False, content_types: Sequence[str] | None = None, depth: int = 50
+) -> list[DataFrame]:
+    """Vector and text hits of articles, then of chunks, each with its ``hit``: result type and id."""
+    kinds = [("article", "article_id", articles, articles)]
+    if not articles_only:
+        typed = scoped.where(F.col("content_type").isin(list(content_types))) if content_types is not None else scoped
+        kinds.append(("chunk", "chunk_id", typed, scoped))
+    lists = []
+    for kind, ident, near, texts in kinds:
+        for found in (vector_search(near, vector, depth, ident=ident), text_search(texts, query, depth, ident=ident)):
+            lists.append(found.select(F.struct(F.lit(kind).alias("result_type"), F.col(ident).alias("id")).alias("hit"), "score"))
+    return lists
+
+
+def kb_search(
+    articles: DataFrame,
+    scoped: DataFrame,
+    query: str,
+    vector: Sequence[float],
+    k: int = 5,
+    parents: DataFrame | None = None,
+    articles_only: bool = False,
+    content_types: Sequence[str] | None = None,
+    depth: int = 50,
+    fused: int = 20,
+) -> DataFrame:
+    """Articles and chunks of a knowledge base: four hit lists, fused, reranked, tagged, with parents.
+
+    ``articles`` and ``scoped`` are the base's published articles and chunks of
+    ready files.  ``content_types`` bounds the chunks' vector list only.
+    """
+    top = fuse(kb_lists(articles, scoped, query, vector, articles_only, content_types, depth), limit=fused, ident="hit").select("hit.*")
+    rows = articles.select(F.lit("article").alias("result_type"), F.col("article_id").alias("id"), "content", "title", "article_type", "category")
+    if not articles_only:
+        own = [c for c in ("file_id", "context_prefix", "content_type", "parent_chunk_id") if c in scoped.columns]
+        chunks = scoped.select(F.lit("chunk").alias("result_type"), F.col("chunk_id").alias("id"), "content", *own)
+        rows = rows.unionByName(chunks, allowMissingColumns=True)
+    found = rows.join(F.broadcast(top), ["result_type", "id"])  # top has at most ``fused`` rows
+    out = rerank(found.withColumn("hit", F.struct("result_type", "id")), query, k, ident="hit").drop("hit")
+    return attach_parents(out, parents) if parents is not None and not articles_only else out
+
+
 def keep(condition: Column | None, rows: DataFrame) -> DataFrame:
     """Optional filters: a missing condition keeps all rows."""
     return rows if condition is None else rows.where(condition)

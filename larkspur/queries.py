@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,6 +233,44 @@ def kb_search(d: Demo) -> DataFrame:
     return out.select("result_type", "id", F.round("score", 6).alias("score"), "title")
 
 
+_KB = 1  # of articles by their kb_id, of files by the id's remainder, as in kb_counts
+
+
+def _kb_parts(d: Demo) -> tuple[DataFrame, DataFrame]:
+    """Published articles and chunks of ready files of one knowledge base, with vectors."""
+    vectors = d.table("embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
+    articles = retrieval.article_scope(d.articles(), _KB).join(vectors, "article_id", "left")
+    members = d.table("documents").where(F.col("doc_id") % 5 == _KB).select(F.col("doc_id").alias("file_id"))
+    return articles, retrieval.scope(d.chunks().withColumn("parent_chunk_id", F.floor(F.col("chunk_id") / 4)), d.files(), kb_files=members)
+
+
+_KB_LISTS = f"""kba AS (SELECT a.*, e.embedding::DOUBLE[] AS embedding FROM v_articles a LEFT JOIN embeddings e ON vec_id = article_id WHERE status = 'published' AND kb_id = {_KB}),
+kbc AS (SELECT c.*, chunk_id // 4 AS parent_chunk_id FROM v_chunks c JOIN v_files f ON c.file_id = f.file_id AND status = 'ready' WHERE c.file_id % 5 = {_KB}),
+av AS (SELECT article_id AS id, {_COS} AS score FROM kba WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 50),
+cv AS (SELECT chunk_id AS id, {_COS} AS score FROM kbc ORDER BY score DESC, id LIMIT 50),
+{re.sub(r"\b(t|st|txt)\b", r"\1_a", _bm25("kba", "article_id"))}, {_bm25("kbc")},
+li AS (SELECT 'article' AS result_type, id, 0 AS l, score FROM av UNION ALL SELECT 'article', article_id, 1, score FROM txt_a
+  UNION ALL SELECT 'chunk', id, 2, score FROM cv UNION ALL SELECT 'chunk', chunk_id, 3, score FROM txt),
+ra AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, id) AS rn FROM li),
+fu AS (SELECT result_type, id, sum(1e0 / (60 + rn)) AS score, min(l * 1000 + rn) AS first FROM ra GROUP BY result_type, id ORDER BY score DESC, first LIMIT 20)"""
+
+
+@register(f", {_KB_LISTS} SELECT result_type, id, round(score, 9) AS score FROM fu")
+def rrf_four_lists(d: Demo) -> DataFrame:
+    lists = retrieval.kb_lists(*_kb_parts(d), ASKED, d.query_vector())
+    return retrieval.fuse(lists, ident="hit").select("hit.*", F.round("score", 9).alias("score"))
+
+
+@register(f""", {_KB_LISTS}, {_PARENTS},
+al AS (SELECT 'article' AS result_type, article_id AS id, {_COVER} AS score, title, category, NULL AS file_id, NULL AS parent_chunk_id FROM kba
+  UNION ALL SELECT 'chunk', chunk_id, {_COVER}, NULL, NULL, file_id, parent_chunk_id FROM kbc),
+top AS (SELECT al.* FROM al JOIN fu ON al.result_type = fu.result_type AND al.id = fu.id ORDER BY al.score DESC, al.result_type, al.id LIMIT 5)
+SELECT result_type, id, score, title, category, file_id, md5(par.content) AS parent_md5 FROM top LEFT JOIN par ON top.parent_chunk_id = par.parent_chunk_id""")
+def kb_hybrid_search(d: Demo) -> DataFrame:
+    out = retrieval.kb_search(*_kb_parts(d), ASKED, d.query_vector(), parents=_parents(d))
+    return out.select("result_type", "id", "score", "title", "category", "file_id", F.md5("parent_content").alias("parent_md5"))
+
+
 # ---- text functions ------------------------------------------------------------
 
 
