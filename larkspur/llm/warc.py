@@ -12,10 +12,11 @@ are written again by the commit protocol, and readers see committed files only.
 
 Defined results for odd input: a null payload is empty; equal payloads of at
 least ``min_bytes`` bytes form a group, whose largest page id stays the
-response; a page id on two rows makes two records, of which one may stay the
-response and the other revisits the same id; a null page id is written as an
-empty id, read back as null and never the original of a group that has another
-id; a null url becomes an empty target; an empty table makes an empty archive.
+response; a page id on two rows makes two records, and each that has the largest
+id of its group stays a response with its payload, so exactly repeated rows aren't
+deduplicated; a null page id is written as an empty id, read back as null and never
+the original of a group that has another id, while in a group of null ids alone all
+stay responses; a null url becomes an empty target; an empty table makes an empty archive.
 """
 
 from __future__ import annotations

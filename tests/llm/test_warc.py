@@ -45,6 +45,13 @@ def test_short_payloads_stay_responses(spark):
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_rows_with_the_original_id_stay_responses(spark):
+    rows = [(7, "u", "same"), (7, "u", "same"), (3, "u", "same"), (None, "u", "same"), (None, "u", "no id"), (None, "v", "no id")]
+    got = warc.deduplicated_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    found = sorted((r["payload_bytes"], r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got)
+    assert found == [(4, 0, "revisit", 7), (4, 3, "revisit", 7), (4, 7, "response", None), (4, 7, "response", None), (5, 0, "response", None), (5, 0, "response", None)]
+
+
 def test_empty_table(spark):
     assert warc.deduplicated_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
