@@ -466,6 +466,20 @@ def summary_gate(d: Demo) -> DataFrame:
     return out.select("file_id", "tokens", large.alias("large"), F.when(~large, F.md5("summary")).alias("whole_md5"))
 
 
+@register(rf"""
+WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, text, len({_TOKENS}) AS n FROM conversations),
+r AS (SELECT conv_id, i, n AS total, 0 AS g FROM p WHERE i = 1 AND conv_id IN (SELECT conv_id FROM p GROUP BY conv_id HAVING sum(n) > 300)
+  UNION ALL SELECT r.conv_id, p.i, CASE WHEN total + n > 100 THEN n ELSE total + n END, CASE WHEN total + n > 100 THEN g + 1 ELSE g END
+  FROM r JOIN p ON p.conv_id = r.conv_id AND p.i = r.i + 1),
+s AS (SELECT r.conv_id, g, string_agg(text, chr(10) || chr(10) ORDER BY r.i) AS t FROM r JOIN p ON p.conv_id = r.conv_id AND p.i = r.i GROUP BY r.conv_id, g)
+SELECT conv_id AS file_id, count(*) AS n_groups, md5(string_agg(t, ' ' ORDER BY g)) AS summary_md5 FROM s GROUP BY conv_id""")
+def summary_groups(d: Demo) -> DataFrame:
+    """Summaries of the files that summary_gate leaves null, by groups."""
+    parents = d.table("conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("parent_index"), F.col("text").alias("content"), tx.count_tokens(F.col("text")).cast("long").alias("token_count"))
+    out = enrich.document_summaries(parents, lambda t: t, whole_max=300, group_max=100).where("tokens > 300")
+    return out.select("file_id", F.col("n_groups").cast("long").alias("n_groups"), F.md5("summary").alias("summary_md5"))
+
+
 @register(r"""
 WITH t AS (SELECT item_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 16) AS b FROM benchmark)
 SELECT item_id, unnest(range(0, 16)) AS dim, unnest(list_transform(range(0, 16), lambda i: len(list_filter(b, lambda x: x = i))))::DOUBLE AS weight FROM t""")
