@@ -14,9 +14,16 @@ two copies stand for any number.
 Segments meet by anchor, and each batch of anchors gets a suffix array by
 two-stage sorting: suffixes smaller than their successors are sorted directly,
 the others are induced by a scan over the buckets of first bytes.  Adjacent
-common prefixes of ``length`` bytes mark repeated starts.  An anchor with over
-``group_segments`` different segments is not sorted in one task; its suffixes
-are shuffled and counted by their whole ``length`` bytes instead.
+common prefixes of ``length`` bytes mark repeated starts.
+
+A group of over ``group_bytes`` bytes is divided before it is sorted, so that no
+task holds more.  Equal strings lie at equal distances before their anchor, so a
+segment is cut into pieces by that distance, ``width`` distances each.  All
+strings of a piece share its middle, ``length - width + 1`` bytes; pieces meet by
+it, equal pieces are aggregated again, and a middle found once ends there.  What
+still is too large is divided at a quarter of the width, down to single strings,
+which are all equal.  A segment that differs from the others in one place leaves
+at most one piece a width undecided, so the rows grow with the segments only.
 
 Defined results for odd input: a null text is empty; texts shorter than
 ``length`` lose nothing; each row is a text of its own, so a repeated row
@@ -27,6 +34,7 @@ table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -311,9 +319,9 @@ def common_prefix_reaches(text: np.ndarray, words: np.ndarray, left: np.ndarray,
 
 
 def _sorter(length: int, batch_bytes: int):
-    def flush(rows: list[tuple]) -> pd.DataFrame:
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
         segments, mine = [], []
-        for anchor, segment, copies, content in rows:
+        for *_, copies, content in rows:
             mine.append(len(segments))
             segments.extend([content] * min(2, copies))
         repeated = repeated_starts(segments, length)
@@ -328,27 +336,97 @@ def _sorter(length: int, batch_bytes: int):
         row = np.searchsorted(np.array(mine), of, side="right") - 1
         own = np.array(mine)[row] == of
         first, last, of, row = first[own], last[own], of[own], row[own]
-        anchors, segment_keys = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
-        return pd.DataFrame({"anchor": anchors[row], "segment": segment_keys[row], "first": first - begin[of], "last": last - begin[of]})
+        anchors, keys, base = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
+        base = base[row] - begin[of]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors[row], keys[row], first + base, last + base)], names=["anchor", "segment", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held, now = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "copies", "content")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("family", "anchor", "segment", "base", "copies", "content")), strict=True):
                 if held > batch_bytes and row[0] != now:
-                    yield pa.RecordBatch.from_pandas(flush(rows), preserve_index=False)
+                    yield flush(rows)
                     rows, held = [], 0
                 now = row[0]
                 rows.append(row)
-                held += len(row[3]) * min(2, row[2])
+                held += len(row[5]) * min(2, row[4])
         if rows:
-            yield pa.RecordBatch.from_pandas(flush(rows), preserve_index=False)
+            yield flush(rows)
 
     return run
 
 
-def repeated_runs(keyed: DataFrame, length: int = 200, group_segments: int = 2_000, batch_bytes: int = 1 << 20) -> DataFrame:
+def _anchor_places(length: int):
+    """Where the anchor lies in each segment, which is one run of one anchor."""
+
+    @F.pandas_udf("int")
+    def places(contents: pd.Series) -> pd.Series:
+        return pd.Series([anchor_place(np.frombuffer(c, dtype=np.uint8), length) for c in contents], dtype="int32")
+
+    return places
+
+
+def anchor_place(segment: np.ndarray, length: int, gram: int = GRAM) -> int:
+    grams = mixed(RollingHash(segment).every(gram))
+    packed = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
+    return int(packed[: length - gram + 1].min() & np.uint64(0xFFFFFF))
+
+
+def widths(length: int, gram: int = GRAM) -> list[int]:
+    """How many distances to the anchor a piece spans, division after division."""
+    out = [1]
+    while out[-1] * 4 <= length - gram + 1:
+        out.append(out[-1] * 4)
+    return out[::-1]
+
+
+def pieces_of(parts: DataFrame, width: int, length: int) -> DataFrame:
+    """Each part cut at multiples of ``width`` distances to its anchor.
+
+    Adds the key of a piece's middle (``family``) and of its whole.
+    """
+    starts = F.octet_length("content") - length + 1
+    far, near = F.col("place"), F.col("place") - starts + 1  # distances of the first and the last start
+    cell = F.explode(F.sequence(F.floor(near / width).cast("int"), F.floor(far / width).cast("int")))
+    cut = parts.select("*", cell.alias("cell"))
+    far = F.least("place", F.col("cell") * width + width - 1)
+    near = F.greatest(F.col("place") - starts + 1, F.col("cell") * width)
+    skip = F.col("place") - far
+    middle = F.substring("content", F.col("place") - F.col("cell") * width + 1, F.lit(length - width + 1))
+    cut = cut.select(
+        "anchor", "segment", "copies", (F.col("base") + skip).alias("base"), far.alias("place"), (far - near).alias("more"),
+        F.substring("content", skip + 1, far - near + length).alias("content"),
+        F.struct("anchor", "cell", F.xxhash64(middle).alias("a"), F.xxhash64(F.lit(1), middle).alias("b")).alias("family"),
+    )
+    return cut.withColumn("whole", F.struct("place", "more", F.xxhash64("content").alias("a"), F.xxhash64(F.lit(1), "content").alias("b")))
+
+
+def divided(parts: DataFrame, length: int, group_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Families small enough to be sorted, and starts already known to repeat.
+
+    ``parts`` (anchor, segment, copies, content) are the segments of large anchors.
+    """
+    small, marks = [], []
+    hot = parts.select("*", F.lit(0).alias("base"), _anchor_places(length)("content").alias("place"))
+    for width in widths(length):
+        pieces = written(pieces_of(hot, width, length), "pieces")
+        sample = F.min(F.struct("anchor", "segment", "base", "place", "content")).alias("one")
+        wholes = written(pieces.groupBy("family", "whole").agg(F.sum("copies").alias("n"), sample), "piece-wholes")
+        again = wholes.where("n > 1").select("family", "whole")
+        marks.append(pieces.join(again, ["family", "whole"], "left_semi").select("anchor", "segment", F.col("base").cast("long").alias("first"), (F.col("base") + F.col("more")).cast("long").alias("last")))
+        held = F.sum(F.octet_length("one.content") * F.least("n", F.lit(2)))
+        open_ = wholes.groupBy("family").agg(F.count(F.lit(1)).alias("wholes"), held.alias("bytes")).where("wholes > 1")
+        left = wholes.join(open_, "family").select(F.xxhash64("family").alias("family"), "one.*", F.least("n", F.lit(2)).alias("copies"), "bytes")
+        left = written(left, "piece-families")
+        small.append(left.where(F.col("bytes") <= group_bytes).select("family", "anchor", "segment", "base", "copies", "content"))
+        hot = left.where(F.col("bytes") > group_bytes).select("anchor", "segment", "copies", "content", "base", "place")
+        if hot.isEmpty():
+            break
+    return small, marks
+
+
+def repeated_runs(keyed: DataFrame, length: int = 200, group_bytes: int = 1 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, text_hash, runs``: sorted runs of repeated starts per text.
 
     ``keyed`` has ``doc_id long, text_hash long, content binary``.
@@ -360,9 +438,9 @@ def repeated_runs(keyed: DataFrame, length: int = 200, group_segments: int = 2_0
     found = written(runs.join(shared, "anchor"), "anchor-runs")
     place = F.struct("doc_id", "text_hash", "lo", "hi")
     distinct = found.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("place"))
-    distinct = written(distinct.select("anchor", "segment", "copies", "place.*"), "segments")
-    large = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_segments)
-    large = written(large.select("anchor", F.lit(True).alias("large")), "large-anchors")
+    distinct = written(distinct.select("anchor", "segment", F.least("copies", F.lit(2)).alias("copies"), "place.*"), "segments")
+    size = F.sum((F.col("hi") - F.col("lo") + length) * F.col("copies"))
+    large = written(distinct.groupBy("anchor").agg(size.alias("bytes")).where(F.col("bytes") > group_bytes).select("anchor", F.lit(True).alias("large")), "large-anchors")
     marked = distinct.join(large, "anchor", "left").fillna(False, ["large"])
     wanted = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "segment", "copies", "large", "lo", "hi")).alias("wanted"))
 
@@ -371,19 +449,18 @@ def repeated_runs(keyed: DataFrame, length: int = 200, group_segments: int = 2_0
     cut = keyed.join(wanted, ids).select("content", F.explode("wanted").alias("w")).select("w.anchor", "w.segment", "w.copies", "w.large", piece.alias("content"))
     cut = written(cut.dropDuplicates(["anchor", "segment"]), "segment-texts")
 
+    small, marks = [cut.where("not large").select(F.col("anchor").alias("family"), "anchor", "segment", F.lit(0).alias("base"), "copies", "content")], []
+    if not large.isEmpty():
+        more, marks = divided(cut.where("large").select("anchor", "segment", "copies", "content"), length, group_bytes)
+        small += more
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = cut.where("not large").drop("large").repartition(n, "anchor").sortWithinPartitions("anchor", "segment")
-    marks = small.mapInArrow(_sorter(length, batch_bytes), "anchor long, segment long, first long, last long")
-
-    each = cut.where("large").withColumn("first", F.explode(F.sequence(F.lit(0), F.octet_length("content") - length)))
-    each = each.select("anchor", "segment", "copies", "first", F.col("content").substr(F.col("first") + 1, F.lit(length)).alias("string"))
-    again = each.groupBy("anchor", "string").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
-    marks_large = each.join(again, ["anchor", "string"]).select("anchor", "segment", F.col("first").cast("long").alias("first"), F.col("first").cast("long").alias("last"))
-    marks = written(marks.unionAll(marks_large), "repeated-starts")
-
-    hits = found.join(marks, ["anchor", "segment"])
-    spans = hits.select("doc_id", "text_hash", F.struct((F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last")).alias("run"))
-    return spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    sorted_ = reduce(DataFrame.unionAll, small).repartition(n, "family").sortWithinPartitions("family")
+    marks.append(sorted_.mapInArrow(_sorter(length, batch_bytes), "anchor long, segment long, first long, last long"))
+    again = reduce(DataFrame.unionAll, marks).groupBy("anchor", "segment").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
+
+    hits = found.join(written(again, "repeated-starts"), ["anchor", "segment"])
+    moved = F.transform("starts", lambda r: F.struct((F.col("lo") + r["first"]).alias("first"), (F.col("lo") + r["last"]).alias("last")))
+    return hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list(moved))).alias("runs"))
 
 
 REMOVED = "struct<kept:binary,n_removed:long,n_spans:long>"

@@ -20,16 +20,41 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("group_segments", [2_000, 3])
-def test_against_brute_force(spark, group_segments):
-    """Also where anchors count as large, whose suffixes are shuffled."""
+@pytest.mark.parametrize("group_bytes", [1 << 20, 300, 0])
+def test_against_brute_force(spark, group_bytes):
+    """Also where anchors count as large and are divided, down to single strings."""
     rows = fixture()
     docs = spark.createDataFrame([(i, t, 1, b"x") for i, t in rows], "doc_id long, text string, anchor int, content binary")
-    out = sd.remove_repeats(docs, length=48, group_segments=group_segments)
+    out = sd.remove_repeats(docs, length=48, group_bytes=group_bytes)
     got = sorted((r["doc_id"] or -1, r["n_bytes"], bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in out.collect())
     assert got == sorted((i or -1, len((t or "").encode()), *w) for (i, t), w in zip(rows, repeats_removed([t for _, t in rows], 48), strict=True))
 
 
+def test_near_copies_of_one_passage_make_rows_in_proportion(spark, monkeypatch):
+    """One anchor with thousands of different segments: edits and surroundings differ, the passage doesn't."""
+    passage = prose(60)
+    rows, letters = [], "abcdefghijklmnopqrstuvwxyz"
+    for i in range(2_400):
+        at = rng.randrange(len(passage))
+        edited = passage[:at] + rng.choice(letters) + passage[at + 1 :] if i % 2 else passage
+        rows.append((i, "".join(rng.choice(letters) for _ in range(60)) + edited + "".join(rng.choice(letters) for _ in range(60))))
+    made = []
+    plain = sd.pieces_of
+
+    def counted(parts, width, length):
+        out = plain(parts, width, length)
+        made.append((parts.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(sd, "pieces_of", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in sd.remove_repeats(docs, length=100, group_bytes=20_000).collect()}
+    assert got == dict(zip([i for i, _ in rows], repeats_removed([t for _, t in rows], 100), strict=True))
+    assert made and all(n <= 6 * parts for parts, n in made)
+    first = made[0][0]
+    assert all(parts <= 1.2 * first for parts, _ in made), made
+
+
 def test_suffixes_are_sorted_and_repeats_found():
     for _ in range(40):
         segments = [bytes(rng.choice(b"ab") for _ in range(rng.randint(12, 60))) for _ in range(rng.randint(1, 6))]
