@@ -4,6 +4,11 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at either end and with
 A-Z lower-cased.  Keys found in at least ``min_docs`` documents lose all their
 lines, in every document.
 
+Lines are hashed once; a document's hashes are written without its text.  They
+are exploded, each document's different ones, and counted; exploded again with
+their positions, and met with the keys to drop.  The positions go back to the
+document, which is put together from the lines at all others.
+
 Defined results for odd input: a null or empty text is one empty line; a key
 shorter than ``min_chars`` code points is never dropped; each row counts as one
 document, so a repeated row counts again; a line repeated inside one document
@@ -11,9 +16,9 @@ counts once; an empty table gives an empty table.  Other columns pass through
 untouched, whatever their names.
 
 The count shuffles one 16-byte key per line and document, after partial
-aggregation; the keys to drop come back per document by a join that adaptive
-execution may split where one line is in a large share of all documents.  Line
-texts themselves move once, when a document meets its keys.
+aggregation; adaptive execution may split the join where one line is in a large
+share of all documents.  Line texts themselves move once, when a document meets
+its positions.  All steps take time linear in a document's lines.
 """
 
 from __future__ import annotations
@@ -31,21 +36,26 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def _hashed(line: Column, min_chars: int) -> Column:
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, key128(key))
+def _lines(text: str) -> Column:
+    return F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
 
 
-def frequent_keys(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Keys ``(a, b)`` of the lines found in at least ``min_docs`` documents."""
-    per_doc = F.array_distinct(F.transform(_lines(text), lambda x: _hashed(x, min_chars)))
-    keys = docs.select(F.explode(per_doc).alias("k")).where(F.col("k").isNotNull())
-    counted = keys.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= min_docs).select("a", "b")
+def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
+    """``id, body, keys``: a key of the text, and the MD5 of each line's key (null if too short), by position."""
 
+    def hashed(line: Column) -> Column:
+        key = line_key(line)
+        return F.when(F.char_length(key) >= min_chars, F.md5(key))
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), key128(body).alias("body"), F.transform(_lines(text), hashed).alias("keys"))
+
+
+def frequent_keys(hashed: DataFrame, min_docs: int = 10) -> DataFrame:
+    """The keys ``k`` found in at least ``min_docs`` rows of ``hashed``."""
+    each = hashed.select(F.explode(F.array_distinct("keys")).alias("k")).where("k IS NOT NULL")
+    counted = each.select(F.unhex("k").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= min_docs).select("k")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -54,21 +64,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     Returns every row with all its columns, ``text`` rewritten, and the columns
     ``n_lines`` and ``n_dropped`` (they replace columns of these names).
     """
-    frequent = written(frequent_keys(docs, text, min_docs, min_chars), "frequent-lines")
-    ident = F.col(f"`{id_col}`")
-    per_doc = F.array_distinct(F.transform(_lines(text), lambda x: _hashed(x, min_chars)))
-    lines = docs.select(ident.alias("__ld_id"), F.explode(per_doc).alias("k")).where(F.col("k").isNotNull())
-    lines = lines.select("__ld_id", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
-    drops = (
-        lines.join(frequent, ["a", "b"], "left_semi")
-        .groupBy(F.col("__ld_id").alias("__ld_drop_id"))
-        .agg(F.collect_set(F.struct("a", "b")).alias("__ld_drop"))
-    )
-    joined = docs.join(drops, ident.eqNullSafe(F.col("__ld_drop_id")), "left")
-    found = _lines(text)
-    kept = F.when(F.col("__ld_drop").isNull(), found).otherwise(
-        F.filter(found, lambda x: F.coalesce(~F.array_contains(F.col("__ld_drop"), _hashed(x, min_chars)), F.lit(True)))
-    )
-    out = joined.withColumns({"__ld_kept": kept, "__ld_n": F.size(found).cast("long")})
-    out = out.withColumns({"n_lines": F.col("__ld_n"), "n_dropped": F.col("__ld_n") - F.size("__ld_kept"), text: F.array_join("__ld_kept", "\n")})
-    return out.drop("__ld_drop_id", "__ld_drop", "__ld_kept", "__ld_n")
+    hashed = written(hashed_lines(docs, id_col, text, min_chars), "line-keys")
+    frequent = written(frequent_keys(hashed, min_docs), "frequent-lines")
+    placed = hashed.select("id", "body", F.posexplode("keys").alias("pos", "k")).where("k IS NOT NULL").withColumn("k", F.unhex("k"))
+    # Rows with one id and one text have the same positions, which are collected once.
+    drops = placed.join(frequent, "k", "left_semi").groupBy(F.col("id").alias("__ld_id"), F.col("body").alias("__ld_body")).agg(F.collect_set("pos").alias("__ld_drop"))
+
+    split = docs.withColumns({"__ld_lines": _lines(text), "__ld_key": key128(F.coalesce(F.col(f"`{text}`"), F.lit("")))}).drop(text)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__ld_id")) & (F.col("__ld_key") == F.col("__ld_body"))
+    joined = split.join(drops, same, "left")
+    every = F.sequence(F.lit(0), F.size("__ld_lines") - 1)
+    kept = F.transform(F.array_except(every, F.col("__ld_drop")), lambda i: F.get("__ld_lines", i))
+    out = joined.withColumns({
+        "n_lines": F.size("__ld_lines").cast("long"),
+        "n_dropped": F.coalesce(F.size("__ld_drop"), F.lit(0)).cast("long"),
+        text: F.array_join(F.when(F.col("__ld_drop").isNull(), F.col("__ld_lines")).otherwise(kept), "\n"),
+    })
+    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*[f"`{c}`" for c in order], "n_lines", "n_dropped")

@@ -1,3 +1,5 @@
+import time
+
 from larkspur.llm import line_dedup
 from larkspur.llm.queries import op4_line_dedup
 from tests.llm.brute import lines_kept, sha256
@@ -19,6 +21,17 @@ def test_short_keys_stay(spark):
     assert {r["text"] for r in line_dedup.dedup_lines(docs, min_docs=10, min_chars=3).collect()} == {"ab"}
 
 
+def test_time_is_linear_in_the_lines_of_a_text(spark):
+    """A text of 200,000 different lines, half of which ten others share."""
+    shared = [f"shared {i}" for i in range(100_000)]
+    own = [f"own {i}" for i in range(100_000)]
+    rows = [(0, "\n".join(x for pair in zip(shared, own, strict=True) for x in pair))] + [(1 + i, "\n".join(shared)) for i in range(9)]
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert got == {0: "\n".join(own)} | {1 + i: "" for i in range(9)}
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
