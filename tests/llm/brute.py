@@ -91,9 +91,10 @@ def contamination(texts, items, width=10):
     return out
 
 
-def poisson_copies(ident, rate, seed):
-    """Inverse Poisson distribution at the id's uniform number."""
-    digest = hashlib.md5(f"{seed}:{'' if ident is None else ident}".encode()).hexdigest()
+def poisson_copies(ident, rate, seed, part=0):
+    """Inverse Poisson distribution at the uniform number of the id and the part."""
+    tail = f":{part}" if part else ""
+    digest = hashlib.md5(f"{seed}:{'' if ident is None else ident}{tail}".encode()).hexdigest()
     u, k, p = int(digest[:13], 16) / 16**13, 0, math.exp(-rate)
     total = p
     while total <= u:

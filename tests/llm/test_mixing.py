@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -43,5 +44,24 @@ def test_large_rates_follow_the_distribution(spark):
     assert abs(n["a"] / 20_000 - 1) < 0.03 and abs(n["b"] / 20_000 - 1) < 0.03
 
 
+def test_high_rates_are_drawn_in_parts(spark):
+    """Ten rows of one source stand against 100,000 others: each is drawn thousands of times, in linear time."""
+    rows = spark.range(100_000).selectExpr("id AS doc_id", "IF(id < 10, 'rare', 'usual') AS source")
+    began = time.time()
+    got = mixing.mix_sources(rows, weights={"rare": 0.9, "usual": 0.1}).where("source = 'rare'").groupBy("doc_id").agg({"*": "count", "copy_no": "max"}).collect()
+    assert time.time() - began < 60
+    rate, parts = 9_000.0, 18
+    assert {r["doc_id"]: r["count(1)"] for r in got} == {i: sum(poisson_copies(i, rate / parts, 17, p) for p in range(parts)) for i in range(10)}
+    assert all(abs(r["count(1)"] / rate - 1) < 0.05 for r in got)
+
+
+def test_a_rate_of_a_million_takes_seconds(spark):
+    rows = spark.range(2_000_000).selectExpr("id AS doc_id", "IF(id = 7, 'rare', 'usual') AS source")
+    began = time.time()
+    n = mixing.mix_sources(rows, weights={"rare": 0.5, "usual": 0.5}).where("source = 'rare'").count()
+    assert time.time() - began < 120
+    assert abs(n / 1_000_000 - 1) < 0.01
+
+
 def test_empty_table(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, source string")).count() == 0
