@@ -1,23 +1,28 @@
 """Exact top-k inner-product search with MaxScore over integer vectors.
 
 Each component ``x`` becomes the integer ``floor(scale * x)``.  A dimension is a
-query term.  Its postings in a block of vectors are the vectors to which it adds
-a positive amount for the query's sign, and its score bound is the largest such
-amount.  Terms are ordered by bound; those whose bounds together stay below the
-score to beat are non-essential.  A block is searched by traversing the
-essential postings, and the remaining terms are probed, largest bound first,
+query term.  A shard (a block of vectors) holds two postings lists for it: the
+vectors with a positive component and those with a negative one, each with its
+values.  For a query, the list of the query's sign adds to scores, the other one
+takes away, and the term's score bound is the largest amount it can add.  Terms
+are ordered by bound; those whose bounds together stay below the score to beat
+are non-essential.  The essential postings are traversed, and what none of them
+adds to is no candidate.  The remaining terms are probed, largest bound first,
 only while a vector can still reach the score to beat.  Ties need care: a vector
 that can exactly equal that score stays in, since the smaller id wins.
 
-Queries are taken in blocks of ``query_block`` rows, each of which is broadcast
-(at most ``query_block`` times the dimension integers) and meets every vector
-once.  Shards (groups of vectors) return their own ``k`` best, and a window over
-each query merges the shards.
+Queries are taken in blocks of ``query_block`` rows.  A block is broadcast (at
+most ``query_block`` times the dimension integers), meets every vector once, its
+result is written to the shared folder, and its broadcast is destroyed before the
+next block begins.  Shards return their own ``k`` best, and a window over each
+query merges the shards.
 
 Defined results for odd input: a vector that is null, or holds a null or
-non-finite component, takes no part, nor does a null id; components missing at
-the end of a shorter vector count as 0; a row whose id equals the query's is the
-query's own; repeated ids are candidates each; an empty table gives no rows.
+non-finite component or one beyond ``MAX_COMPONENT`` after scaling, takes no
+part, nor does a null id; components missing at the end of a shorter vector count
+as 0; a row whose id equals the query's is the query's own; repeated ids are
+candidates each; of a query id's several vectors the smallest, compared component
+by component, is the query; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +34,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.workspace import scratch_path
+
 ROWS_PER_BLOCK = 2048
+#: Products of two such components, 2,048 of them, add up inside a long.
+MAX_COMPONENT = 2**26
 
 
-def usable(ident: Column, vector: Column) -> Column:
-    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+def usable(ident: Column, vector: Column, scale: int) -> Column:
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(MAX_COMPONENT / scale)))
     return ident.isNotNull() & vector.isNotNull() & whole
 
 
@@ -47,12 +56,14 @@ def quantised(vectors: list[np.ndarray], scale: int, width: int) -> np.ndarray:
 
 
 class Shard:
-    """Column-wise block of vectors with the score bounds of its postings."""
+    """Postings of a block of vectors, with their score bounds."""
 
     def __init__(self, ids: np.ndarray, columns: np.ndarray) -> None:
         self.ids, self.columns = ids, columns
         self.high = np.maximum(columns.max(axis=1), 0)
         self.low = np.minimum(columns.min(axis=1), 0)
+        self.above = [_postings(c, np.nonzero(c > 0)[0]) for c in columns]
+        self.below = [_postings(c, np.nonzero(c < 0)[0]) for c in columns]
 
     def search(self, query_id: int, query: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The k best of ``best`` and this block, as ids and scores."""
@@ -63,17 +74,18 @@ class Shard:
         order = np.argsort(-bounds, kind="stable")
         terms, bounds = terms[order], bounds[order]
         rest = np.concatenate([np.cumsum(bounds[::-1])[::-1], [0]])  # rest[i]: the bounds of terms i and later
-        essential = len(terms) if beat is None else int(np.searchsorted(-rest, -beat, side="right"))
+        # Without a score to beat, or with one that a vector in no list can reach, all terms are essential.
+        essential = len(terms) if beat is None or beat <= 0 else int(np.searchsorted(-rest, -beat, side="right"))
         essential = min(essential, len(terms))
-        if beat is not None and beat <= 0:
-            essential = len(terms)
-        if beat is None or essential == len(terms):
-            alive = np.arange(len(self.ids))
-        else:
-            posted = (self.columns[terms[:essential]] * np.sign(query[terms[:essential]])[:, None] > 0).any(axis=0)
-            alive = np.nonzero(posted)[0]
+        scores, posted = np.zeros(len(self.ids), dtype=np.int64), np.zeros(len(self.ids), dtype=bool)
+        for t in terms[:essential].tolist():
+            adding, taking = (self.above[t], self.below[t]) if query[t] > 0 else (self.below[t], self.above[t])
+            posted[adding[0]] = True
+            for at, values in (adding, taking):
+                scores[at] += query[t] * values
+        alive = np.arange(len(self.ids)) if essential == len(terms) else np.nonzero(posted)[0]
         alive = alive[self.ids[alive] != query_id]
-        scores = query[terms[:essential]] @ self.columns[np.ix_(terms[:essential], alive)]
+        scores = scores[alive]
         for i in range(essential, len(terms)):
             reach = scores + rest[i] >= beat
             if not reach.all():
@@ -86,6 +98,10 @@ class Shard:
         return ids[first], scores[first]
 
 
+def _postings(column: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return at, column[at]
+
+
 def _searcher(queries, scale: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, query_rows = queries.value
@@ -122,29 +138,28 @@ def top_k(
     """``query_id, rank, vec_id, score``: each query's k best other rows."""
     spark = vectors.sparkSession
     ident, vec = F.col(f"`{id_col}`"), F.col(f"`{vector}`").cast("array<double>")
-    rows = vectors.where(usable(ident, vec))
+    rows = vectors.where(usable(ident, vec, scale))
     wanted = rows.where(is_query).select(ident.cast("long").alias("id"), vec.alias("v"))
     kept = rows.select(ident.cast("long").alias("id"), vec.alias("v"))
-    parts: list[DataFrame] = []
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found: list[str] = []
     for block in _blocks(wanted, query_block):
         ids = np.array([r["id"] for r in block], dtype=np.int64)
         width = max((len(r["v"]) for r in block), default=0)
         sent = spark.sparkContext.broadcast((ids, quantised([r["v"] for r in block], scale, width).T.copy()))
-        parts.append(kept.mapInPandas(_searcher(sent, scale, k), "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionAll(part)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = merged.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        best = kept.mapInPandas(_searcher(sent, scale, k), "query_id long, vec_id long, score long")
+        ranked = best.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+        found.append(scratch_path(spark, "topk"))
+        ranked.select("query_id", "rank", "vec_id", "score").write.parquet(found[-1])
+        sent.destroy()
+    shape = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(shape).parquet(*found) if found else spark.createDataFrame([], shape)
 
 
 def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
     """The rows on the driver, ``size`` at a time; each id once."""
     block: list = []
-    for row in rows.dropDuplicates(["id"]).toLocalIterator():
+    for row in rows.groupBy("id").agg(F.min("v").alias("v")).toLocalIterator():
         block.append(row)
         if len(block) == size:
             yield block

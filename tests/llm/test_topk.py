@@ -43,6 +43,38 @@ def test_blocks_of_vectors_keep_the_result(spark, monkeypatch):
     assert list(zip(*(x.tolist() for x in best), strict=True)) == want
 
 
+def test_postings_are_skipped(monkeypatch):
+    """Terms with small bounds aren't traversed once there is a score to beat."""
+    import numpy as np
+
+    ids = np.arange(400)
+    columns = np.array([[rng.choice([0, rng.randint(1, 1000)]) for _ in ids]] + [[rng.choice([0, 0, 0, 1]) for _ in ids] for _ in range(8)])
+    query = np.array([50] + [1] * 8)
+    read = []
+
+    class Read(list):
+        def __getitem__(self, t):
+            read.append(t)
+            return super().__getitem__(t)
+
+    shard = topk.Shard(ids, columns)
+    shard.above, shard.below = Read(shard.above), Read(shard.below)
+    best = shard.search(-1, query, 10, (ids[:0], ids[:0]))
+    first = len(read)
+    again = topk.Shard(ids + 400, columns)
+    again.above, again.below = shard.above, shard.below
+    best = again.search(-1, query, 10, best)
+    assert (first, len(read) - first) == (18, 2)
+    scores = sorted(((-int(query @ columns[:, i % 400]), i) for i in range(800)))[:10]
+    assert list(zip(best[1].tolist(), best[0].tolist(), strict=True)) == [(-s, i) for s, i in scores]
+
+
+def test_query_ids_with_two_vectors_and_large_components(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [1e9, 0.0]), (3, [65535.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 3, 1024 * 1024 * 65535), (0, 2, 1, 1024 * 1024)]
+
+
 def test_fewer_rows_than_k_and_none(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(rows, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1024 * 512)]
