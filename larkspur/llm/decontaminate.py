@@ -6,12 +6,16 @@ are a pattern; an item with fewer words, but not none, is one pattern.  A search
 looks at the last word and then at the block of the last two words under a window
 as long as the patterns.  The shift table says how far the window can move on without skipping
 an occurrence; where it can't move, the block's bucket names the patterns that
-end there, and each is compared word by word.
+end there, parted by their first two words, and each that begins as the window
+does is compared with it directly.
 
 Patterns are grouped by length, so that one short item doesn't shorten the
 shifts of all the others.  Items are taken in blocks of ``block_patterns``
-patterns, each of which is broadcast to one pass over the documents; the passes'
-hits are then united per document.
+patterns at most; an item with more goes into several blocks.  A benchmark that
+fits one block is broadcast to one pass over the documents.  Otherwise each block
+gets a pass of its own, which writes the texts it hits, by a key of the text, and
+its broadcast is destroyed before the next block begins; the hits are then united
+per text and joined to the documents.
 
 Defined results for odd input: a null or empty text has no words; an item
 without words never occurs; items with equal patterns are all reported; a null
@@ -23,12 +27,13 @@ columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.workspace import UPPER
+from larkspur.llm.workspace import UPPER, key128, scratch_path
 
 #: Bytes of UTF-8 text that part words: all of ASCII but digits and letters.
 _PARTING = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -56,12 +61,12 @@ class Matcher:
         self.block = min(BLOCK, length)
         self.far = length - self.block + 1
         self.shift: dict[Pattern, int] = {}
-        self.buckets: dict[Pattern, dict[Pattern, None]] = {}
+        self.buckets: dict[Pattern, dict[Pattern, list[Pattern]]] = {}
         for p in patterns:
             for end in range(self.block, length + 1):
                 piece = p[end - self.block : end]
                 self.shift[piece] = min(self.shift.get(piece, self.far), length - end)
-            self.buckets.setdefault(p[length - self.block :], {})[p] = None
+            self.buckets.setdefault(p[length - self.block :], {}).setdefault(p[: self.block], []).append(p)
         self.known = {w for piece in self.shift for w in piece}
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, Pattern]]:
@@ -78,18 +83,19 @@ class Matcher:
                 at += move
                 continue
             window = tuple(words[at - length : at])
-            if window in self.buckets[piece]:
-                yield at - length, window
+            for p in self.buckets[piece].get(window[:block], ()):
+                if p == window:
+                    yield at - length, p
             at += 1
 
 
 class Benchmark:
     """All matchers of a block of items."""
 
-    def __init__(self, items: Iterable[tuple[int | None, str | None]], width: int) -> None:
+    def __init__(self, items: Iterable[tuple[int | None, list[bytes]]], width: int) -> None:
         self.owners: dict[Pattern, set] = {}
-        for item, text in items:
-            for p in windows(words_of(text), width):
+        for item, words in items:
+            for p in windows(words, width):
                 self.owners.setdefault(p, set()).add(item)
         by_length: dict[int, list] = {}
         for p in self.owners:
@@ -123,15 +129,19 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 HITS = "struct<n_words:long,runs:array<struct<start:int,end:int>>,items:array<long>>"
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, width: int, block_patterns: int) -> Iterator[list]:
+def _blocks(benchmark: DataFrame, item: str, text: str, width: int, block_patterns: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
+    """Items and their words, of at most ``block_patterns`` windows in all; items with more come in overlapping pieces."""
     block, held = [], 0
     for row in benchmark.select(F.col(f"`{item}`").cast("long"), F.col(f"`{text}`")).toLocalIterator():
-        n = len(windows(words_of(row[1]), width))
-        if block and held + n > block_patterns:
-            yield block
-            block, held = [], 0
-        block.append((row[0], row[1]))
-        held += n
+        words = words_of(row[1])
+        for at in range(0, max(1, len(words) - width + 1), block_patterns):
+            piece = words[at : at + block_patterns + width - 1]
+            n = len(windows(piece, width))
+            if block and held + n > block_patterns:
+                yield block
+                block, held = [], 0
+            block.append((row[0], piece))
+            held += n
     if block:
         yield block
 
@@ -149,14 +159,12 @@ def find_contamination(
 
     New columns replace columns of these names.
     """
-    spark = docs.sparkSession
-    found = []
-    for block in _blocks(benchmark, item, item_text, width, block_patterns):
-        sent = spark.sparkContext.broadcast(Benchmark(block, width))
-        found.append(_searcher(sent)(F.col(f"`{text}`")))
-    if not found:
-        found = [_no_hits(text)]
-    out = docs.withColumn("__wm", F.array(*found))
+    blocks = _blocks(benchmark, item, item_text, width, block_patterns)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = docs.withColumn("__wm", F.array(_searched(docs, first, width)(F.col(f"`{text}`"))))
+    else:
+        out = _united(docs, chain([first, second], blocks), text, width)
     out = out.withColumn("__wm_runs", F.array_sort(F.flatten(F.col("__wm.runs"))))
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -168,7 +176,7 @@ def find_contamination(
         ),
     )
     out = out.withColumns({
-        "n_words": F.col("__wm")[0]["n_words"],
+        "n_words": F.col("__wm")[0]["n_words"],  # of any block, all count the same words
         "n_hit": covered["n"],
         "items": F.array_distinct(F.flatten(F.col("__wm.items"))),
     })
@@ -176,6 +184,28 @@ def find_contamination(
     return out.drop("__wm", "__wm_runs")
 
 
+def _searched(docs: DataFrame, block: list, width: int):
+    return _searcher(docs.sparkSession.sparkContext.broadcast(Benchmark(block, width)))
+
+
+def _united(docs: DataFrame, blocks: Iterable[list], text: str, width: int) -> DataFrame:
+    """``docs`` with all blocks' hits as ``__wm``, block after block; only hit texts are written."""
+    spark = docs.sparkSession
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    counted = _searched(docs, [], width)
+    paths: list[str] = []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(Benchmark(block, width))
+        hits = docs.select(key128(body).alias("key"), _searcher(sent)(body).alias("hit")).where(F.size("hit.runs") > 0)
+        paths.append(scratch_path(spark, "benchmark-hits"))
+        hits.groupBy("key").agg(F.first("hit").alias("hit")).write.parquet(paths[-1])
+        sent.destroy()
+    found = spark.read.parquet(*paths).groupBy(F.col("key").alias("__wm_key")).agg(F.collect_list("hit").alias("__wm_hits"))
+    joined = docs.withColumns({"__wm_own": key128(body), "__wm_words": counted(body)}).join(found, F.col("__wm_own") == F.col("__wm_key"), "left")
+    every = F.concat(F.array("__wm_words"), F.coalesce("__wm_hits", F.array().cast(f"array<{HITS}>")))
+    return joined.withColumn("__wm", every).drop("__wm_own", "__wm_words", "__wm_key", "__wm_hits")
+
+
 def _searcher(sent):
     @F.pandas_udf(HITS)
     def search(column: pd.Series) -> pd.DataFrame:
@@ -187,13 +217,3 @@ def _searcher(sent):
         })
 
     return search
-
-
-def _no_hits(text: str):
-    """Counts words where the benchmark holds no item."""
-
-    @F.pandas_udf(HITS)
-    def count(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"n_words": [len(words_of(t)) for t in column], "runs": [[] for _ in column], "items": [[] for _ in column]})
-
-    return count(F.col(f"`{text}`"))

@@ -33,6 +33,14 @@ def test_search_finds_every_occurrence():
         assert found == [(i, tuple(text[i : i + 5])) for i in range(196) if tuple(text[i : i + 5]) in patterns]
 
 
+def test_blocks_hold_no_more_than_they_may(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for most in (1, 3, 1000):
+        blocks = list(dc._blocks(items, "item_id", "text", 10, most))
+        sizes = [sum(len(dc.windows(w, 10)) for _, w in b) for b in blocks]
+        assert max(sizes) <= most and sum(sizes) == sum(len(dc.windows(dc.words_of(t), 10)) for _, t in ITEMS)
+
+
 def test_words():
     for t in ("A-b_c Éé 1.5", "\x7f\x80x", None, "don't"):
         assert [w.decode() for w in dc.words_of(t)] == words(t)
