@@ -4,10 +4,14 @@
 reads an archive's headers, shuffles them by payload digest, joins every group
 of equal payloads to its original, and writes a deduplicated archive in which
 each further copy is a ``revisit`` record with fresh headers and no payload.
+Payloads play no part in the decisions, which go back to their records by file
+and number in the file.
 
 Archives are folders of gzip files written by Spark's text writer, whose line
-separator is the empty block that ends a WARC record; no record can lose its
-framing, since readers go by ``Content-Length`` alone.  A lost executor's files
+separator is the empty block that ends a WARC record.  They are read as a stream
+by the same separator, so that a task holds a batch of pieces and one record, but
+never a file.  No record can lose its framing, since a separator inside a payload
+is put back and readers go by ``Content-Length`` alone.  A lost executor's files
 are written again by the commit protocol, and readers see committed files only.
 
 Defined results for odd input: a null payload is empty; equal payloads of at
@@ -21,9 +25,10 @@ stay responses; a null url becomes an empty target; an empty table makes an empt
 
 from __future__ import annotations
 
-import gzip
 import io
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +41,12 @@ CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
-RECORD_SCHEMA = "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+RECORD_SCHEMA = "file string, number long, page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+ARROW_SCHEMA = pa.schema([
+    ("file", pa.string()), ("number", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()),
+    ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+])
+SEPARATOR = b"\r\n\r\n"
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -119,33 +129,56 @@ def _page_id(urn: str) -> int | None:
     return int(text) if text else None
 
 
+class Pieces(io.RawIOBase):
+    """A file as a stream, from the pieces between its separators."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.rest = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        if not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = piece + SEPARATOR
+        n = min(len(into), len(self.rest))
+        into[:n] = self.rest[:n]
+        self.rest = self.rest[n:]
+        return n
+
+
 def _reader(with_payload: bool, batch_bytes: int):
-    schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW_SCHEMA.types, strict=True)], schema=ARROW_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                rows, held = [], 0
-                with gzip.open(io.BytesIO(content.as_py())) as stream:
-                    for h, body in parse_records(stream):
-                        size = int(h.get("x-payload-length", h["content-length"]))
-                        refers = _page_id(h["warc-refers-to"]) if "warc-refers-to" in h else None
-                        kept = body if with_payload else None
-                        rows.append((_page_id(h["warc-record-id"]), h["warc-type"], h["warc-target-uri"], h["warc-payload-digest"].removeprefix("sha1:"), size, refers, kept))
-                        held += len(body) if with_payload else 200
-                        if held >= batch_bytes:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                            rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        rows, held = [], 0
+        pieces = ((name, piece) for batch in batches for name, piece in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        for name, own in groupby(pieces, key=itemgetter(0)):  # a file is read whole and in order by one task
+            stream = io.BufferedReader(Pieces(piece for _, piece in own), 1 << 16)
+            for number, (h, body) in enumerate(parse_records(stream)):
+                size = int(h.get("x-payload-length", h["content-length"]))
+                refers = _page_id(h["warc-refers-to"]) if "warc-refers-to" in h else None
+                kept = body if with_payload else None
+                rows.append((name, number, _page_id(h["warc-record-id"]), h["warc-type"], h["warc-target-uri"], h["warc-payload-digest"].removeprefix("sha1:"), size, refers, kept))
+                held += 200 + (len(body) if with_payload else 0)
+                if held >= batch_bytes:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The records of the archive at ``path``; ``payload`` is null if not asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_reader(with_payload, batch_bytes), RECORD_SCHEMA)
+    """The records of the archive at ``path``, with their file and number in it; ``payload`` is null if not asked for."""
+    pieces = spark.read.option("pathGlobFilter", "*.gz").text(path, lineSep=CRLF * 2)
+    named = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return named.mapInArrow(_reader(with_payload, batch_bytes), RECORD_SCHEMA)
 
 
 def originals(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -155,20 +188,26 @@ def originals(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     return counted.where(F.col("n") > 1).drop("n")
 
 
+def revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``file, number, original_id`` of each record that revisits another."""
+    met = headers.join(originals(headers, min_bytes), ["payload_digest", "payload_bytes"])
+    other = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
+    return met.where(other).select("file", "number", "original_id")
+
+
 def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: int = 0, date: str = "2024-01-02T00:00:00Z", records_per_file: int = 2000) -> None:
     """Write the archive ``source`` again at ``target`` without repeated payloads.
 
-    Headers alone meet by digest.  Their decisions then go back to the records by
-    record number and file order inside one join on digest; adaptive execution
-    may split the join where one payload is in a large share of the records.
+    Headers alone meet by digest, without payloads; adaptive execution may split
+    that join where one payload is in a large share of the records.  The decisions
+    go back to the records by file and number, keys that no two records share.
     """
-    found = written(originals(read_archive(spark, source, with_payload=False), min_bytes), "warc-originals")
-    records = read_archive(spark, source)
-    joined = records.join(found, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
+    headers = written(read_archive(spark, source, with_payload=False).select("file", "number", "page_id", "payload_digest", "payload_bytes"), "warc-headers")
+    found = written(revisits(headers, min_bytes), "warc-revisits")
+    joined = read_archive(spark, source).join(found, ["file", "number"], "left")
     body = F.decode(F.col("payload"), "UTF-8")
     args = F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes")
-    record = F.when(revisit, _record("revisit", *args, F.col("original_id"), None, date)).otherwise(_record("response", *args, None, body, date))
+    record = F.when(F.col("original_id").isNotNull(), _record("revisit", *args, F.col("original_id"), None, date)).otherwise(_record("response", *args, None, body, date))
     _write(joined.select(record.alias("value")), target, records_per_file)
 
 
@@ -178,4 +217,4 @@ def deduplicated_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     raw, fresh = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc-fresh")
     write_archive(pages, raw)
     resolve_revisits(spark, raw, fresh, min_bytes)
-    return read_archive(spark, fresh, with_payload=False).drop("payload", "url")
+    return read_archive(spark, fresh, with_payload=False).drop("file", "number", "payload", "url")

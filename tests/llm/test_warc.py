@@ -56,6 +56,15 @@ def test_empty_table(spark):
     assert warc.deduplicated_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_separators_inside_and_at_the_edges_of_payloads(spark):
+    rows = [(i, "u", t) for i, t in enumerate(["\r\n", "\r\n\r\n", "a\r\n", "\r\n\r\nb\r\n\r\n\r\n", "\r", "\n\r\n\r", "", "x" * 3_000_000 + "\r\n\r\n" * 1000])]
+    path = scratch_path(spark, "t-warc")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, records_per_file=3)
+    back = warc.read_archive(spark, path).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in back} == {i: t for i, _, t in rows}
+    assert sorted(r["number"] for r in back) == [0, 0, 0, 1, 1, 1, 2, 2] and len({(r["file"], r["number"]) for r in back}) == 8
+
+
 def test_parser_goes_by_length_alone():
     body = b"WARC/1.1\r\n\r\n"
     record = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
