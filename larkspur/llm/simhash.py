@@ -6,7 +6,8 @@ never meet as pairs.  Fingerprints within ``radius`` bits agree on at least one
 of ``radius + 1`` bit bands; each band value gathers the fingerprints that share
 it, without loss.  Inside such a group fingerprints are sorted by population
 count and compared tile against tile with exclusive-or and bit counts; a tile
-pair whose population counts differ beyond the radius is skipped.
+pair whose population counts differ beyond the radius is skipped.  Tiles over the
+whole table, without bands, would compare a constant share of all pairs.
 
 A group of more than ``group_rows`` fingerprints is dealt over the pairs of its
 salted parts, so no task holds more than two parts.  A task never returns pairs:
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.components import connected_components
 from larkspur.llm.workspace import key128, written
 
-TILE = 1024
+TILE = 128
 HASHES_AT_ONCE = 1 << 17
 SEED = 42
 
@@ -103,6 +104,11 @@ class Forest:
         return up
 
 
+def tile_links(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of two tiles differ in at most ``radius`` bits."""
+    return np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
+
+
 def linked(fps: np.ndarray, radius: int, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A forest over ``fps`` (uint64, distinct) that spans all links, as two arrays.
 
@@ -118,7 +124,7 @@ def linked(fps: np.ndarray, radius: int, parts: np.ndarray | None = None) -> tup
         for j in range(i, len(fps), TILE):
             if counts[j] - top > radius:
                 break  # tiles further on only have higher counts
-            near = np.bitwise_count(rows[:, None] ^ fps[None, j : j + TILE]) <= radius
+            near = tile_links(rows, fps[j : j + TILE], radius)
             if parts is not None:
                 near &= parts[i : i + TILE, None] != parts[None, j : j + TILE]
             a, b = np.nonzero(near)
@@ -176,11 +182,6 @@ def _compared(rows: pd.DataFrame, key: list[str], radius: int) -> Iterator[pd.Da
     fps, salts = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["salt"].to_numpy()
     src, dst = [], []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if b - a == 2:  # most groups are a single pair
-            if int(fps[a] ^ fps[a + 1]).bit_count() <= radius and (values[a, 2] == values[a, 3] or salts[a] != salts[a + 1]):
-                src.append(fps[a : a + 1])
-                dst.append(fps[a + 1 : b])
-            continue
         parts = None if values[a, 2] == values[a, 3] else (salts[a:b] == values[a, 3]).astype(np.int8)
         left, right = linked(fps[a:b], radius, parts)
         src.append(left)

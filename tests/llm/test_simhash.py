@@ -39,6 +39,19 @@ def test_tiles_are_whole(monkeypatch):
     assert components(ids, list(zip(left.tolist(), right.tolist(), strict=True))) == components(ids, near)
 
 
+def test_tile_pairs_with_distant_population_counts_are_skipped(monkeypatch):
+    """Of a group with population counts from 0 to 48, most tile pairs aren't compared, and no link is lost."""
+    fps = np.unique(np.array([sum(1 << b for b in rng.sample(range(48), n % 49)) for n in range(3_000)], dtype=np.uint64))
+    compared, plain = [], simhash.tile_links
+    monkeypatch.setattr(simhash, "tile_links", lambda a, b, r: compared.append(1) or plain(a, b, r))
+    left, right = simhash.linked(fps, 3)
+    tiles = -(-len(fps) // simhash.TILE)
+    assert len(compared) < tiles * (tiles + 1) / 2 / 2
+    ids = fps.tolist()
+    near = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(plain(fps, fps, 3), 1)), strict=True)]
+    assert components(ids, list(zip(left.tolist(), right.tolist(), strict=True))) == components(ids, near)
+
+
 def test_long_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
