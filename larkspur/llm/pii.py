@@ -20,10 +20,10 @@ other columns pass through.
 
 from __future__ import annotations
 
-import math
+import heapq
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -105,7 +105,6 @@ TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 #: What a stretch begins at, and how it goes on: with words that hold a digit, an at-sign or a bracket.
 TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]")
 STRETCH = re.compile(r"(?:(?:@|[\[(]\s?at\s?[\])])[ \t]?)?\S+(?:[ \t]?[\[(]\s?(?:at|dot)\s?[\])][ \t]?\S+)*(?:[ \t]\S*[0-9@(]\S*)*")
-LOOK_BACK = 256
 AT = re.compile(r"@|[\[(]\s?at\s?[\])]")
 AT_WORD = re.compile(r"[\[(]\s?(?:at|dot)\s?[\])]")
 NUMERIC = re.compile(r"[0-9+() .\-]+")
@@ -117,7 +116,8 @@ CUES = {
     "card": frozenset("card visa mastercard carte karte tarjeta kreditkarte".split()),
     "phone": frozenset("phone tel call telefon téléphone teléfono mobile fax".split()),
 }
-MAX_STRETCH_TOKENS = 4096
+#: After so many tokens, what all open paths have in common is given out.
+SETTLE_TOKENS = 512
 
 
 class Segment:
@@ -183,13 +183,19 @@ def _spoken_emails(text: str) -> Iterator[re.Match]:
             end = found.end()
 
 
-def candidates(text: str, cuts: list[int], cues: frozenset[str]) -> list[Segment]:
-    """Spans between token cuts that could be an entity, at most MAX_TOKENS long."""
+def candidates(text: str, cuts: list[int], cues: frozenset[str]) -> Iterator[Segment]:
+    """Spans between token cuts that could be an entity, at most MAX_TOKENS long, by start."""
     place = {c: i for i, c in enumerate(cuts)}
-    out: list[Segment] = []
+    return heapq.merge(_email_candidates(text, place, cues), _numeric_candidates(text, place, cues), key=lambda s: s.start)
+
+
+def _email_candidates(text: str, place: dict[int, int], cues: frozenset[str]) -> Iterator[Segment]:
     for m in _spoken_emails(text):
         if m.start() in place and m.end() in place and place[m.end()] - place[m.start()] <= MAX_TOKENS:
-            out.append(Segment(place[m.start()], place[m.end()], "email", span_features(text, m.start(), m.end(), "email", cues)))
+            yield Segment(place[m.start()], place[m.end()], "email", span_features(text, m.start(), m.end(), "email", cues))
+
+
+def _numeric_candidates(text: str, place: dict[int, int], cues: frozenset[str]) -> Iterator[Segment]:
     for m in NUMERIC.finditer(text):
         inside = [c for c in range(m.start(), m.end() + 1) if c in place]
         digits = [0]
@@ -212,8 +218,8 @@ def candidates(text: str, cuts: list[int], cues: frozenset[str]) -> list[Segment
                     kinds.append("card")
                 if 7 <= n <= 15 and re.fullmatch(r"\+?(?:[ .-]?\(?[0-9]++\)?)++", span):
                     kinds.append("phone")
-                out.extend(Segment(place[a], place[b], k, span_features(text, a, b, k, cues)) for k in kinds)
-    return out
+                for k in kinds:
+                    yield Segment(place[a], place[b], k, span_features(text, a, b, k, cues))
 
 
 STATES = ("other", *KINDS)
@@ -236,24 +242,51 @@ class SemiMarkovField:
             into[s.end].append((s.start, 1 + _ORDER[s.kind], sum(get(f, 0.0) for f in s.features), s))
         return into
 
-    def best(self, tokens: int, segments: list[Segment]) -> list[Segment]:
-        """The best cover of all tokens by segments, jointly; its entities."""
-        into = self._edges(tokens, segments)
-        score = np.full((tokens + 1, 5), -np.inf)
-        score[0, 0] = 0.0
+    def best(self, tokens: int, segments: Iterable[Segment]) -> Iterator[Segment]:
+        """The best cover of all tokens by segments, jointly; its entities, in order.
+
+        ``segments`` come by start and are read as they are needed.  What all open
+        paths share is given out on the way, so a very long stretch isn't held.
+        """
+        coming = iter(segments)
+        ahead = next(coming, None)
+        into: dict[int, list[Segment]] = {}
+        score = {0: np.array([0.0, *[-np.inf] * 4])}
         back: dict[tuple[int, int], tuple[int, int, Segment | None]] = {}
+        root, get = (0, 0), self.weights.get
         for end in range(1, tokens + 1):
-            for start, state, gain, segment in into[end]:
+            while ahead is not None and ahead.start < end:
+                into.setdefault(ahead.end, []).append(ahead)
+                ahead = next(coming, None)
+            now = np.full(5, -np.inf)
+            edges = [(end - 1, 0, 0.0, None)]
+            edges += [(s.start, 1 + _ORDER[s.kind], sum(get(f, 0.0) for f in s.features), s) for s in into.pop(end, ())]
+            for start, state, gain, segment in edges:
                 reach = score[start] + self.pairs[:, state]
                 before = int(reach.argmax())
-                if reach[before] + gain > score[end, state]:
-                    score[end, state] = reach[before] + gain
+                if reach[before] + gain > now[state]:
+                    now[state] = reach[before] + gain
                     back[end, state] = start, before, segment
-        at, state, found = tokens, int(score[tokens].argmax()), []
-        while at:
-            at, state, segment = back[at, state]
+            score[end] = now
+            score.pop(end - MAX_TOKENS - 1, None)
+            if end % SETTLE_TOKENS == 0:
+                live = {(p, s) for p, row in score.items() for s in range(5) if row[s] > -np.inf}
+                while len(live) > 1:
+                    last = max(live)
+                    live.remove(last)
+                    live.add(back[last][:2])
+                yield from self._between(back, root, root := live.pop())
+                back = {node: step for node, step in back.items() if node[0] > root[0]}
+        yield from self._between(back, root, (tokens, int(score[tokens].argmax())))
+
+    @staticmethod
+    def _between(back: dict, root: tuple[int, int], node: tuple[int, int]) -> list[Segment]:
+        found = []
+        while node != root:
+            start, before, segment = back[node]
             if segment:
                 found.append(segment)
+            node = start, before
         return found[::-1]
 
     def train(self, examples: list[tuple[int, list[Segment], list[bool]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> None:
@@ -365,7 +398,7 @@ def trained_field() -> SemiMarkovField:
     examples = []
     for text, spans, cues in training_lines():
         cuts = _cuts(text)
-        segments = candidates(text, cuts, cues)
+        segments = list(candidates(text, cuts, cues))
         wanted = set(spans)
         right = [(cuts[s.start], cuts[s.end], s.kind) in wanted for s in segments]
         examples.append((len(cuts) - 1, segments, right))
@@ -385,13 +418,13 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
     for m in TRIGGER.finditer(text):
         if m.start() < upto:
             continue
-        before = text[max(upto, m.start() - LOOK_BACK) : m.start()]
+        before = text[upto : m.start()]
         if before[-1:].isspace() and m[0] != "@" and not m[0].isdigit():
             before = before[:-1]  # a word, a space, and a bracketed stand-in
         elif before[-1:] == " " and m[0] == "@":
             before = before[:-1]
         word = "" if not before or before[-1].isspace() else before.rsplit(None, 1)[-1]
-        gap = m.start() - max(upto, m.start() - LOOK_BACK) - len(before)
+        gap = m.start() - upto - len(before)
         start = m.start() - gap - len(word)
         end = STRETCH.match(text, m.start()).end()
         yield start, end
@@ -403,16 +436,8 @@ def field_spans(text: str, field: SemiMarkovField) -> Iterator[Span]:
     for start, end in stretches(text):
         piece = text[start:end]
         cuts = _cuts(piece)
-        # Very long stretches are read in parts; entities span MAX_TOKENS at most, and parts overlap by that.
-        for first in range(0, len(cuts) - 1, MAX_STRETCH_TOKENS):
-            part = cuts[first : first + MAX_STRETCH_TOKENS + MAX_TOKENS + 1]
-            body, moved = piece[part[0] : part[-1]], [c - part[0] for c in part]
-            segments = candidates(body, moved, cues_before(text, start))
-            if not segments:
-                continue
-            for s in field.best(len(moved) - 1, segments):
-                if s.start < MAX_STRETCH_TOKENS:
-                    yield start + part[0] + moved[s.start], start + part[0] + moved[s.end], s.kind
+        for s in field.best(len(cuts) - 1, candidates(piece, cuts, cues_before(text, start))):
+            yield start + cuts[s.start], start + cuts[s.end], s.kind
 
 
 def find_spans(text: str | None, field: SemiMarkovField) -> tuple[list[Span], list[Span]]:
@@ -420,13 +445,14 @@ def find_spans(text: str | None, field: SemiMarkovField) -> tuple[list[Span], li
     base = base_spans(text)
     if not text:
         return base, base
-    out, upto = list(base), 0
+    out, upto, reached = list(base), 0, 0
     taken = sorted((a, b) for a, b, _ in base)
     i = 0
     for a, b, kind in sorted(field_spans(text, field)):
-        while i < len(taken) and taken[i][1] <= a:
+        while i < len(taken) and taken[i][0] < b:
+            reached = max(reached, taken[i][1])
             i += 1
-        touches = any(x < b and a < y for x, y in taken[i : i + 8])
+        touches = reached > a
         if a >= upto and not touches:
             out.append((a, b, kind))
             upto = b
