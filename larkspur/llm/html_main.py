@@ -5,8 +5,9 @@ its text length and number of tags.  The ratio of the two is smoothed along the
 page with a Gaussian, lines are clustered by a threshold on the smoothed ratio,
 and the cluster above it says which sections of the page hold the content: all
 outermost ``article`` and ``main`` parts with a line of it, or else the smallest
-section outside of which no line of it and no heading lies.  All lines of these
-sections are returned, short ones too.  Lines in menus, headers,
+section outside of which no line of it and no heading lies; of the latter, parts
+without such lines and without any text but links are left out.  All other lines
+of these sections are returned, short ones too.  Lines in menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comment sections
 never become candidates.
 
@@ -50,11 +51,12 @@ ENDED = {t: (frozenset(ended.split()), frozenset(stop.split())) for tags, ended,
 
 
 class Line:
-    __slots__ = ("heading", "parts", "section", "tags")
+    __slots__ = ("heading", "links", "parts", "section", "tags")
 
     def __init__(self, section: int, heading: bool) -> None:
         self.parts: list[str] = []
         self.tags = 1
+        self.links = True  # whether all its text is in links
         self.section = section
         self.heading = heading
 
@@ -74,6 +76,7 @@ class BlockReader(HTMLParser):
         self.skipped = ""  # the element that is being skipped
         self.depth = 0
         self.line: Line | None = None
+        self.in_link = False
 
     def _noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
@@ -135,7 +138,10 @@ class BlockReader(HTMLParser):
                 self.marked.append(content or self.marked[self.section])
                 self.kinds.append("content" if content else tag)
                 self.section = len(self.parents) - 1
-        elif self.line is not None:
+            self.in_link = False
+        else:
+            self.in_link |= tag == "a"
+        if tag not in BLOCKS and self.line is not None:
             self.line.tags += 1
             if tag == "br":
                 self.line.parts.append(" ")
@@ -154,6 +160,7 @@ class BlockReader(HTMLParser):
                     self.skipped = ""
             return
         if tag not in BLOCKS:
+            self.in_link &= tag != "a"
             return
         self.line = None
         if self.at.get(tag):
@@ -168,6 +175,7 @@ class BlockReader(HTMLParser):
             self.line = Line(self.section, bool(self.open) and self.open[-1][0] in HEADINGS)
             self.lines.append(self.line)
         self.line.parts.append(data)
+        self.line.links &= self.in_link or not data.strip()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -178,31 +186,57 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel, mode="full")[reach : reach + len(ratios)]
 
 
+def clustered(lengths: list[int], tags: list[int]) -> list[bool]:
+    """Which lines lie in runs of smoothed text-to-tag ratios that reach the threshold.
+
+    Smoothing blurs a run's ends, which are cut back to lines that reach it themselves.
+    """
+    own = np.array(lengths, dtype=float) / np.array(tags, dtype=float)
+    level = smoothed(own)
+    least = min(level.std(), level.mean())
+    high = level >= least
+    run = np.cumsum(np.concatenate([[True], high[1:] != high[:-1]]))
+    sure = np.nonzero(high & (own >= least))[0]
+    if not len(sure):
+        return high.tolist()
+    first, last = np.full(run[-1] + 1, len(own)), np.full(run[-1] + 1, -1)
+    np.minimum.at(first, run[sure], sure)
+    np.maximum.at(last, run[sure], sure)
+    at = np.arange(len(own))
+    return ((first[run] <= at) & (at <= last[run])).tolist()
+
+
 def content_sections(reader: BlockReader, lengths: list[int]) -> set[int]:
-    """The sections to return.
+    """The sections to return, each with those inside it.
 
     Every outermost marked content section with a line above the threshold counts.
     Without one, it is the innermost section that leaves no line above the
-    threshold and no heading outside.
+    threshold and no heading outside, less its parts that hold links alone.
     """
-    ratio = smoothed(np.array([n / x.tags for n, x in zip(lengths, reader.lines, strict=True)], dtype=float))
-    threshold = min(ratio.std(), ratio.mean())  # lines below it cluster as boilerplate
     held = [0] * len(reader.parents)
     content = [0] * len(reader.parents)
-    for x, above in zip(reader.lines, (ratio >= threshold).tolist(), strict=True):
+    other = [0] * len(reader.parents)  # lines that are no links
+    for x, above in zip(reader.lines, clustered(lengths, [x.tags for x in reader.lines]), strict=True):
         content[x.section] += above
         held[x.section] += above or x.heading
+        other[x.section] += above or x.heading or not x.links
     for s in range(len(held) - 1, 0, -1):
-        held[reader.parents[s]] += held[s]
-        content[reader.parents[s]] += content[s]
-    marked = {s for s, kind in enumerate(reader.kinds) if kind == "content" and not reader.marked[reader.parents[s]] and content[s]}
-    if marked:
-        return marked
-    best = 0
-    for s in range(1, len(held)):  # sections are numbered from the outside in
-        if held[s] == held[0] and reader.parents[s] == best:
-            best = s
-    return {best}
+        for count in (held, content, other):
+            count[reader.parents[s]] += count[s]
+    inside = {s for s, kind in enumerate(reader.kinds) if kind == "content" and not reader.marked[reader.parents[s]] and content[s]}
+    if inside:
+        unwanted = []
+    else:
+        best = 0
+        for s in range(1, len(held)):  # sections are numbered from the outside in
+            if held[s] == held[0] and reader.parents[s] == best:
+                best = s
+        inside, unwanted = {best}, [not n for n in other]
+        unwanted[best] = False
+    for s in range(min(inside) + 1, len(reader.parents)):
+        if reader.parents[s] in inside and not (unwanted and unwanted[s]):
+            inside.add(s)
+    return inside
 
 
 def main_text(html: str | None) -> str:
@@ -220,9 +254,6 @@ def main_text(html: str | None) -> str:
     reader.lines = [reader.lines[i] for i in kept]
     texts = [texts[i] for i in kept]
     inside = content_sections(reader, [len(t) for t in texts])
-    for s in range(min(inside) + 1, len(reader.parents)):
-        if reader.parents[s] in inside:
-            inside.add(s)
     return "\n".join(t for t, x in zip(texts, reader.lines, strict=True) if x.section in inside)
 
 

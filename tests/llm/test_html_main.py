@@ -1,6 +1,13 @@
+import html
+import math
+import random
+import re
+
 from larkspur.llm import html_main
 from larkspur.llm.queries import op8_html
 
+rng = random.Random(6)
+
 PARAGRAPH = "The river turns north here, and the old mill stands beside it, half hidden by the trees. " * 3
 PAGE = f"""<!doctype html><html><head><title>T</title><style>p {{}}</style><script>var a = "<p>no</p>";</script></head><body>
 <nav><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></nav>
@@ -53,6 +60,61 @@ def test_missing_end_tags_close_nothing_late():
     assert [t for t, _ in nested.open] == ["ul", "li", "table", "tr", "td"]
 
 
+#: No telling names: boilerplate above and below, and an article of long and short lines in one of several equal boxes.
+BARE = f"""<body><div class=x1><ul><li><a href=/>Home page of ours</a></li><li><a href=/b>All other pages</a></li></ul></div>
+<div class=x2><p><a href=/c>Weather</a> <a href=/d>Sports</a> and <b>more</b></p></div>
+<div class=x3><p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p></div><div class=x4><p><i>Seen</i> <b>by</b> <i>many</i></p></div></body>"""
+
+
+def test_the_ratio_decides(monkeypatch):
+    """With equal ratios everything counts as content; with the real ones, the article alone."""
+    p = " ".join(PARAGRAPH.split())
+    assert html_main.main_text(BARE) == "\n".join([p, "Short.", p])
+    monkeypatch.setattr(html_main, "smoothed", lambda ratios, sigma=1.0: ratios * 0)
+    assert "Weather" in html_main.main_text(BARE) and "Seen by many" in html_main.main_text(BARE)
+
+
+def test_links_alone_are_left_out_where_a_heading_is_outside():
+    p = " ".join(PARAGRAPH.split())
+    page = f"<body><h1>Title</h1><div><a href=/>Home</a> <a href=/b>Pages</a></div><div><p>{PARAGRAPH}</p><p><a href=/c>One link</a> in a line</p></div><div>Told by A.</div></body>"
+    assert html_main.main_text(page) == "\n".join(["Title", p, "One link in a line", "Told by A."])
+
+
+def test_clusters_against_plain_sums():
+    for n in (1, 2, 3, 40):
+        lengths, tags = [rng.randint(1, 400) for _ in range(n)], [rng.randint(1, 5) for _ in range(n)]
+        ratio = [a / b for a, b in zip(lengths, tags, strict=True)]
+        level = []
+        for i in range(n):
+            weights = {j: math.exp(-0.5 * (i - j) ** 2) for j in range(n) if abs(i - j) <= 3}
+            level.append(sum(w * ratio[j] for j, w in weights.items()) / sum(weights.values()))
+        mean = sum(level) / n
+        least = min(mean, math.sqrt(sum((x - mean) ** 2 for x in level) / n))
+        high = [x >= least for x in level]
+        want = []
+        for i in range(n):
+            ends = []
+            for step in (-1, 1):
+                j = i
+                while 0 <= j < n and high[j] and ratio[j] < least:
+                    j += step
+                ends.append(0 <= j < n and high[j])
+            want.append(high[i] and all(ends))
+        assert html_main.clustered(lengths, tags) == (want if any(want) else high)
+
+
+def test_query_against_plain_cuts(spark, sf_dir):
+    """The tables' pages are plain: what stands between the article's tags, cut at its blocks."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    want = {}
+    for r in rows:
+        inner = re.search(r"<article[^>]*>(.*)</article>", r["html"] or "", re.S)
+        blocks = re.split(r"</?(?:h1|h2|h3|p|ul|li|div)[^>]*>", re.sub(r"<br>", " ", re.sub(r"<!--.*?-->|<div class=.?ad.*?</div>", "", inner[1], flags=re.S))) if inner else []
+        texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        want[r["page_id"]] = "\n".join(t for t in texts if t)
+    assert {r["page_id"]: r["text"] for r in op8_html(spark, sf_dir).collect()} == want
+
+
 def test_smoothing_keeps_level_lines():
     import numpy as np
 
