@@ -1,8 +1,8 @@
 """Toxicity scores from weak supervision.
 
 Voters.  Words, word beginnings, and beginnings that are frequent within a text
-and that mark toxic rows of the training folds are mined with smoothed log-odds; they are dealt to lexicon voters by strength,
-and pattern voters look at how often, how densely and how closely together they
+and that mark toxic rows are mined with smoothed log-odds from all labelled rows of
+the training folds; they are dealt to lexicon voters by strength, and pattern voters look at how often, how densely and how closely together they
 occur.  A small fixed lexicon votes too, so that there is a model without labels.
 
 Label model.  The voters' joint patterns are counted over all documents.  A
@@ -14,13 +14,13 @@ only start it.
 
 Classifier.  A logistic regression is trained on the posterior labels of a
 sample, and gives the score.  The sample holds about ``max_train`` labelled rows
-of the training folds, chosen by a hash of the id; patterns are counted on all
-rows.  Labels, language, source and id are never inputs of a score.
+of the training folds, chosen by a hash of the id; terms are counted on all labelled
+rows of these folds, patterns on all rows.  Labels, language, source and id are never inputs of a score.
 
 Defined results for odd input: a null or empty text has no marks and gets the
 classifier's base score; only labels 0 and 1 count, and several labels of an id
 count each; without labels the fixed lexicon alone starts the model; a repeated
-row is scored twice; an empty table gives an empty table.  Every distinct word
+row is scored twice; a null id is in no fold, and its labels aren't learned from; an empty table gives an empty table.  Every distinct word
 of a text is looked at, however long the text.
 """
 
@@ -223,10 +223,10 @@ def _mine(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n} | dense
 
 
-def mined_terms(sample: DataFrame, n_terms: int, min_docs: int) -> list[tuple[str, float]]:
+def mined_terms(labelled: DataFrame, n_terms: int, min_docs: int) -> list[tuple[str, float]]:
     """The terms whose presence speaks most for a toxic label, strongest first.
 
-    ``sample`` has ``text, toxic``.  Counts are summed per task before they are shuffled.
+    ``labelled`` has ``text, toxic``.  Counts are summed per task before they are shuffled.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,9 +237,9 @@ def mined_terms(sample: DataFrame, n_terms: int, min_docs: int) -> list[tuple[st
                     found.setdefault(t, [0, 0])[int(toxic)] += 1
             yield pd.DataFrame([(t, a, b) for t, (a, b) in found.items()], columns=["term", "clean", "toxic"])
 
-    counted = sample.mapInPandas(count, "term string, clean long, toxic long")
+    counted = labelled.mapInPandas(count, "term string, clean long, toxic long")
     counted = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    totals = labelled.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not totals["n"]:
         return []
     clean_all, toxic_all = totals["n"] - totals["t"] + 1.0, totals["t"] + 1.0
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     body = docs.select(ident.alias("__id"), F.col(f"`{text}`").alias("text"))
     # At most about max_train rows of two numbers: the sample's bound.
     sample = body.join(F.broadcast(known.where(share)), "__id").select("text", "toxic")
-    terms = mined_terms(sample, n_terms, min_docs)
+    terms = mined_terms(body.join(known, "__id").select("text", "toxic"), n_terms, min_docs)
     lexicon = Lexicon(terms)
     sent = spark.sparkContext.broadcast(lexicon)
 
