@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.workspace import written
+from larkspur.llm.workspace import forget, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,9 +25,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         large = large.unionAll(low.where("src > low").select("src", F.col("low").alias("dst"))).where("src != dst")
         large = written(large.distinct(), "cc-large")
+        forget(now, low)
         low = written(large.groupBy("src").agg(F.min("dst").alias("low")), "cc-low")
         small = large.join(low, "src").where("dst != low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         now = written(small.unionAll(low.select("src", F.col("low").alias("dst"))).distinct(), "cc")
+        forget(large, low)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
         if state == before:
             break

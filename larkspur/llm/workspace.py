@@ -56,7 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove what ``written`` has written for these, which nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch)
 
 
 def ascii_lower(text: Column) -> Column:
