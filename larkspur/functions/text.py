@@ -59,14 +59,15 @@ def clean_questions(text: Column) -> Column:
 
 
 def front_matter(text: Column) -> Column:
-    """Map of the ``key: value`` lines between leading ``---`` lines; empty without them."""
+    """Map of the ``key: value`` lines between leading ``---`` lines, the last of a key; empty without them."""
     block = F.regexp_extract(text, r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: F.instr(x, ":") > 0)
     entries = F.transform(
         lines,
         lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v")),
     )
-    return F.map_from_entries(entries)
+    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
 
 
 def context_prefix(kind: Column, filename: Column, a: Column, b: Column, crumbs: Column) -> Column:
@@ -94,6 +95,26 @@ def embedding_text(prefix: Column, content: Column) -> Column:
     return F.when(F.coalesce(prefix, F.lit("")) != "", F.concat_ws("\n", prefix, content)).otherwise(content)
 
 
+def article_text(title: Column, content: Column) -> Column:
+    """What an article's vector is made of."""
+    return F.concat_ws("\n\n", title, content)
+
+
+def merged_metadata(front: Column, given: Column) -> Column:
+    """One map of both; the given values win."""
+    kept = F.map_filter(front, lambda k, v: ~F.coalesce(F.map_contains_key(given, k), F.lit(False)))
+    return F.map_concat(kept, given)
+
+
+def document_outline(text: Column, n: int = 2) -> Column:
+    """Local summary: ``document_summary`` of the first sentences, and ``section_summaries`` of first- and second-level headings."""
+    body = F.coalesce(text, F.lit(""))
+    first = lambda t, k: F.array_join(F.slice(sentences(t), 1, k), " ")
+    parts = F.slice(F.split(F.concat(F.lit("\n"), body), "\n#{1,2} +"), 2, 1_000_000)
+    section = lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("heading"), first(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2), 1).alias("summary"))
+    return F.struct(first(F.regexp_replace(body, "(?m)^#+ +", ""), n).alias("document_summary"), F.transform(parts, section).alias("section_summaries"))
+
+
 def section_digest(sections: Column, separator: str = " | ") -> Column:
     """``heading: summary`` of an array of such structs."""
     return F.array_join(F.transform(sections, lambda s: F.concat(s["heading"], F.lit(": "), s["summary"])), separator)

@@ -12,6 +12,16 @@ def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def to_text(vector: Column) -> Column:
+    """``[x,y,...]``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def from_text(text: Column) -> Column:
+    """The vector of ``[x,y,...]``; null if it isn't one."""
+    return F.from_json(text, "array<double>")
+
+
 def head(vector: Column, n: int) -> Column:
     """First ``n`` dimensions, not normalised again."""
     return F.slice(vector, 1, n)
@@ -36,8 +46,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def bm25(tf: Column, df: Column, dl: Column, avgdl: Column, n: Column, k1: float = 1.2, b: float = 0.75) -> Column:
     """Score of one term; 0 where it doesn't occur."""
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
-    gain = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avgdl))
-    return F.when(tf > 0, idf * gain).otherwise(F.lit(0.0))
+    return F.when(tf > 0, idf * bm25_gain(tf, dl, avgdl, k1, b)).otherwise(F.lit(0.0))
+
+
+def bm25_gain(tf: Column, dl: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """What a term's frequency counts for, before its rarity."""
+    return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avgdl))
 
 
 def reciprocal_rank(rank: Column, k: int = 60) -> Column:

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import csv
+import io
+import json
+import tomllib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import context_prefix, count_tokens, normalise_paragraphs
+from larkspur.functions.text import context_prefix, count_tokens, front_matter, merged_metadata, normalise_paragraphs
+from larkspur.operators.markdown import join_small_sections, sections
 from larkspur.operators.packing import chunk_hierarchy
-from larkspur.sources.files import json_top_level, notebook_cells
+from larkspur.sources.files import notebook_cells
+
+try:
+    import yaml
+except ImportError:  # without it, YAML files are raw chunks
+    yaml = None
 
 
 def _prefix(kind: str, filename: str = "filename", a: Column | None = None, b: Column | None = None, crumbs: Column | None = None) -> Column:
@@ -39,10 +50,12 @@ def table_rows(rows: DataFrame, group: str, order: str, cells: list[str], size:
 
 def chunk_csv(files: DataFrame, size: int = 30) -> DataFrame:
     """Comma-separated text inside rows: tables of ``size`` rows under the file's header."""
-    lines = F.filter(F.split("content", "\r?\n"), lambda x: F.length(x) > 0)
-    cells = F.transform(lines, lambda x: F.split(x, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    clean = F.transform(cells, lambda r: F.transform(r, lambda c: F.replace(F.regexp_replace(c, "^\"|\"$", ""), F.lit('""'), F.lit('"'))))
-    base = files.select("file_id", "filename", clean.alias("__rows")).where(F.size("__rows") > 1)
+
+    @F.pandas_udf("array<array<string>>")
+    def cells(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [r for r in csv.reader(io.StringIO(t or "", newline="")) if r])
+
+    base = files.select("file_id", "filename", cells("content").alias("__rows")).where(F.size("__rows") > 1)
     base = base.withColumn("__head", F.col("__rows")[0])
     starts = F.sequence(F.lit(2), F.size("__rows"), F.lit(size))
     parts = base.select("file_id", "filename", "__head", "__rows", F.posexplode(starts).alias("chunk_index", "__from"))
@@ -58,10 +71,40 @@ def chunk_csv(files: DataFrame, size: int = 30) -> DataFrame:
     return parts.select("file_id", "chunk_index", content.alias("content"), prefix.alias("prefix")).withColumn("token_count", count_tokens(F.col("content")))
 
 
-def chunk_json(files: DataFrame) -> DataFrame:
-    """One chunk per top-level key; anything else is one raw chunk."""
-    keyed = json_top_level(files)
-    return keyed.select("file_id", "key", F.col("value").alias("content"), _prefix("json", a=F.col("key")).alias("prefix"))
+def structured_parts(filename: str, text: str) -> list[tuple[str | None, str]]:
+    """Top-level keys of JSON, YAML or TOML with their values as indented JSON.
+
+    What isn't an object is one part without a key; what can't be parsed, or is an
+    empty object, is the raw text.
+    """
+    name = (filename or "").lower()
+    try:
+        if name.endswith(".toml"):
+            value = tomllib.loads(text)
+        elif name.endswith((".yaml", ".yml")):
+            if yaml is None:
+                return [(None, text)]
+            value = yaml.safe_load(text)
+        else:
+            value = json.loads(text)
+    except (ValueError, *([yaml.YAMLError] if yaml else [])):
+        return [(None, text)]
+    shown = lambda v: json.dumps(v, indent=2, ensure_ascii=False, default=str)
+    if isinstance(value, dict):
+        return [(str(k), shown({str(k): v})) for k, v in value.items()] or [(None, text)]
+    return [(None, shown(value))]
+
+
+def chunk_structured(files: DataFrame) -> DataFrame:
+    """``file_id, part, content, prefix``: one chunk per top-level key, or one for the file."""
+
+    @F.pandas_udf("array<struct<key:string,value:string>>")
+    def parts(names: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"key": k, "value": v} for k, v in structured_parts(n, t or "")] for n, t in zip(names, texts, strict=True)], dtype=object)
+
+    cut = files.select("file_id", "filename", F.posexplode(parts("filename", "content")).alias("part", "p"))
+    prefix = F.when(F.col("p.key").isNotNull(), _prefix("json", a=F.col("p.key"))).otherwise("")
+    return cut.select("file_id", "part", F.col("p.value").alias("content"), prefix.alias("prefix")).where("trim(content) <> ''")
 
 
 def notebook_chunks(cells: DataFrame, group: str = "file_id") -> DataFrame:
@@ -141,6 +184,69 @@ def page_ranges(pages: Column, size: int = 500) -> Column:
     return F.transform(F.sequence(F.lit(0), pages - 1, F.lit(size)), lambda s: F.concat_ws("-", (s + 1).cast("string"), F.least(s + size, pages).cast("string")))
 
 
+ONLINE_PAGES, BATCH_PAGES = 30, 500
+
+
+def pdf_jobs(pages: Column, stored: Column) -> Column:
+    """How a PDF of so many pages is parsed: ``route`` and ``page_range`` of each job.
+
+    Up to 30 pages are one online call; stored files go to batch jobs of up to 500
+    pages; a file that isn't stored is split into online calls.
+    """
+    size = F.when(stored & (pages > ONLINE_PAGES), BATCH_PAGES).otherwise(ONLINE_PAGES)
+    route = F.when(stored & (pages > ONLINE_PAGES), "batch").otherwise("online")
+    starts = F.when(pages > 0, F.sequence(F.lit(0), pages - 1, size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(route.alias("route"), F.concat_ws("-", (s + 1).cast("string"), F.least(s + size, pages).cast("string")).alias("page_range")))
+
+
+def chunk_pdf(files: DataFrame, parse: Callable[[Column, Column], Column]) -> DataFrame:
+    """PDFs through a layout parser: ``parse(content, page_range)`` gives layout JSON per job.
+
+    A file's jobs are put together in order, empty ones left out, and chunked as markdown.
+    """
+    jobs = files.select("file_id", "filename", "content", F.posexplode(pdf_jobs(F.col("n_pages"), F.col("is_stored"))).alias("job", "j"))
+    parsed = jobs.select("file_id", "filename", "job", layout_text(parse(F.col("content"), F.col("j.page_range"))).alias("m")).where("m <> ''")
+    ordered = F.array_sort(F.collect_list(F.struct("job", "m")))
+    whole = parsed.groupBy("file_id", "filename").agg(F.array_join(F.transform(ordered, lambda x: x["m"]), "\n\n").alias("content"))
+    return chunk_markdown(whole, "pdf")
+
+
+def layout_lines(block: dict) -> Iterator[str]:
+    """Markdown of a layout block and those inside it; headers and footers go with all they hold."""
+    kind = block.get("type", "")
+    if kind in ("header", "footer"):
+        return
+    if kind == "table" and block.get("rows"):
+        rows = [[str(c).replace("\n", " ") for c in r] for r in block["rows"]]
+        width = max(map(len, rows))
+        lines = [r + [""] * (width - len(r)) for r in rows]
+        lines.insert(1, ["---"] * width)
+        yield "\n".join("| " + " | ".join(r) + " |" for r in lines)
+    text = (block.get("text") or "").strip()
+    if text:
+        level = HEADING_LEVELS.get(kind, 0)
+        yield ("#" * level + " " if level else "- " if kind == "list-item" else "") + text
+    for inner in block.get("blocks") or ():
+        yield from layout_lines(inner)
+
+
+def layout_text(layout: Column) -> Column:
+    """Markdown of a layout's JSON, a list of blocks; empty if it can't be read."""
+
+    @F.pandas_udf("string")
+    def drawn(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                blocks = json.loads(t or "[]")
+            except ValueError:
+                blocks = []
+            out.append("\n\n".join(x for b in blocks for x in layout_lines(b)))
+        return pd.Series(out, dtype="object")
+
+    return drawn(layout)
+
+
 # How many heading marks a layout block's type has.
 HEADING_LEVELS = {"title": 1, "heading-1": 2, "heading-2": 3, "heading-3": 4, "heading-4": 5, "heading-5": 6, "heading-6": 6}
 
@@ -157,3 +263,67 @@ def layout_markdown(blocks: DataFrame) -> DataFrame:
     kept = blocks.where(~F.col("kind").isin("header", "footer") & (F.trim("text") != ""))
     lines = F.array_sort(F.collect_list(F.struct("pos", F.concat(mark, F.trim("text")).alias("line"))))
     return kept.groupBy("file_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("content"))
+
+
+FRONT = r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)"
+
+
+def chunk_markdown(files: DataFrame, kind: str = "markdown", min_tokens: int = 100) -> DataFrame:
+    """Markdown: front matter, sections, small sections joined, then the hierarchy under each section's headings.
+
+    ``metadata`` is the front matter under the file's own ``metadata``, if it has
+    any; small sections left over at the end have none.
+    """
+    given = F.col("metadata") if "metadata" in files.columns else F.create_map().cast("map<string,string>")
+    meta = files.select("file_id", "filename", merged_metadata(front_matter(F.col("content")), given).alias("__meta"))
+    body = files.select("file_id", F.regexp_replace("content", FRONT, "").alias("content"))
+    found = join_small_sections(sections(body), min_tokens=min_tokens).join(meta, "file_id")
+    crumbs = F.filter(F.array("h1", "h2"), lambda h: h.isNotNull())
+    none = F.create_map().cast("map<string,string>")
+    ready = found.select("file_id", "group_no", "text", _prefix("markdown", crumbs=crumbs).alias("prefix"), F.when(F.col("is_tiny"), none).otherwise(F.col("__meta")).alias("metadata"))
+    return chunk_hierarchy(ready).withColumn("content_type", F.lit("text" if kind == "markdown" else kind))
+
+
+CHUNK = ("file_id", "content_type", "part", "parent_index", "child_index", "prefix", "parent", "child")
+
+
+def _alone(rows: DataFrame, kind: str, part: str = "part") -> DataFrame:
+    """Chunks that are their own parents."""
+    return rows.select("file_id", F.lit(kind).alias("content_type"), F.col(part).cast("long").alias("part"), F.lit(0).alias("parent_index"), F.lit(0).alias("child_index"), "prefix", F.col("content").alias("parent"), F.col("content").alias("child"))
+
+
+def _packed(rows: DataFrame, part: Column) -> DataFrame:
+    return rows.withColumn("part", part.cast("long")).select(*CHUNK)
+
+
+def chunk_files(files: DataFrame, parse_pdf: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Every file by the chunker of its ``content_type``; unknown types are read as text.
+
+    Images, workbooks, and PDFs without a parser give no chunks but rows of ``unreadable``.
+    """
+    of = lambda *kinds: files.where(F.col("content_type").isin(*kinds))
+    python = F.lower("filename").endswith(".py")
+    known = ("markdown", "code", "json", "yaml", "csv", "notebook", "pdf", "image", "xlsx")
+    csv_rows = chunk_csv(of("csv")).withColumnRenamed("chunk_index", "part")
+    cells = chunk_notebook(of("notebook")).join(of("notebook").select("file_id", "filename"), "file_id")
+    cells = cells.withColumn("prefix", _prefix("notebook", a=F.nullif("section", F.lit("")), b=F.col("chunk_no")))
+    parts = [
+        _packed(chunk_text(files.where(~F.col("content_type").isin(*known))), F.lit(0)),
+        _packed(chunk_markdown(of("markdown")), F.col("group_no")),
+        _packed(chunk_text(of("code").where(~python), "code"), F.lit(0)),
+        _alone(chunk_python(of("code").where(python)), "code"),
+        _alone(chunk_structured(of("json", "yaml")), "json"),
+        _alone(csv_rows, "csv"),
+        _alone(cells.withColumn("part", F.col("chunk_no") - 1), "code"),
+    ]
+    if parse_pdf is not None:
+        parts.append(_packed(chunk_pdf(of("pdf"), parse_pdf), F.col("group_no")))
+    parts = [p.withColumn("file_id", F.col("file_id").cast("string")) for p in parts]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unreadable(files: DataFrame, has_pdf_parser: bool = False) -> DataFrame:
+    """``file_id, content_type, error`` of files that no chunker takes."""
+    kinds = ["image", "xlsx", *([] if has_pdf_parser else ["pdf"])]
+    error = F.concat(F.lit("no chunker for "), F.col("content_type"))
+    return files.where(F.col("content_type").isin(kinds)).select(F.col("file_id").cast("string"), "content_type", error.alias("error"))

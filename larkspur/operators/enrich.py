@@ -51,6 +51,29 @@ def document_summaries(parents: DataFrame, summarise: Provider = first_sentences
     return small.unionByName(reduced)
 
 
+def document_outlines(parents: DataFrame, outline: Provider = tx.document_outline, whole_max: int = 200_000, group_max: int = 50_000) -> DataFrame:
+    """``file_id, tokens, n_groups, document_summary, section_summaries``.
+
+    Beyond ``whole_max`` tokens each greedy group gets an outline; the file's summary
+    is that of the groups' summaries, its sections are theirs in order.
+    """
+    from larkspur.operators.packing import greedy_groups
+
+    ordered = F.array_sort(F.collect_list(F.struct("parent_index", "content", "token_count")))
+    files = parents.groupBy("file_id").agg(F.sum("token_count").alias("tokens"), ordered.alias("__p"))
+    budget = F.when(F.col("tokens") <= whole_max, F.array(F.struct(F.lit(0).alias("first"), (F.size("__p") - 1).alias("last"))))
+    ranged = files.withColumn("__g", F.coalesce(budget, greedy_groups(F.transform("__p", lambda p: p["token_count"]), group_max)))
+    groups = ranged.select("file_id", "tokens", F.size("__g").alias("n_groups"), "__p", F.posexplode("__g").alias("group_no", "__r"))
+    part = F.slice("__p", F.col("__r.first") + 1, F.col("__r.last") - F.col("__r.first") + 1)
+    text = F.array_join(F.transform(part, lambda p: p["content"]), "\n\n")
+    mapped = groups.select("file_id", "tokens", "n_groups", "group_no", outline(text).alias("o"))
+    listed = mapped.groupBy("file_id", "tokens", "n_groups").agg(F.array_sort(F.collect_list(F.struct("group_no", "o"))).alias("__o"))
+    joined = F.array_join(F.transform("__o", lambda x: x["o"]["document_summary"]), " ")
+    summary = F.when(F.col("n_groups") == 1, joined).otherwise(outline(joined)["document_summary"])
+    sections = F.flatten(F.transform("__o", lambda x: x["o"]["section_summaries"]))
+    return listed.select("file_id", "tokens", "n_groups", summary.alias("document_summary"), sections.alias("section_summaries"))
+
+
 def contextualise(chunks: DataFrame, enriched: Column) -> DataFrame:
     """New prefixes; an empty or missing one keeps the old."""
     return chunks.withColumn("context_prefix", F.coalesce(F.nullif(enriched, F.lit("")), F.col("context_prefix")))

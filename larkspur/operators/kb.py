@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import word_count
+from larkspur.functions.text import UUID, word_count
 
 SYMMETRIC = ("related", "contradicts")
 LINK_TYPES = ("related", "contradicts", "extends", "prerequisite")
@@ -24,6 +25,35 @@ def cascade(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def resolve(bases: DataFrame, reference: str, tenant: str | None = None) -> DataFrame:
+    """A tenant's base by its id, if ``reference`` is a UUID, else by its name."""
+    own = bases if tenant is None else bases.where(F.col("tenant_id") == tenant)
+    return own.where(F.col("kb_id") == reference) if re.fullmatch(UUID, reference) else own.where(F.col("name") == reference)
+
+
+def listed(bases: DataFrame, tenant: str | None = None) -> DataFrame:
+    """A tenant's bases, newest first."""
+    own = bases if tenant is None else bases.where(F.col("tenant_id") == tenant)
+    return own.orderBy(F.desc("created_at"), "kb_id")
+
+
+def delete_bases(gone: DataFrame, bases: DataFrame, members: DataFrame, articles: DataFrame, sources: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the bases of ``gone (kb_id)``: articles, their sources and links, and memberships go; files stay."""
+    lost = articles.join(gone.select("kb_id").distinct(), "kb_id", "left_semi").select("article_id")
+    return {
+        "bases": cascade(bases, gone, "kb_id"), "members": cascade(members, gone, "kb_id"), "articles": cascade(articles, gone, "kb_id"),
+        "sources": cascade(sources, lost, "article_id"),
+        "links": edges.join(lost.withColumnRenamed("article_id", "src"), "src", "left_anti").join(lost.withColumnRenamed("article_id", "dst"), "dst", "left_anti"),
+    }
+
+
+def delete_files(gone: DataFrame, files: DataFrame, chunks: DataFrame, sources: DataFrame, aliases: DataFrame, **by_file: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the files of ``gone (file_id)``: chunks, their sources and aliases, and every table of ``by_file``."""
+    lost = chunks.join(gone.select("file_id").distinct(), "file_id", "left_semi").select("chunk_id")
+    kept = {"files": cascade(files, gone, "file_id"), "chunks": cascade(chunks, gone, "file_id"), "sources": cascade(sources, lost, "chunk_id"), "aliases": cascade(aliases, lost, "chunk_id")}
+    return kept | {name: cascade(t, gone, "file_id") for name, t in by_file.items()}
+
+
 def add_files(members: DataFrame, wanted: DataFrame, files: DataFrame, tenant: str | None = None) -> DataFrame:
     """New memberships: each pair once, not there yet, of files that exist (and are the tenant's)."""
     own = files if tenant is None else files.where(F.col("tenant_id") == tenant)
@@ -112,6 +142,12 @@ def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> Data
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page whose ``total`` is the number of rows on it."""
+    cut = page(rows, order, limit, offset)
+    return cut.join(F.broadcast(cut.agg(F.count(F.lit(1)).alias("total"))))  # one row
+
+
 def with_sources(articles: DataFrame, sources: DataFrame) -> DataFrame:
     listed = sources.groupBy("article_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
     return articles.join(listed, "article_id", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<bigint>")))
@@ -128,7 +164,7 @@ def concepts(summaries: DataFrame, titles: DataFrame, per_kb: int = 10) -> DataF
     from larkspur.functions.text import terms
 
     words = summaries.select("kb_id", "file_id", F.explode(terms(F.col("summary"))).alias("term"))
-    tf = words.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.approx_count_distinct("file_id").alias("df"))
+    tf = words.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("file_id").alias("df"))
     n = summaries.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"))
     scored = tf.join(n, "kb_id").withColumn("weight", F.col("tf") * F.ln((F.col("n") + 1.0) / (F.col("df") + 0.5)))
     order = Window.partitionBy("kb_id").orderBy(F.desc("weight"), "term")

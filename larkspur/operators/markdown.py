@@ -49,4 +49,4 @@ def join_small_sections(found: DataFrame, file: str = "file_id", min_tokens: int
         F.max(own).alias("__own"),
         F.count(F.lit(1)).alias("n_sections"),
     )
-    return out.select(file, "group_no", "n_sections", F.col("__own.h1").alias("h1"), F.col("__own.h2").alias("h2"), "text")
+    return out.select(file, "group_no", "n_sections", F.col("__own.h1").alias("h1"), F.col("__own.h2").alias("h2"), "text", (F.col("__own.__big") == 0).alias("is_tiny"))

@@ -7,7 +7,7 @@ it runs over texts in one pass, or over a postings table bucketed by term.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,11 +71,16 @@ def query_terms(query: str) -> list[str]:
 
 
 def postings(chunks: DataFrame, content: str = "content", ident: str = "chunk_id") -> DataFrame:
-    """``term, chunk_id, tf, dl``: counts are made inside a row, so nothing is shuffled."""
-    listed = chunks.select(F.col(ident).alias("chunk_id"), F.array_sort(tx.terms(F.col(content))).alias("__t"))
-    each = listed.select("chunk_id", F.size("__t").alias("dl"), F.explode(F.array_distinct("__t")).alias("term"), "__t")
-    tf = F.size(F.filter("__t", lambda t: t == F.col("term")))
-    return each.select("term", "chunk_id", tf.alias("tf"), "dl")
+    """``term, chunk_id, tf, dl``: occurrences are counted per task before they are shuffled by term."""
+    listed = chunks.select(F.col(ident).alias("chunk_id"), tx.terms(F.col(content)).alias("__t"))
+    each = listed.select("chunk_id", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    return each.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "tf", "dl")
+
+
+def save_postings(index: DataFrame, table: str, buckets: int = 256) -> DataFrame:
+    """The postings as a table bucketed and sorted by term; a search reads its terms' buckets only."""
+    index.repartition(buckets, "term").write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+    return index.sparkSession.table(table)
 
 
 def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -110,9 +115,10 @@ def fuse(lists: Sequence[DataFrame], k: int = 60, limit: int = 20, ident: str =
     return summed.orderBy(F.desc("score"), "first").limit(limit)
 
 
-def rerank(hits: DataFrame, query: str, k: int = 5, content: str = "content", ident: str = "chunk_id") -> DataFrame:
-    """Hits by the share of the query's terms in them, a local stand-in for a cross-encoder."""
-    scored = hits.withColumn("score", vx.coverage(query_terms(query), tx.terms(F.col(content))))
+def rerank(hits: DataFrame, query: str, k: int = 5, content: str = "content", ident: str = "chunk_id", score: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Hits by a model's ``score`` of their content; without one, by the share of the query's terms in them."""
+    relevance = vx.coverage(query_terms(query), tx.terms(F.col(content))) if score is None else score(F.col(content))
+    scored = hits.withColumn("score", relevance)
     return top_hits(scored, k, ident)
 
 

@@ -3,33 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.functions import vectors as vx
 from larkspur.operators import chunkers, enrich, kb, markdown, packing, retrieval, state
-from larkspur.plans.demo import Demo, with_views
+from larkspur.plans.demo import Demo
+from larkspur.registry import ORACLES, QUERIES, Query, register
 from larkspur.sources import detect, files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 ASKED = "the with"
 
 
-def register(sql: str | None = None) -> Callable[[Callable[[Demo], DataFrame]], Query]:
-    def add(build: Callable[[Demo], DataFrame]) -> Query:
-        QUERIES[build.__name__] = lambda spark, sf_dir: build(Demo(spark, sf_dir))
-        if sql:
-            ORACLES[build.__name__] = with_views(sql)
-        return QUERIES[build.__name__]
-
-    return add
-
-
 # ---- sources and scopes --------------------------------------------------------
 
 _NAMES = ["a.ipynb", "b.PY", "c.md", "d.toml", "e.yml", "f.csv", "g.xls", "h.jpeg", "i.rst", "j", "k.bin", "l.vue"]
@@ -594,14 +581,6 @@ def kb_create(d: Demo) -> DataFrame:
     return kb.create(taken, wanted).select("name", "tenant_id")
 
 
-@register()
-def kb_concepts(d: Demo) -> DataFrame:
-    docs = d.table("documents")
-    summaries = docs.select(F.col("lang").alias("kb_id"), F.col("doc_id").alias("file_id"), enrich.first_sentences(F.col("text")).alias("summary"))
-    titles = d.articles().select(F.lit("en").alias("kb_id"), F.split("title", " ")[0].alias("title"))
-    return kb.concepts(summaries, titles)
-
-
 # ---- state ---------------------------------------------------------------------
 
 
@@ -664,13 +643,16 @@ def newest_files(d: Demo) -> DataFrame:
 def stream_ingest(d: Demo) -> DataFrame:
     """Documents through the streaming path: chunk counts and final status per file."""
     import tempfile
+    import uuid
 
     from larkspur.streaming.ingest import ingest
 
     spark = d.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspur-stream-")
-    import uuid
-
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="larkspur-stream-")
     base = f"{root}/stream-{uuid.uuid4().hex}"
     d.files().select(F.col("file_id").cast("string"), "content", F.lit("pending").alias("status")).write.parquet(f"{base}/in")
     query = ingest(spark, f"{base}/in", "file_id string, content string, status string", f"{base}/out", f"{base}/state")
@@ -680,8 +662,12 @@ def stream_ingest(d: Demo) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import larkspur.ingest_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import larkspur.ingest_queries  # noqa: F401
+
     return dict(ORACLES)

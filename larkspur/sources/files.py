@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +39,60 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """``tenant_id, file_id, content`` as one folder per tenant and file."""
-    files.select("tenant_id", "file_id", "content").write.partitionBy("tenant_id", "file_id").mode("append").text(path)
+    """``tenant_id, file_id, filename, content`` byte for byte under one folder per tenant, each row with its object path."""
+    kept = files.select("tenant_id", "file_id", "filename", F.col("content").cast("binary").alias("content"))
+    kept.withColumn("path", object_path(F.col("tenant_id"), F.col("file_id"), F.col("filename"))).write.partitionBy("tenant_id").mode("append").parquet(path)
+
+
+def stored_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def byte_pieces(files: DataFrame, size: int = 256 * 1024, content: str = "content") -> DataFrame:
+    """``piece_no, piece`` of each file's bytes, none for an empty file."""
+    starts = F.when(F.octet_length(content) > 0, F.sequence(F.lit(0), F.octet_length(content) - 1, F.lit(size)))
+    cut = files.select(*files.drop(content).columns, content, F.posexplode(starts).alias("piece_no", "__at"))
+    return cut.withColumn("piece", F.col(content).substr(F.col("__at") + 1, F.lit(size))).drop("__at", content)
+
+
+def stream_bytes(spark: SparkSession, path: str, size: int = 256 * 1024) -> Iterator[bytes]:
+    """A file's bytes, piece by piece; an error if there is none."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    for row in byte_pieces(spark.read.format("binaryFile").load(path).select("path", "content"), size).orderBy("piece_no").toLocalIterator():
+        yield bytes(row["piece"])
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _place(spark, path)
+    return bool(store.exists(at))
+
+
+def total_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a prefix."""
+    at, store = _place(spark, path)
+    return int(store.getContentSummary(at).getLength())
+
+
+def delete_prefix(spark: SparkSession, path: str) -> bool:
+    """Remove all files below a prefix; whether there was anything."""
+    at, store = _place(spark, path)
+    return bool(store.delete(at, True))
 
 
 def json_top_level(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row per top-level key of JSON objects: ``key, value`` (compact JSON).
+    """One row per top-level key of JSON objects: ``key, value`` (text of strings, compact JSON of the rest).
 
     A value that isn't an object, or can't be parsed, gives one row with a null key.
     """
-    parsed = files.withColumn("__v", F.try_parse_json(content))
-    whole = parsed.withColumn("__keys", F.json_object_keys(content))
-    keyed = whole.withColumn("key", F.explode_outer("__keys"))
-    value = F.when(F.col("key").isNull(), F.col(content)).otherwise(F.expr(f"get_json_object({content}, concat('$[\\'', key, '\\']'))"))
-    return keyed.withColumn("value", value).drop("__v", "__keys")
+    others = [c for c in files.columns if c != content]
+    keyed = files.select(*others, content, F.explode_outer(F.from_json(content, "map<string,string>")).alias("key", "__v"))
+    return keyed.withColumn("value", F.when(F.col("key").isNull(), F.col(content)).otherwise(F.col("__v"))).drop("__v")
 
 
 def notebook_cells(files: DataFrame, content: str = "content") -> DataFrame:
