@@ -22,8 +22,7 @@ def _sha256(value: Column) -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    scored = toxicity.fit_and_score(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), keep=["doc_id"])
     return scored.select(
         "doc_id",
         (~toxicity.in_training(F.col("doc_id"))).alias("held_out"),

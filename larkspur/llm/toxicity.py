@@ -26,6 +26,7 @@ of a text is looked at, however long the text.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -37,6 +38,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.workspace import forget, written
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Common insults in four languages, a starting lexicon.
 SEED_LEXICON = frozenset(
@@ -250,41 +253,37 @@ def mined_terms(labelled: DataFrame, n_terms: int, min_docs: int) -> list[tuple[
     return [(r["term"], r["lower"]) for r in strong.orderBy(F.desc("lower"), "term").limit(n_terms).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 12_000, n_terms: int = 1500, min_docs: int = 5) -> ToxicityModel:
-    """Voters, label model and classifier; see the module's description."""
-    spark = docs.sparkSession
-    ident = F.col(f"`{id_col}`")
-    known = labels.where(F.col(label).isin(0, 1) & in_training(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("long").alias("toxic"))
-    n_known = known.count()
-    share = F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < max(0, int(1_000_000 * min(1.0, max_train / max(1, n_known))))
-    body = docs.select(ident.alias("__id"), F.col(f"`{text}`").alias("text"))
-    # At most about max_train rows of two numbers: the sample's bound.
-    sample = body.join(F.broadcast(known.where(share)), "__id").select("text", "toxic")
-    terms = mined_terms(body.join(known, "__id").select("text", "toxic"), n_terms, min_docs)
-    lexicon = Lexicon(terms)
-    sent = spark.sparkContext.broadcast(lexicon)
+def labelled_rows(labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """``__id, toxic`` of the labels 0 and 1 in the training folds."""
+    return labels.where(F.col(label).isin(0, 1) & in_training(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("long").alias("toxic"))
 
-    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [sent.value.features(t) for t in batch["text"]]
-            yield pd.DataFrame({"terms": [f.terms for f in found], "numbers": [f.numbers for f in found], "pattern": [f.pattern for f in found], "toxic": batch["toxic"]})
 
-    rows = sample.mapInPandas(show, "terms array<int>, numbers array<double>, pattern int, toxic long").collect()
-    found = [Features(list(r["terms"]), list(r["numbers"]), r["pattern"]) for r in rows]
+def mined_lexicon(docs: DataFrame, known: DataFrame, id_col: str, text: str, n_terms: int = 1500, min_docs: int = 5) -> Lexicon:
+    body = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("text"))
+    return Lexicon(mined_terms(body.join(known, "__id").select("text", "toxic"), n_terms, min_docs))
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            for t in batch["text"]:
-                p = sent.value.features(t).pattern
-                total[p] = total.get(p, 0) + 1
-        yield pd.DataFrame({"pattern": list(total), "n": list(total.values())}, dtype="int64")
 
+def marked(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """``docs`` with ``__marks``: each text's terms, numbers and voter pattern."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    @F.pandas_udf("struct<terms:array<int>,numbers:array<double>,pattern:int>")
+    def marks(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sent.value.features(t) for t in column], columns=Features._fields)
+
+    return docs.withColumn("__marks", marks(F.col(f"`{text}`")))
+
+
+def learn(table: DataFrame, known: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", max_train: int = 12_000) -> ToxicityModel:
+    """Label model and classifier from a written table of ids and ``__marks``."""
+    share = F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < max(0, int(1_000_000 * min(1.0, max_train / max(1, known.count()))))
+    body = table.select(F.col(f"`{id_col}`").alias("__id"), "__marks.*")
+    # At most about max_train rows of two numbers: the sample's bound.
+    rows = body.join(F.broadcast(known.where(share)), "__id").drop("__id").collect()
+    found = [Features(list(r["terms"]), list(r["numbers"]), r["pattern"]) for r in rows]
     # At most 2 ** VOTERS rows.
-    counts = body.select("text").mapInPandas(tally, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counts = body.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     every = {r["pattern"]: r["n"] for r in counts}
-    for f in found:
-        every.setdefault(f.pattern, 1)
     every.setdefault(0, 1)
     patterns = np.array(sorted(every), dtype=np.int64)
     model = LabelModel(patterns, np.array([every[p] for p in patterns.tolist()]), _start(patterns, found, [r["toxic"] for r in rows]))
@@ -295,6 +294,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return ToxicityModel(lexicon, _logistic(found, target, lexicon.size))
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 12_000) -> ToxicityModel:
+    """Voters, label model and classifier; see the module's description."""
+    known = labelled_rows(labels, label)
+    lexicon = mined_lexicon(docs, known, id_col, text)
+    table = written(marked(docs.select(f"`{id_col}`", f"`{text}`"), lexicon, text).select(f"`{id_col}`", "__marks"), "toxic-marks")
+    model = learn(table, known, lexicon, id_col, max_train)
+    forget(table)
+    return model
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 12_000) -> DataFrame:
+    """``toxicity`` of the documents a model is fitted on, with their columns ``keep``, the id among them.
+
+    Each text is read for marks once: the kept columns are written with the marks,
+    and both the model and the scores come from that table.
+    """
+    known = labelled_rows(labels, label)
+    lexicon = mined_lexicon(docs, known, id_col, text)
+    table = written(marked(docs, lexicon, text).select(*[f"`{c}`" for c in keep], "__marks"), "toxic-marks")
+    return weighed(table, learn(table, known, lexicon, id_col, max_train))
+
+
 def _start(patterns: np.ndarray, found: list[Features], toxic: list[int]) -> np.ndarray:
     """First posteriors: the share of toxic labels per pattern, pulled to its number of votes."""
     votes = np.array([bin(p).count("1") for p in patterns.tolist()])
@@ -307,15 +328,19 @@ def _start(patterns: np.ndarray, found: list[Features], toxic: list[int]) -> np.
     return (ones + 4 * share) / (seen + 4)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` from 0 to 1, which replaces a column of that name."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def weighed(table: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``toxicity`` in place of ``__marks``."""
+    n = model.lexicon.size
+    listed = lambda ws: F.from_json(F.lit(json.dumps(ws.tolist())), "array<double>")
+    terms = F.aggregate("__marks.terms", F.lit(0.0), lambda total, t: total + F.get(listed(model.weights[:n]), t))
+    numbers = F.zip_with("__marks.numbers", listed(model.weights[n:-1]), lambda x, w: x * w)
+    z = terms + F.aggregate(numbers, F.lit(0.0), lambda total, x: total + x) + F.lit(float(model.weights[-1]))
+    return table.withColumn("toxicity", 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(z, F.lit(50.0)))))).drop("__marks")
 
-    @F.pandas_udf("double")
-    def scored(column: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in column], dtype="float64")
 
-    return docs.withColumn("toxicity", scored(F.col(f"`{text}`")))
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """``docs`` with ``toxicity`` from 0 to 1, which replaces a column of that name."""
+    return weighed(marked(docs, model.lexicon, text), model)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -26,6 +26,18 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     assert all((r["toxicity"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in a)
 
 
+def test_scores_equal_the_plain_version(spark, sf_dir):
+    """Written marks, joint scoring, and scoring of new rows all give the plain score of each text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = toxicity.read_labels(spark, f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    want = {r["doc_id"]: model.score(r["text"]) for r in docs.collect()}
+    for got in (toxicity.fit_and_score(docs, labels, keep=["doc_id"]), toxicity.score(docs, model)):
+        found = {r["doc_id"]: r["toxicity"] for r in got.collect()}
+        assert found.keys() == want.keys()
+        assert max(abs(found[i] - want[i]) for i in want) < 1e-9
+
+
 def test_odd_input(spark):
     rows = [(1, "You idiot, you moron", 5), (1, "You idiot, you moron", 5), (2, None, 5), (3, "", 5), (None, "fine", None), (4, "word " * 100_000 + "idiot", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity int")
