@@ -31,8 +31,8 @@ def _unpacked(packed: DataFrame, columns: list[str], **changed: Column) -> DataF
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below the threshold."""
     labels = toxicity.read_labels(spark, f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return _unpacked(toxicity.score(_packed(docs), model).where(F.col("toxicity") < REJECT_AT), docs.columns)
+    packed = _packed(docs)
+    return _unpacked(toxicity.fit_and_score(packed, labels, keep=packed.columns).where(F.col("toxicity") < REJECT_AT), docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
