@@ -260,7 +260,8 @@ def labelled_rows(labels: DataFrame, label: str = "toxic") -> DataFrame:
 
 def mined_lexicon(docs: DataFrame, known: DataFrame, id_col: str, text: str, n_terms: int = 1500, min_docs: int = 5) -> Lexicon:
     body = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("text"))
-    return Lexicon(mined_terms(body.join(known, "__id").select("text", "toxic"), n_terms, min_docs))
+    # Labels grow with the rows, so texts of the training folds are shuffled at every size.
+    return Lexicon(mined_terms(body.join(known.hint("merge"), "__id").select("text", "toxic"), n_terms, min_docs))
 
 
 def marked(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
