@@ -35,10 +35,11 @@ def bases_to_compile(ready: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(ready.where("status = 'ready'"), "file_id", "left_semi").select("kb_id").distinct()
 
 
-def watch(updates: DataFrame, minutes: int = 10) -> DataFrame:
+def watch(updates: DataFrame, minutes: float = 10) -> DataFrame:
     """``file_id, status`` of files whose status hasn't moved on from ``processing`` in time.
 
-    ``updates`` is a stream of ``file_id string, status string``.
+    ``updates`` is a stream of ``file_id string, status string``.  Run it with a
+    processing-time trigger: a timer that waits keeps an ``availableNow`` run open.
     """
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,7 +52,7 @@ def watch(updates: DataFrame, minutes: int = 10) -> DataFrame:
             last = batch["status"].iloc[-1]
         if last == "processing":
             state.update((last,))
-            state.setTimeoutDuration(minutes * 60_000)
+            state.setTimeoutDuration(int(minutes * 60_000))
         elif state.exists:
             state.remove()
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from larkspur.functions import text as tx
 from larkspur.operators import chunkers, models, packing, retrieval
 from larkspur.plans.demo import Demo
 from larkspur.sources import files
-from larkspur.streaming.ingest import bases_to_compile
+from larkspur.streaming.ingest import bases_to_compile, watch
 
 
 def n_tokens(text):
@@ -174,3 +175,18 @@ def test_local_embedder_is_the_expression(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     column = [list(r[0]) for r in rows.select(vx.hashed_embedding(tx.terms(F.col("t")), 16)).collect()]
     assert models.hashed_embedder(16)(texts, "query", "text") == column
+
+
+def test_timeouts_of_a_stream(spark, tmp_path):
+    rows = [("a", "processing"), ("b", "ready"), ("c", "processing")]
+    spark.createDataFrame(rows, "file_id string, status string").write.parquet(f"{tmp_path}/updates")
+    updates = spark.readStream.schema("file_id string, status string").parquet(f"{tmp_path}/updates")
+    late = watch(updates, minutes=0.02).writeStream.format("memory").queryName("late_files").outputMode("append")
+    query = late.trigger(processingTime="1 second").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        end = time.monotonic() + 90
+        while spark.table("late_files").count() < 2 and time.monotonic() < end:
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert sorted(tuple(r) for r in spark.table("late_files").collect()) == [("a", "pending"), ("c", "pending")]
