@@ -8,6 +8,7 @@ it runs over texts in one pass, or over a postings table bucketed by term.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,19 +50,21 @@ def with_alias_hits(hits: DataFrame, aliases: DataFrame, scoped: DataFrame, quer
 def text_search(scoped: DataFrame, query: str, k: int = 50, content: str = "content", ident: str = "chunk_id") -> DataFrame:
     """Texts with every term of the query, by summed BM25 over the scope's statistics."""
     wanted = query_terms(query)
-    listed = scoped.withColumn("__t", tx.terms(F.col(content)))
     tfs = [_occurrences(q).alias(f"__tf{i}") for i, q in enumerate(wanted)]
-    counted = listed.select(*scoped.columns, F.size("__t").alias("__dl"), *tfs)
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avgdl"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(wanted))]
+    split = tx.terms(F.col(content)).alias("__t")
+    stats = scoped.select(split).agg(
+        F.count(F.lit(1)).alias("__n"), F.avg(F.size("__t")).alias("__avgdl"), *[F.count_if(F.array_contains("__t", q)).alias(f"__df{i}") for i, q in enumerate(wanted)]
     )
+    lower = F.lower(F.col(content))
+    near = scoped.where(reduce(Column.__and__, [lower.contains(q) for q in wanted], F.lit(bool(wanted))))  # only these are split again
+    counted = near.select(*scoped.columns, split).select(*scoped.columns, F.size("__t").alias("__dl"), *tfs)
     every = counted.where(" AND ".join(f"__tf{i} > 0" for i in range(len(wanted))) or "false").join(F.broadcast(stats))  # stats is one row
     score = sum((vx.bm25(F.col(f"__tf{i}"), F.col(f"__df{i}"), F.col("__dl"), F.col("__avgdl"), F.col("__n")) for i in range(len(wanted))), F.lit(0.0))
     return top_hits(every.select(*scoped.columns, score.alias("score")), k, ident)
 
 
 def _occurrences(term: str) -> Column:
-    return F.size(F.filter("__t", lambda t: t == term))
+    return F.size("__t") - F.size(F.array_remove("__t", term))
 
 
 def query_terms(query: str) -> list[str]:
