@@ -275,9 +275,9 @@ def chunk_structured(d: Demo) -> DataFrame:
     return chunkers.chunk_structured(made).select("file_id", "part", "prefix", "content")
 
 
-@register(f"""SELECT n_nationkey AS file_id, 'File: n.csv | Columns: key, note' AS prefix, '| key | note |' || {NL} || '| --- | --- |' || {NL} || '| ' || n_nationkey || ' | two' || {NL} || 'lines "of" ' || n_name || ' | extra |' AS content FROM nation""")
+@register(f"""SELECT n_nationkey AS file_id, 'File: n.csv | Columns: key, note' AS prefix, '| key | note |' || {NL} || '| --- | --- |' || {NL} || '| ' || n_nationkey || ' | two' || {NL} || 'lines "of" ' || n_name || ' | extra |' || {NL} || '|  |  |' AS content FROM nation""")
 def chunk_csv_quoted(d: Demo) -> DataFrame:
-    """Cells with line ends and quotes, and a row with more cells than the header."""
+    """Cells with line ends and quotes, a row with more cells than the header, and a blank line."""
     text = F.concat(F.lit("key,note\r\n"), F.col("n_nationkey").cast("string"), F.lit(',"two\nlines ""of"" '), "n_name", F.lit('",extra\r\n\r\n'))
     made = d.table("nation").select(F.col("n_nationkey").alias("file_id"), F.lit("n.csv").alias("filename"), text.alias("content"))
     return chunkers.chunk_csv(made).select("file_id", "prefix", "content")

@@ -49,11 +49,11 @@ def table_rows(rows: DataFrame, group: str, order: str, cells: list[str], size:
 
 
 def chunk_csv(files: DataFrame, size: int = 30) -> DataFrame:
-    """Comma-separated text inside rows: tables of ``size`` rows under the file's header."""
+    """Comma-separated text inside rows: tables of ``size`` rows under the file's header; a blank line is a row of empty cells."""
 
     @F.pandas_udf("array<array<string>>")
     def cells(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [r for r in csv.reader(io.StringIO(t or "", newline="")) if r])
+        return texts.map(lambda t: list(csv.reader(io.StringIO(t or "", newline=""))))
 
     base = files.select("file_id", "filename", cells("content").alias("__rows")).where(F.size("__rows") > 1)
     base = base.withColumn("__head", F.col("__rows")[0])
