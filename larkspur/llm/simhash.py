@@ -12,7 +12,9 @@ whole table, without bands, would compare a constant share of all pairs.
 A group of more than ``group_rows`` fingerprints is dealt over the pairs of its
 salted parts, so no task holds more than two parts.  A task never returns pairs:
 it joins what it found in a forest, at most one edge per fingerprint and part.
-Components of these edges are the near-duplicate groups.
+Components of these edges are the near-duplicate groups.  Classes go back to the
+rows by fingerprint; the fingerprints that hold a large share of all rows, such as
+that of empty texts, are broadcast, so their rows never meet in one task.
 
 Defined results for odd input: a null or empty text, or one of white space, has
 fingerprint zero and is linked like any other; fewer words than a shingle make
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected_components
-from larkspur.llm.workspace import key128, written
+from larkspur.llm.workspace import join_by_hot, key128, written
 
 TILE = 128
 HASHES_AT_ONCE = 1 << 17
@@ -191,14 +193,14 @@ def _compared(rows: pd.DataFrame, key: list[str], radius: int) -> Iterator[pd.Da
 
 
 def groups_of(marked: DataFrame, radius: int = 3, group_rows: int = 20_000) -> DataFrame:
-    """``fp, low, component`` for each fingerprint of ``marked (doc_id, fp)``.
+    """``fp, low, n, component`` for each fingerprint of ``marked (doc_id, fp)``.
 
     ``component`` names the near-duplicate group, also one of null ids alone;
-    ``low`` is the fingerprint's smallest id.
+    ``low`` is the fingerprint's smallest id, ``n`` the number of its rows.
     """
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     members = connected_components(links(nodes.select("fp"), radius, group_rows))
-    return written(nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "simhash-members")
+    return written(nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component")), "simhash-members")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text: str = "text", group_rows: int = 20_000) -> DataFrame:
@@ -206,8 +208,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str
     marked = written(fingerprints(docs, size, id_col, text), "simhash")
     joined = groups_of(marked, radius, group_rows)
     named = joined.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = written(joined.join(named, "component").select("fp", "component_id"), "simhash-classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = written(joined.join(named, "component").select("fp", "n", "component_id"), "simhash-classes")
+    return join_by_hot(marked, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text: str = "text", group_rows: int = 20_000) -> DataFrame:
@@ -219,9 +221,9 @@ def representatives(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str
     ident = F.col(f"`{id_col}`").cast("long")
     keyed = docs.select(ident.alias("doc_id"), F.col(f"`{text}`").alias("text"), key128(F.col(f"`{text}`")).alias("key"))
     marked = written(fingerprints(keyed, size, also=("key",)), "simhash")
-    classes = groups_of(marked.select("doc_id", "fp"), radius, group_rows).select("fp", "component")
+    classes = groups_of(marked.select("doc_id", "fp"), radius, group_rows).select("fp", "n", "component")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    first = marked.join(classes, "fp").groupBy("component").agg(smallest.alias("__first"))
+    first = join_by_hot(marked, classes, ["fp"]).groupBy("component").agg(smallest.alias("__first"))
     same = ident.eqNullSafe(F.col("__first.doc_id")) & (key128(F.col(f"`{text}`")) == F.col("__first.key"))
     kept = docs.join(first.select("__first"), same, "left_semi")
     return kept.withColumn("__key", key128(F.col(f"`{text}`"))).dropDuplicates([id_col, "__key"]).drop("__key")

@@ -67,6 +67,20 @@ def forget(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.scratch)
 
 
+def join_by_hot(rows: DataFrame, side: DataFrame, keys: list[str], share: int = 1_000) -> DataFrame:
+    """Inner join of ``rows`` to ``side``, which has one row per key and ``n``, the number of rows with that key.
+
+    Keys that hold over one in ``share`` of all rows that ``side`` counts are fewer than
+    ``share``; they are broadcast, and their rows stay where they are.  All
+    others are shuffled.
+    """
+    total = side.agg(F.sum("n").alias("n")).first()["n"] or 0
+    is_hot = F.col("n") * share > total
+    hot, cold = side.where(is_hot), side.where(~is_hot)
+    there = rows.join(F.broadcast(hot), keys)
+    return there.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)).drop("n")
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character kept."""
     plain = F.length(text) == F.octet_length(text)
