@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.workspace import scratch_path, written
+from larkspur.llm.workspace import join_by_hot, scratch_path, written
 
 CRLF = "\r\n"
 #: Fixed value: the alphabet of RFC 4648 base32, and the digits that conv() writes.
@@ -182,15 +182,15 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True, batc
 
 
 def originals(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``payload_digest, payload_bytes, original_id`` of payloads found more than once."""
+    """``payload_digest, payload_bytes, original_id, n`` of payloads found ``n`` times, more than once."""
     grouped = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
     counted = grouped.agg(F.max("page_id").alias("original_id"), F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") > 1).drop("n")
+    return counted.where(F.col("n") > 1)
 
 
 def revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``file, number, original_id`` of each record that revisits another."""
-    met = headers.join(originals(headers, min_bytes), ["payload_digest", "payload_bytes"])
+    met = join_by_hot(headers, written(originals(headers, min_bytes), "warc-originals"), ["payload_digest", "payload_bytes"])
     other = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
     return met.where(other).select("file", "number", "original_id")
 
@@ -198,9 +198,9 @@ def revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: int = 0, date: str = "2024-01-02T00:00:00Z", records_per_file: int = 2000) -> None:
     """Write the archive ``source`` again at ``target`` without repeated payloads.
 
-    Headers alone meet by digest, without payloads; adaptive execution may split
-    that join where one payload is in a large share of the records.  The decisions
-    go back to the records by file and number, keys that no two records share.
+    Headers alone meet by digest, without payloads; the payloads in a large share of
+    the repeating records are broadcast by digest, so that their headers never meet in one
+    task.  The decisions go back to the records by file and number, keys that no two records share.
     """
     headers = written(read_archive(spark, source, with_payload=False).select("file", "number", "page_id", "payload_digest", "payload_bytes"), "warc-headers")
     found = written(revisits(headers, min_bytes), "warc-revisits")
