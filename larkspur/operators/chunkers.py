@@ -9,6 +9,7 @@ import json
 import tomllib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,26 +49,41 @@ def table_rows(rows: DataFrame, group: str, order: str, cells: list[str], size:
     return placed.groupBy(group, "chunk_no").agg(F.count(F.lit(1)).alias("n_rows"), F.concat(F.lit(head), body).alias("content"))
 
 
-def chunk_csv(files: DataFrame, size: int = 30) -> DataFrame:
-    """Comma-separated text inside rows: tables of ``size`` rows under the file's header; a blank line is a row of empty cells."""
+def csv_tables(text: str, size: int) -> Iterator[tuple[int, list[str], list[list[str]]]]:
+    """Number, header and up to ``size`` rows of each chunk, read one after the other."""
+    csv.field_size_limit(1 << 30)  # else a cell of over 128 KB is an error
+    rows = csv.reader(io.StringIO(text, newline=""))
+    head = next(rows, [])
+    for number in count():
+        held = list(islice(rows, size))
+        if not held:
+            return
+        yield number, head, held
 
-    @F.pandas_udf("array<array<string>>")
-    def cells(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(csv.reader(io.StringIO(t or "", newline=""))))
 
-    base = files.select("file_id", "filename", cells("content").alias("__rows")).where(F.size("__rows") > 1)
-    base = base.withColumn("__head", F.col("__rows")[0])
-    starts = F.sequence(F.lit(2), F.size("__rows"), F.lit(size))
-    parts = base.select("file_id", "filename", "__head", "__rows", F.posexplode(starts).alias("chunk_index", "__from"))
-    width = F.size("__head")
-    drawn = F.transform(
-        F.slice("__rows", F.col("__from"), size),
-        lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r)))), " | "), F.lit(" |")),
-    )
-    head = F.concat(F.lit("| "), F.array_join("__head", " | "), F.lit(" |"))
+def chunk_csv(files: DataFrame, size: int = 30, batch: int = 1000) -> DataFrame:
+    """Comma-separated text: tables of ``size`` rows under the file's header; a blank line is a row of empty cells.
+
+    A file is read as a stream and leaves its task as chunks, ``batch`` at a time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in files.select("file_id", "filename").schema}
+    names = ["file_id", "filename", "chunk_index", "head", "rows"]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            chunks = ((i, f, *t) for i, f, c in zip(b["file_id"], b["filename"], b["content"], strict=True) for t in csv_tables(c or "", size))
+            while held := list(islice(chunks, batch)):
+                yield pd.DataFrame(held, columns=names)
+
+    shape = f"file_id {kinds['file_id']}, filename {kinds['filename']}, chunk_index int, head array<string>, rows array<array<string>>"
+    parts = files.select("file_id", "filename", "content").mapInPandas(cut, shape)
+    width = F.size("head")
+    padded = lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), width - F.size(r))))
+    drawn = F.transform("rows", lambda r: F.concat(F.lit("| "), F.array_join(padded(r), " | "), F.lit(" |")))
+    head = F.concat(F.lit("| "), F.array_join("head", " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     content = F.array_join(F.concat(F.array(head, rule), drawn), "\n")
-    prefix = _prefix("csv", b=F.array_join("__head", ", "))
+    prefix = _prefix("csv", b=F.array_join("head", ", "))
     return parts.select("file_id", "chunk_index", content.alias("content"), prefix.alias("prefix")).withColumn("token_count", count_tokens(F.col("content")))
 
 

@@ -31,24 +31,41 @@ def first_sentences(text: Column, n: int = 2) -> Column:
     return F.array_join(F.slice(tx.sentences(text), 1, n), " ")
 
 
+def group_texts(parents: DataFrame, whole_max: int, group_max: int) -> DataFrame:
+    """``file_id, tokens, n_groups, group_no, text``: files within ``whole_max`` tokens whole, others in greedy groups.
+
+    Group numbers come from token counts alone; each text goes to its group once.
+    Parents of one index stay together.
+    """
+    from larkspur.operators.packing import greedy_groups, let, run
+
+    sizes = parents.groupBy("file_id", "parent_index").agg(F.sum("token_count").alias("t"))
+    files = sizes.groupBy("file_id").agg(F.sum("t").alias("tokens"), F.array_sort(F.collect_list(F.struct("parent_index", "t"))).alias("__p"))
+    whole = F.when(F.col("tokens") <= whole_max, F.array(F.struct(F.lit(0).alias("first"), (F.size("__p") - 1).alias("last"))))
+    ranged = files.withColumn("__g", F.coalesce(whole, greedy_groups(F.transform("__p", lambda p: p["t"]), group_max)))
+    members = let(
+        F.struct(F.transform("__p", lambda p: p["parent_index"]).alias("p"), F.col("__g").alias("g")),
+        lambda v: F.transform(v["g"], lambda r: run(v["p"], r["first"], r["last"])),
+    )
+    groups = ranged.select("file_id", "tokens", F.size("__g").alias("n_groups"), F.posexplode(members).alias("group_no", "__m"))
+    placed = groups.select("file_id", "tokens", "n_groups", "group_no", F.explode("__m").alias("parent_index"))
+    same = parents["file_id"].eqNullSafe(placed["file_id"]) & parents["parent_index"].eqNullSafe(placed["parent_index"])
+    listed = parents.join(placed, same).select(placed["*"], parents["content"])
+    ordered = F.array_sort(F.collect_list(F.struct("parent_index", "content")))
+    text = F.array_join(F.transform(ordered, lambda p: p["content"]), "\n\n")
+    return listed.groupBy("file_id", "tokens", "n_groups", "group_no").agg(text.alias("text"))
+
+
 def document_summaries(parents: DataFrame, summarise: Provider = first_sentences, whole_max: int = 200_000, group_max: int = 50_000) -> DataFrame:
     """Summary per file: of the whole text, or of summaries of greedy groups beyond ``whole_max`` tokens.
 
     ``parents`` has ``file_id, parent_index, content, token_count``.
     """
-    from larkspur.operators.packing import greedy_groups
-
-    ordered = F.array_sort(F.collect_list(F.struct("parent_index", "content", "token_count")))
-    files = parents.groupBy("file_id").agg(F.sum("token_count").alias("tokens"), ordered.alias("__p"))
-    joined = lambda ps: F.array_join(F.transform(ps, lambda p: p["content"]), "\n\n")
-    small = files.where(F.col("tokens") <= whole_max).select("file_id", "tokens", F.lit(1).alias("n_groups"), summarise(joined(F.col("__p"))).alias("summary"))
-    large = files.where(F.col("tokens") > whole_max).withColumn("__g", greedy_groups(F.transform("__p", lambda p: p["token_count"]), group_max))
-    groups = large.select("file_id", "tokens", F.size("__g").alias("n_groups"), "__p", F.posexplode("__g").alias("group_no", "__r"))
-    part = F.slice("__p", F.col("__r.first") + 1, F.col("__r.last") - F.col("__r.first") + 1)
-    mapped = groups.select("file_id", "tokens", "n_groups", "group_no", summarise(joined(part)).alias("s"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("group_no", "s"))), lambda x: x["s"])
-    reduced = mapped.groupBy("file_id", "tokens", "n_groups").agg(summarise(F.array_join(texts, " ")).alias("summary"))
-    return small.unionByName(reduced)
+    mapped = group_texts(parents, whole_max, group_max).select("file_id", "tokens", "n_groups", "group_no", summarise(F.col("text")).alias("s"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "s"))), lambda x: x["s"]), " ")
+    reduced = mapped.groupBy("file_id", "tokens", "n_groups").agg(texts.alias("__s"), F.first("s").alias("__only"))
+    summary = F.when(F.col("tokens") <= whole_max, F.col("__only")).otherwise(summarise(F.col("__s")))
+    return reduced.select("file_id", "tokens", "n_groups", summary.alias("summary"))
 
 
 def document_outlines(parents: DataFrame, outline: Provider = tx.document_outline, whole_max: int = 200_000, group_max: int = 50_000) -> DataFrame:
@@ -57,16 +74,7 @@ def document_outlines(parents: DataFrame, outline: Provider = tx.document_outlin
     Beyond ``whole_max`` tokens each greedy group gets an outline; the file's summary
     is that of the groups' summaries, its sections are theirs in order.
     """
-    from larkspur.operators.packing import greedy_groups
-
-    ordered = F.array_sort(F.collect_list(F.struct("parent_index", "content", "token_count")))
-    files = parents.groupBy("file_id").agg(F.sum("token_count").alias("tokens"), ordered.alias("__p"))
-    budget = F.when(F.col("tokens") <= whole_max, F.array(F.struct(F.lit(0).alias("first"), (F.size("__p") - 1).alias("last"))))
-    ranged = files.withColumn("__g", F.coalesce(budget, greedy_groups(F.transform("__p", lambda p: p["token_count"]), group_max)))
-    groups = ranged.select("file_id", "tokens", F.size("__g").alias("n_groups"), "__p", F.posexplode("__g").alias("group_no", "__r"))
-    part = F.slice("__p", F.col("__r.first") + 1, F.col("__r.last") - F.col("__r.first") + 1)
-    text = F.array_join(F.transform(part, lambda p: p["content"]), "\n\n")
-    mapped = groups.select("file_id", "tokens", "n_groups", "group_no", outline(text).alias("o"))
+    mapped = group_texts(parents, whole_max, group_max).select("file_id", "tokens", "n_groups", "group_no", outline(F.col("text")).alias("o"))
     listed = mapped.groupBy("file_id", "tokens", "n_groups").agg(F.array_sort(F.collect_list(F.struct("group_no", "o"))).alias("__o"))
     joined = F.array_join(F.transform("__o", lambda x: x["o"]["document_summary"]), " ")
     summary = F.when(F.col("n_groups") == 1, joined).otherwise(outline(joined)["document_summary"])

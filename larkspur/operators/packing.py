@@ -6,6 +6,8 @@ are rebuilt from the ranges that come back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,10 @@ def overlapping_ranges(tokens: list[int], budget: int, overlap: int) -> list[tup
     return out
 
 
+# Both are marked as not deterministic, so that the optimizer neither merges them into
+# later steps nor computes them again for a filter below an explode.
+
+
 def _as_rows(ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b} for a, b in ranges]
 
@@ -54,7 +60,7 @@ def greedy_groups(tokens: Column, budget: int) -> Column:
     def pack(column: pd.Series) -> pd.Series:
         return column.map(lambda t: _as_rows(greedy_ranges(list(t), budget)))
 
-    return pack(tokens)
+    return pack.asNondeterministic()(tokens)
 
 
 def overlapping_groups(tokens: Column, budget: int, overlap: int) -> Column:
@@ -62,11 +68,16 @@ def overlapping_groups(tokens: Column, budget: int, overlap: int) -> Column:
     def pack(column: pd.Series) -> pd.Series:
         return column.map(lambda t: _as_rows(overlapping_ranges(list(t), budget, overlap)))
 
-    return pack(tokens)
+    return pack.asNondeterministic()(tokens)
 
 
-def _joined(parts: str, ranges: str) -> Column:
-    return F.transform(ranges, lambda r: F.array_join(F.slice(F.col(parts), r["first"] + 1, r["last"] - r["first"] + 1), " "))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once; a column used in a lambda may be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def run(parts: Column, first: Column, last: Column) -> Column:
+    return F.slice(parts, first + 1, last - first + 1)
 
 
 def chunk_hierarchy(
@@ -77,29 +88,44 @@ def chunk_hierarchy(
     A text within ``child_max`` is one child and its own parent.  Otherwise
     sentences are packed into overlapping children; a last child under
     ``min_child`` tokens joins the one before; children are packed into parents.
+    Time and memory are linear in the text.
     """
     keys = [c for c in texts.columns if c != text]
     body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n\x0b\f"))
     base = texts.select(*keys, body.alias("__text")).where("__text <> ''").withColumn("__n", count_tokens(F.col("__text")))
-    split = sentences(F.col("__text"))
-    split = F.when((F.col("__n") <= child_max) | (F.size(split) == 0), F.array("__text")).otherwise(split)
-    cut = base.withColumn("__s", split).withColumn("__ranges", overlapping_groups(F.transform("__s", count_tokens), child_max, overlap))
-    children = cut.withColumn("__c", _joined("__s", "__ranges")).withColumn("__last", F.element_at("__c", -1))
-    short = (F.size("__c") > 1) & (count_tokens(F.col("__last")) < min_child)
-    merged = F.concat(F.slice("__c", 1, F.size("__c") - 2), F.array(F.concat_ws(" ", F.element_at("__c", -2), F.col("__last"))))
-    children = children.withColumn("__c", F.when(short, merged).otherwise(F.col("__c")))
-    counted = children.withColumn("__t", F.transform("__c", count_tokens)).withColumn("__g", greedy_groups(F.col("__t"), parent_max))
-    parents = counted.select(*keys, "__c", "__t", F.posexplode("__g").alias("parent_index", "__r"))
-    size = F.col("__r.last") - F.col("__r.first") + 1
-    own = parents.withColumn("__own", F.slice(F.arrays_zip(F.col("__c").alias("c"), F.col("__t").alias("t")), F.col("__r.first") + 1, size))
-    own = own.withColumn("parent", F.array_join(F.transform("__own", lambda x: x["c"]), " "))
-    out = own.select(*keys, "parent_index", "parent", F.col("__r.first").alias("__first"), F.posexplode("__own").alias("__pos", "__x"))
+    whole = F.array("__text")
+    split = F.when(F.col("__n") <= child_max, whole).otherwise(let(sentences(F.col("__text")), lambda s: F.when(F.size(s) == 0, whole).otherwise(s)))
+    cut = base.select(*keys, split.alias("__s")).withColumn("__ranges", overlapping_groups(F.transform("__s", count_tokens), child_max, overlap))
+    drawn = let(
+        F.struct(F.col("__s").alias("s"), F.col("__ranges").alias("r")),
+        lambda v: F.transform(v["r"], lambda r: F.array_join(run(v["s"], r["first"], r["last"]), " ")),
+    )
+
+    def with_tail(c: Column) -> Column:
+        short = (F.size(c) > 1) & (count_tokens(F.element_at(c, -1)) < min_child)
+        merged = F.concat(F.slice(c, 1, F.size(c) - 2), F.array(F.concat_ws(" ", F.element_at(c, -2), F.element_at(c, -1))))
+        return F.when(short, merged).otherwise(c)
+
+    counted = let(let(drawn, with_tail), lambda cs: F.transform(cs, lambda c: F.struct(c.alias("c"), count_tokens(c).alias("t"))))
+    children = cut.select(*keys, counted.alias("__c"))
+    packed = children.withColumn("__g", greedy_groups(F.transform("__c", lambda x: x["t"]), parent_max))
+
+    def parent(own: Column, first: Column) -> Column:
+        joined = F.array_join(F.transform(own, lambda x: x["c"]), " ")
+        return let(joined, lambda p: F.struct(first.alias("first"), p.alias("parent"), count_tokens(p).alias("tokens"), own.alias("own")))
+
+    parents = let(
+        F.struct(F.col("__c").alias("c"), F.col("__g").alias("g")),
+        lambda v: F.transform(v["g"], lambda r: let(run(v["c"], r["first"], r["last"]), lambda own: parent(own, r["first"]))),
+    )
+    out = packed.select(*keys, parents.alias("__ps")).select(*keys, F.posexplode_outer("__ps").alias("parent_index", "__p"))
+    out = out.select(*keys, "parent_index", "__p.first", "__p.parent", "__p.tokens", F.posexplode_outer("__p.own").alias("__pos", "__x"))
     return out.select(
         *keys,
         "parent_index",
-        (F.col("__first") + F.col("__pos")).alias("child_index"),
+        (F.col("first") + F.col("__pos")).alias("child_index"),
         "parent",
-        count_tokens(F.col("parent")).alias("parent_tokens"),
+        F.col("tokens").alias("parent_tokens"),
         F.col("__x.c").alias("child"),
         F.col("__x.t").alias("child_tokens"),
     )
