@@ -29,9 +29,8 @@ def test_against_brute_force(spark, query_block):
     assert sorted(map(tuple, got.collect())) == brute([r for r in ROWS + [ODD[5]]], 10, lambda i: i % 10 == 0)
 
 
-def test_blocks_of_vectors_keep_the_result(spark, monkeypatch):
-    """MaxScore prunes from the second block of a shard on."""
-    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 16)
+def test_blocks_of_vectors_keep_the_result():
+    """MaxScore prunes from the second shard on."""
     import numpy as np
 
     ids, vectors = np.array([i for i, _ in ROWS[:150]]), [np.array(v) for _, v in ROWS[:150]]
@@ -43,6 +42,35 @@ def test_blocks_of_vectors_keep_the_result(spark, monkeypatch):
     assert list(zip(*(x.tolist() for x in best), strict=True)) == want
 
 
+def test_shards_terms_and_vectors_are_left_out(spark):
+    """Of the 500 embeddings of 64 components, in one task: not all postings are traversed, and few vectors stay to the last term."""
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    ids, columns = np.array([r["vec_id"] for r in rows]), topk.quantised([np.array(r["embedding"]) for r in rows], 1024, 64)
+    shards = topk.shards_of(ids, columns)
+    assert [len(s.ids) for s in shards] == [64, 128, 256, 52]
+    none = (ids[:0], ids[:0])
+    for q in ids[ids % 100 == 0]:
+        best = topk.search_shards(shards, q, columns[:, ids == q][:, 0], 10, none)
+        scores = columns[:, ids == q][:, 0] @ columns
+        want = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != q)[:10]
+        assert list(zip((-best[1]).tolist(), best[0].tolist(), strict=True)) == want
+    met, did = sum(s.met for s in shards), sum(s.did for s in shards)
+    assert did[0] < 0.75 * met[0] and did[1] < 0.6 * met[1], (met, did)
+
+
+def test_shorter_vectors_are_left_out():
+    """Shards of short vectors can't reach the score to beat."""
+    import numpy as np
+
+    ids, near = np.arange(2000), np.random.default_rng(1)
+    columns = topk.quantised(list(near.normal(size=(2000, 8)) * np.geomspace(1, 1e-4, 2000)[:, None]), 1024, 8)
+    shards = topk.shards_of(ids, columns)
+    topk.search_shards(shards, -1, columns[:, 0], 10, (ids[:0], ids[:0]))
+    assert [s.met.any() for s in shards] != [True] * len(shards)
+
+
 def test_postings_are_skipped(monkeypatch):
     """Terms with small bounds aren't traversed once there is a score to beat."""
     import numpy as np
@@ -72,7 +100,17 @@ def test_postings_are_skipped(monkeypatch):
 def test_query_ids_with_two_vectors_and_large_components(spark):
     rows = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [1e9, 0.0]), (3, [65535.0, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
-    assert sorted(map(tuple, got.collect())) == [(0, 1, 3, 1024 * 1024 * 65535), (0, 2, 1, 1024 * 1024)]
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 1024 * 1024 * 10**9), (0, 2, 3, 1024 * 1024 * 65535), (0, 3, 1, 1024 * 1024)]
+
+
+def test_components_of_any_size(spark):
+    """Products beyond 64 bits that cancel, and integers beyond the exact range of doubles."""
+    rows = [(0, [1e6, -1e6, 1.0]), (1, [1e12, 1e12, 3.0]), (2, [1e300, 1e300, 1.0]), (3, [1e15, 1e15, -2.0]), (4, [1.5, 0.25, 1e9]), (6, [-1e300, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") == 0, k=4)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == brute(rows, 4, lambda i: i == 0)
+    with pytest.raises(Exception, match="outside a long: the score of query 0 and vector 6"):
+        topk.top_k(df, F.col("vec_id") == 0, k=5).collect()
 
 
 def test_fewer_rows_than_k_and_none(spark):
