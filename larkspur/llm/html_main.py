@@ -4,12 +4,14 @@ The standard library's streaming parser turns a page into block lines, each with
 its text length and number of tags.  The ratio of the two is smoothed along the
 page with a Gaussian, lines are clustered by a threshold on the smoothed ratio,
 and the cluster above it says which sections of the page hold the content: all
-outermost ``article`` and ``main`` parts with a line of it, or else the smallest
-section outside of which no line of it and no heading lies; of the latter, parts
+outermost ``article`` and ``main`` parts with a line of it, if at least half of their
+text belongs to it; else its own lines, with those that they enclose inside a
+section.  On a page without such parts it is the
+smallest section outside of which no line of it and no heading lies; parts
 without such lines and without any text but links are left out.  All other lines
 of these sections are returned, short ones too.  Lines in menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comment sections
-never become candidates.
+footers, sidebars, notices, adverts, forms and comment sections take part in the smoothing and
+the threshold but are never returned; scripts, styles and other unseen elements are no lines.
 
 A block's text has its character references decoded and its white space turned
 into single spaces; blocks are joined in page order by one newline.
@@ -37,13 +39,16 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SECTIONS = frozenset("article main section div td body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("aside button canvas datalist dialog embed footer form head iframe input map menu nav noscript object optgroup option script select style svg template textarea title video audio".split())
+UNSEEN = frozenset("audio button canvas datalist embed head iframe input map noscript object optgroup option script select style svg template textarea title video".split())
+DROPPED = UNSEEN | frozenset("aside dialog footer form menu nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline-share comment comments commentlist comment-list comments-area consent cookie cookies cookie-banner disclaimer disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup popover promo promoted promotion related related-posts respond share sharing sidebar side-bar site-header site-footer skip-link social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT_ROLES = frozenset(["main", "article"])
 NOISE_PREFIX = re.compile(r"(?:ad|ads|advert|banner|comment|comments|cookie|footer|menu|nav|newsletter|notice|promo|sidebar|share|social|sponsor|widget)[-_]|.*[-_](?:ad|ads|advert|banner|comments?|cookies?|footer|menu|nav|newsletter|notice|promo|sidebar|widget)$")
 READ_CHARS = 1 << 16
+#: Share of the marked sections' text that the clusters have to hold.
+CONFIRMED = 0.5
 #: Elements whose end tag may be left out: which open ones a start tag ends, and where the search for them stops.
 ENDED = {t: (frozenset(ended.split()), frozenset(stop.split())) for tags, ended, stop in [
     ("li", "li", "ul ol menu"), ("dt dd", "dt dd", "dl"), ("td th", "td th", "tr table"), ("tr", "tr", "table"), ("tbody thead tfoot", "tbody thead tfoot caption", "table"),
@@ -51,14 +56,15 @@ ENDED = {t: (frozenset(ended.split()), frozenset(stop.split())) for tags, ended,
 
 
 class Line:
-    __slots__ = ("heading", "links", "parts", "section", "tags")
+    __slots__ = ("heading", "links", "noise", "parts", "section", "tags")
 
-    def __init__(self, section: int, heading: bool) -> None:
+    def __init__(self, section: int, heading: bool, noise: bool = False) -> None:
         self.parts: list[str] = []
         self.tags = 1
         self.links = True  # whether all its text is in links
         self.section = section
         self.heading = heading
+        self.noise = noise  # it counts as a line, but can't be returned
 
 
 class BlockReader(HTMLParser):
@@ -73,8 +79,10 @@ class BlockReader(HTMLParser):
         self.open: list[tuple[str, int]] = []  # element and the section around it
         self.at: dict[str, list[int]] = {}  # positions of each name in ``open``
         self.section = 0
-        self.skipped = ""  # the element that is being skipped
+        self.skipped = ""  # the element that isn't content
         self.depth = 0
+        self.unseen = ""  # the element inside it, or itself, whose text isn't seen on a page
+        self.unseen_depth = 0
         self.line: Line | None = None
         self.in_link = False
 
@@ -118,12 +126,23 @@ class BlockReader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipped:
             self.depth += tag == self.skipped
+            if self.unseen:
+                self.unseen_depth += tag == self.unseen
+            elif tag in UNSEEN and tag not in VOID:
+                self.unseen, self.unseen_depth = tag, 1
+            elif tag in BLOCKS:
+                self.line = None
+            elif self.line is not None:
+                self.line.tags += 1
             return
         if tag in BLOCKS:
             self._end_siblings(tag)
         if self._noise(tag, attrs):
             if tag not in VOID:
                 self.skipped, self.depth = tag, 1
+                self.unseen, self.unseen_depth = (tag if tag in UNSEEN else ""), 1
+                if not self.unseen:  # what follows an unseen element continues its line
+                    self.line = None
             if tag in BLOCKS:
                 self.line = None
             return
@@ -154,10 +173,18 @@ class BlockReader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipped:
+            if tag == self.unseen:
+                self.unseen_depth -= 1
+                if not self.unseen_depth:
+                    self.unseen = ""
+            elif not self.unseen and tag in BLOCKS:
+                self.line = None
             if tag == self.skipped:
                 self.depth -= 1
                 if not self.depth:
-                    self.skipped = ""
+                    self.skipped = self.unseen = ""
+                    if self.line is not None and self.line.noise:
+                        self.line = None
             return
         if tag not in BLOCKS:
             self.in_link &= tag != "a"
@@ -167,12 +194,12 @@ class BlockReader(HTMLParser):
             self._close(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if self.skipped:
+        if self.unseen:
             return
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line(self.section, bool(self.open) and self.open[-1][0] in HEADINGS)
+            self.line = Line(self.section, not self.skipped and bool(self.open) and self.open[-1][0] in HEADINGS, bool(self.skipped))
             self.lines.append(self.line)
         self.line.parts.append(data)
         self.line.links &= self.in_link or not data.strip()
@@ -206,37 +233,57 @@ def clustered(lengths: list[int], tags: list[int]) -> list[bool]:
     return ((first[run] <= at) & (at <= last[run])).tolist()
 
 
-def content_sections(reader: BlockReader, lengths: list[int]) -> set[int]:
-    """The sections to return, each with those inside it.
+def content_lines(reader: BlockReader, lengths: list[int]) -> list[bool]:
+    """Which lines to return.
 
-    Every outermost marked content section with a line above the threshold counts.
-    Without one, it is the innermost section that leaves no line above the
-    threshold and no heading outside, less its parts that hold links alone.
+    Marked content sections with a line above the threshold are returned whole if at
+    least ``CONFIRMED`` of their text together is above it.  If not, the lines above it are returned
+    with those that they enclose inside a section.  On a page without marked sections it is the
+    innermost section that leaves no line above the threshold and no heading outside,
+    less its parts that hold links alone.
     """
-    held = [0] * len(reader.parents)
-    content = [0] * len(reader.parents)
-    other = [0] * len(reader.parents)  # lines that are no links
-    for x, above in zip(reader.lines, clustered(lengths, [x.tags for x in reader.lines]), strict=True):
+    n = len(reader.parents)
+    held, content, other = [0] * n, [0] * n, [0] * n
+    text, above_text = [0] * n, [0] * n
+    high = clustered(lengths, [x.tags for x in reader.lines])
+    for x, above, length in zip(reader.lines, high, lengths, strict=True):
+        if x.noise:
+            continue
         content[x.section] += above
         held[x.section] += above or x.heading
-        other[x.section] += above or x.heading or not x.links
-    for s in range(len(held) - 1, 0, -1):
-        for count in (held, content, other):
+        other[x.section] += above or x.heading or not x.links  # lines that are no links
+        text[x.section] += length
+        above_text[x.section] += length * above
+    for s in range(n - 1, 0, -1):
+        for count in (held, content, other, text, above_text):
             count[reader.parents[s]] += count[s]
-    inside = {s for s, kind in enumerate(reader.kinds) if kind == "content" and not reader.marked[reader.parents[s]] and content[s]}
-    if inside:
-        unwanted = []
+    marked = {s for s, kind in enumerate(reader.kinds) if kind == "content" and not reader.marked[reader.parents[s]]}
+    inside, unwanted = {s for s in marked if content[s]}, []
+    if sum(text[s] for s in marked):
+        if not inside or sum(above_text[s] for s in inside) < CONFIRMED * sum(text[s] for s in inside):
+            return enclosed(reader.lines, high)
     else:
         best = 0
-        for s in range(1, len(held)):  # sections are numbered from the outside in
+        for s in range(1, n):  # sections are numbered from the outside in
             if held[s] == held[0] and reader.parents[s] == best:
                 best = s
-        inside, unwanted = {best}, [not n for n in other]
+        inside, unwanted = {best}, [not k for k in other]
         unwanted[best] = False
-    for s in range(min(inside) + 1, len(reader.parents)):
+    for s in range(min(inside) + 1, n):
         if reader.parents[s] in inside and not (unwanted and unwanted[s]):
             inside.add(s)
-    return inside
+    return [x.section in inside and not x.noise for x in reader.lines]
+
+
+def enclosed(lines: list[Line], high: list[bool]) -> list[bool]:
+    """Lines above the threshold and those between two of them in one section."""
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i, (x, above) in enumerate(zip(lines, high, strict=True)):
+        if above and not x.noise:
+            first.setdefault(x.section, i)
+            last[x.section] = i
+    return [not x.noise and first.get(x.section, len(lines)) <= i <= last.get(x.section, -1) for i, x in enumerate(lines)]
 
 
 def main_text(html: str | None) -> str:
@@ -249,12 +296,11 @@ def main_text(html: str | None) -> str:
     reader.close()
     texts = [" ".join("".join(x.parts).split()) for x in reader.lines]
     kept = [i for i, t in enumerate(texts) if t]
-    if not kept:
-        return ""
     reader.lines = [reader.lines[i] for i in kept]
     texts = [texts[i] for i in kept]
-    inside = content_sections(reader, [len(t) for t in texts])
-    return "\n".join(t for t, x in zip(texts, reader.lines, strict=True) if x.section in inside)
+    if all(x.noise for x in reader.lines):
+        return ""
+    return "\n".join(t for t, keep in zip(texts, content_lines(reader, [len(t) for t in texts]), strict=True) if keep)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -80,6 +80,29 @@ def test_links_alone_are_left_out_where_a_heading_is_outside():
     assert html_main.main_text(page) == "\n".join(["Title", p, "One link in a line", "Told by A."])
 
 
+def test_the_clusters_decide_on_the_tables_pages(spark, monkeypatch):
+    """The real clusters confirm every article; random ones refuse many, and results change."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    real = [html_main.main_text(p) for p in pages]
+    monkeypatch.setattr(html_main, "clustered", lambda lengths, tags: [rng.random() < 0.5 for _ in lengths])
+    assert sum(html_main.main_text(p) != t for p, t in zip(pages, real, strict=True)) > len(pages) / 4
+
+
+def test_a_marked_part_that_the_clusters_refuse():
+    """An article of many short linked lines, and the story in a box that isn't marked."""
+    p = " ".join(PARAGRAPH.split())
+    list_of_links = "".join(f"<p><a href=/{i}>Story <b>{i}</b></a></p>" for i in range(40))
+    page = f"<body><article><p>{'Words ' * 20}</p>{list_of_links}</article><div><p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p></div></body>"
+    assert html_main.main_text(page).endswith("\n".join([p, "Short.", p])) and "Story 7" not in html_main.main_text(page)
+
+
+def test_named_parts_count_as_lines_but_are_not_returned():
+    reader = html_main.BlockReader()
+    reader.feed("<p>a</p><nav><script>x</script><ul><li><a href=/>b</a> c</li></ul><nav>d</nav>e</nav><div class=ad>f<style>g</style></div><p>h<svg><text>i</text></svg>j</p><footer>k")
+    reader.close()
+    assert [("".join(x.parts), x.noise) for x in reader.lines] == [("a", False), ("b c", True), ("d", True), ("e", True), ("f", True), ("hj", False), ("k", True)]
+
+
 def test_clusters_against_plain_sums():
     for n in (1, 2, 3, 40):
         lengths, tags = [rng.randint(1, 400) for _ in range(n)], [rng.randint(1, 5) for _ in range(n)]
