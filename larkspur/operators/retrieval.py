@@ -8,13 +8,13 @@ it runs over texts in one pass, or over a postings table bucketed by term.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.functions import vectors as vx
+from larkspur.sources.scratch import written
 
 
 def scope(chunks: DataFrame, files: DataFrame, tenant: str | None = None, kb_files: DataFrame | None = None, content_types: Sequence[str] | None = None) -> DataFrame:
@@ -47,20 +47,41 @@ def with_alias_hits(hits: DataFrame, aliases: DataFrame, scoped: DataFrame, quer
     return top_hits(hits.unionByName(new), k)
 
 
+def measured(scoped: DataFrame, query: str | None, vector: Sequence[float] | None = None, ident: str = "chunk_id", also: dict[str, Column] | None = None, content: str = "content", embedding: str = "embedding") -> DataFrame:
+    """What ranking needs of each row, from one pass over texts and vectors, written once.
+
+    ``ident``, the columns ``also``, ``near`` (cosine; null without a vector), length ``dl``
+    and the occurrences ``tf0, tf1, ...`` of the query's terms.
+    """
+    columns = [F.col(ident), *[c.alias(n) for n, c in (also or {}).items()]]
+    if vector is not None:
+        columns.append(F.when(F.col(embedding).isNotNull(), 1.0 - vx.cosine_distance(F.col(embedding), vx.literal(vector))).alias("near"))
+    if query is None:
+        return written(scoped.select(*columns), "measured")
+    rows = scoped.select(*columns, tx.terms(F.col(content)).alias("__t"))
+    tfs = [_occurrences(q).alias(f"tf{i}") for i, q in enumerate(query_terms(query))]
+    return written(rows.select(*[c for c in rows.columns if c != "__t"], F.size("__t").alias("dl"), *tfs), "measured")
+
+
+def near_hits(rows: DataFrame, k: int = 50, ident: str = "chunk_id") -> DataFrame:
+    """``ident, score``: the nearest of measured rows."""
+    return top_hits(rows.where(F.col("near").isNotNull()).select(ident, F.col("near").alias("score")), k, ident)
+
+
+def text_hits(rows: DataFrame, query: str, k: int = 50, ident: str = "chunk_id") -> DataFrame:
+    """``ident, score``: measured rows with every term of the query, by summed BM25 over all of them."""
+    n = len(query_terms(query))
+    dfs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"__df{i}") for i in range(n)]
+    stats = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("dl").alias("__avgdl"), *dfs)  # one row
+    every = rows.where(" AND ".join(f"tf{i} > 0" for i in range(n)) or "false").join(F.broadcast(stats))
+    score = sum((vx.bm25(F.col(f"tf{i}"), F.col(f"__df{i}"), F.col("dl"), F.col("__avgdl"), F.col("__n")) for i in range(n)), F.lit(0.0))
+    return top_hits(every.select(ident, score.alias("score")), k, ident)
+
+
 def text_search(scoped: DataFrame, query: str, k: int = 50, content: str = "content", ident: str = "chunk_id") -> DataFrame:
     """Texts with every term of the query, by summed BM25 over the scope's statistics."""
-    wanted = query_terms(query)
-    tfs = [_occurrences(q).alias(f"__tf{i}") for i, q in enumerate(wanted)]
-    split = tx.terms(F.col(content)).alias("__t")
-    stats = scoped.select(split).agg(
-        F.count(F.lit(1)).alias("__n"), F.avg(F.size("__t")).alias("__avgdl"), *[F.count_if(F.array_contains("__t", q)).alias(f"__df{i}") for i, q in enumerate(wanted)]
-    )
-    lower = F.lower(F.col(content))
-    near = scoped.where(reduce(Column.__and__, [lower.contains(q) for q in wanted], F.lit(bool(wanted))))  # only these are split again
-    counted = near.select(*scoped.columns, split).select(*scoped.columns, F.size("__t").alias("__dl"), *tfs)
-    every = counted.where(" AND ".join(f"__tf{i} > 0" for i in range(len(wanted))) or "false").join(F.broadcast(stats))  # stats is one row
-    score = sum((vx.bm25(F.col(f"__tf{i}"), F.col(f"__df{i}"), F.col("__dl"), F.col("__avgdl"), F.col("__n")) for i in range(len(wanted))), F.lit(0.0))
-    return top_hits(every.select(*scoped.columns, score.alias("score")), k, ident)
+    hits = text_hits(measured(scoped, query, ident=ident, content=content), query, k, ident)
+    return scoped.join(F.broadcast(hits), ident).select(*scoped.columns, "score")  # at most k hits
 
 
 def _occurrences(term: str) -> Column:
@@ -146,11 +167,13 @@ def hybrid_search(
 
     ``content_types`` bounds the vector branch only, unless ``filter_text_branch``.
     """
-    typed = scoped.where(F.col("content_type").isin(list(content_types))) if content_types is not None else scoped
-    found = vector_search(typed, vector, depth)
+    wanted = F.col("content_type").isin(list(content_types)) if content_types is not None else F.lit(True)
+    rows = measured(scoped, query, vector, also={"typed": wanted})
+    typed = rows.where("typed")
+    found = near_hits(typed, depth)
     if aliases is not None:
-        found = with_alias_hits(found, aliases, typed, vector, depth)
-    texts = text_search(typed if filter_text_branch else scoped, query, depth)
+        found = with_alias_hits(found, aliases, typed.select("chunk_id"), vector, depth)
+    texts = text_hits(typed if filter_text_branch else rows, query, depth)
     top = fuse([found, texts], limit=fused).select("chunk_id")
     out = rerank(scoped.join(F.broadcast(top), "chunk_id"), query, k)  # top has at most ``fused`` rows
     return attach_parents(out, parents) if parents is not None else out
@@ -184,13 +207,14 @@ def kb_lists(
     articles: DataFrame, scoped: DataFrame, query: str, vector: Sequence[float], articles_only: bool = False, content_types: Sequence[str] | None = None, depth: int = 50
 ) -> list[DataFrame]:
     """Vector and text hits of articles, then of chunks, each with its ``hit``: result type and id."""
-    kinds = [("article", "article_id", articles, articles)]
+    wanted = F.col("content_type").isin(list(content_types)) if content_types is not None else F.lit(True)
+    kinds = [("article", "article_id", articles, F.lit(True))]
     if not articles_only:
-        typed = scoped.where(F.col("content_type").isin(list(content_types))) if content_types is not None else scoped
-        kinds.append(("chunk", "chunk_id", typed, scoped))
+        kinds.append(("chunk", "chunk_id", scoped, wanted))
     lists = []
-    for kind, ident, near, texts in kinds:
-        for found in (vector_search(near, vector, depth, ident=ident), text_search(texts, query, depth, ident=ident)):
+    for kind, ident, rows, typed in kinds:
+        own = measured(rows, query, vector, ident, {"typed": typed})
+        for found in (near_hits(own.where("typed"), depth, ident), text_hits(own, query, depth, ident)):
             lists.append(found.select(F.struct(F.lit(kind).alias("result_type"), F.col(ident).alias("id")).alias("hit"), "score"))
     return lists
 
