@@ -19,11 +19,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 BUCKET = "__bucket"
 
 
+def _has_map(kind: DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
 class Conflict(Exception):
     """Another writer has published the version that this commit was to become."""
 
@@ -54,10 +58,13 @@ def delete(keys: DataFrame) -> Change:
 
 
 class Store:
-    """Tables below ``path``; ``keys`` names the key columns of each, ``buckets`` how many parts it has."""
+    """Tables below ``path``; ``keys`` names the key columns of each, ``buckets`` how many parts it has.
 
-    def __init__(self, spark: SparkSession, path: str, keys: dict[str, Sequence[str]] | None = None, buckets: int = 16) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    A bucket is written by up to ``spread`` tasks, so that a key which repeats often isn't one task's work.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, Sequence[str]] | None = None, buckets: int = 16, spread: int = 4) -> None:
+        self.spark, self.path, self.spread = spark, path.rstrip("/"), spread
         self.keys, self.buckets = {k: list(v) for k, v in (keys or {}).items()}, buckets
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._jvm, self._at = jvm, lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
@@ -133,7 +140,7 @@ class Store:
         """Write rows to a new folder, by bucket; the folders by bucket number."""
         name = f"{table}/{uuid.uuid4().hex}"
         keyed = rows.withColumn(BUCKET, self.bucket_of(table))
-        spread = F.pmod(F.shiftright(F.xxhash64(*self.keys[table]), 32), F.lit(8))  # a bucket may be several tasks and files
+        spread = F.pmod(F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in rows.columns if not _has_map(rows.schema[c].dataType)]), F.lit(self.spread))
         keyed.repartition(BUCKET, spread).write.partitionBy(BUCKET).parquet(f"{self.path}/{name}")
         made = [s.getPath().getName() for s in self._fs.listStatus(self._at(name))]
         return {n.split("=")[1]: [f"{name}/{n}"] for n in made if n.startswith(BUCKET)}
@@ -182,6 +189,21 @@ class Store:
         self._publish(following)
         return following["version"]
 
+    def rewrite(self, table: str, buckets: Iterable[str], rows: DataFrame, note: str = "rewrite", onto: int | None = None) -> int:
+        """Publish ``rows``, whose keys all belong to ``buckets``, in place of what those hold."""
+        manifest = self.manifest()
+        if onto is not None and manifest["version"] != onto:
+            raise Conflict(f"{self.path} is at version {manifest['version']}, not {onto}")
+        found, gone = manifest["tables"][table], {str(b) for b in buckets}
+        files = {b: p for b, p in found["files"].items() if b not in gone} | self._write(table, rows.select(*[f["name"] for f in found["schema"]["fields"]]))
+        tables = manifest["tables"] | {table: found | {"files": files}}
+        self._publish({"version": manifest["version"] + 1, "note": note, "at": time.time(), "changed": [table], "tables": tables})
+        return manifest["version"] + 1
+
+    def size_of(self, folder: str) -> int:
+        """Bytes of the files in a folder that a manifest names."""
+        return int(self._fs.getContentSummary(self._at(folder)).getLength())
+
     def compact(self, table: str, most: int = 4, note: str = "compact") -> int:
         """Rewrite the buckets of a table that lie in more than ``most`` folders, each into one."""
         manifest = self.manifest()
@@ -189,11 +211,7 @@ class Store:
         many = [b for b, paths in found["files"].items() if len(paths) > most]
         if not many:
             return manifest["version"]
-        made = self._write(table, self.read(table, buckets=many, manifest=manifest))
-        files = {b: p for b, p in found["files"].items() if b not in many} | made
-        tables = manifest["tables"] | {table: found | {"files": files}}
-        self._publish({"version": manifest["version"] + 1, "note": note, "at": time.time(), "changed": [table], "tables": tables})
-        return manifest["version"] + 1
+        return self.rewrite(table, many, self.read(table, buckets=many, manifest=manifest), note, onto=manifest["version"])
 
     def vacuum(self, keep: int = 10, older_than: float = 86_400) -> list[str]:
         """Drop all but the last ``keep`` versions, and folders older than ``older_than`` seconds that none of those names."""
