@@ -103,10 +103,20 @@ old AS (SELECT DISTINCT 'en' AS kb_id, lower(split_part(title, ' ', 1)) AS term
 con AS (SELECT ck.kb_id, ck.term, ck.rank::INT AS rank, old.term IS NULL AS is_new FROM ck LEFT JOIN old ON ck.kb_id = old.kb_id AND ck.term = old.term)"""
 
 _COMPILED = _CONCEPTS + r""",
-tm AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents), av AS (SELECT avg(len(ts)) AS avgdl FROM tm),
-po AS (SELECT term, doc_id, any_value(dl) AS dl, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tm) WHERE term IN (SELECT term FROM con) GROUP BY 1, 2),
-ra AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * dl / avgdl)) DESC, doc_id) AS hit FROM po, av QUALIFY hit <= 10),
-hi AS (SELECT con.kb_id, con.term, con.is_new, ra.hit, ra.doc_id, text FROM con JOIN ra USING (term) JOIN documents d ON d.doc_id = ra.doc_id AND d.lang = con.kb_id)"""
+cv AS (SELECT * FROM v_chunks),
+tm AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+') AS ts FROM cv), av AS (SELECT avg(len(ts)) AS avgdl, count(*)::DOUBLE AS n FROM tm),
+po AS (SELECT term, chunk_id, any_value(dl) AS dl, count(*) AS tf FROM (SELECT chunk_id, len(ts) AS dl, unnest(ts) AS term FROM tm) WHERE term IN (SELECT term FROM con) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+tx AS (SELECT kb_id, con.term, chunk_id, row_number() OVER (PARTITION BY kb_id, con.term
+    ORDER BY ln((n - df + 5e-1) / (df + 5e-1) + 1e0) * (tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * dl / avgdl))) DESC, chunk_id) AS rn
+  FROM con JOIN po ON po.term = con.term JOIN df ON df.term = con.term, av QUALIFY rn <= 50),
+qv AS (SELECT kb_id, term, embedding::DOUBLE[] AS v FROM con JOIN embeddings ON vec_id = rank),
+ve AS (SELECT kb_id, term, chunk_id, row_number() OVER (PARTITION BY kb_id, term ORDER BY list_cosine_similarity(cv.embedding, v) DESC, chunk_id) AS rn FROM qv, cv QUALIFY rn <= 50),
+fl AS (SELECT kb_id, term, chunk_id, sum(1e0 / (60 + rn)) AS s, min(l * 1000 + rn) AS f FROM (SELECT *, 0 AS l FROM ve UNION ALL SELECT *, 1 FROM tx) GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY kb_id, term ORDER BY s DESC, f) <= 20),
+rr AS (SELECT fl.kb_id, fl.term, fl.chunk_id, row_number() OVER (PARTITION BY fl.kb_id, fl.term ORDER BY (po.chunk_id IS NOT NULL)::INT DESC, fl.chunk_id) AS hit
+  FROM fl LEFT JOIN po ON po.term = fl.term AND po.chunk_id = fl.chunk_id QUALIFY hit <= 10),
+hi AS (SELECT con.kb_id, con.term, con.is_new, hit, doc_id, text FROM con JOIN rr ON con.kb_id = rr.kb_id AND con.term = rr.term JOIN documents d ON d.doc_id = rr.chunk_id AND d.lang = con.kb_id)"""
 
 
 def _summaries(d: Demo) -> DataFrame:
@@ -124,7 +134,9 @@ def kb_concepts(d: Demo) -> DataFrame:
 
 def _compiled(d: Demo) -> compilation.Compiled:
     bases = d.members().select("kb_id").distinct().unionByName(d.spark.createDataFrame([("none",)], "kb_id string"))
-    return compilation.compile_bases(bases, d.members(), _summaries(d), _titles(d), d.texts(), models.hashed_embedder(8), dims=4)
+    given = d.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    ask = lambda asked: asked.join(given, F.col("rank") == F.col("vec_id")).select("query_id", "vector")
+    return compilation.compile_bases(bases, d.members(), _summaries(d), _titles(d), d.chunks(), models.hashed_embedder(8), dims=4, ask=ask)
 
 
 @register(f""", {_COMPILED}, ar AS (SELECT kb_id, term AS title, is_new, string_agg(substr(text, 1, 80), {NL} ORDER BY hit) AS content FROM hi GROUP BY ALL)

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as vx
-from larkspur.operators import kb, retrieval
-from larkspur.operators.models import Embedder, embed_articles
+from larkspur.operators import kb, many
+from larkspur.operators.models import Embedder, embed_articles, vectors_of
+from larkspur.sources.scratch import written
+from larkspur.sources.versioned import Store, delete, merge
 
 Writer = Callable[[Column, Column], Column]
 
@@ -24,20 +26,30 @@ def kb_summaries(members: DataFrame, summaries: DataFrame) -> DataFrame:
     return members.select("kb_id", "file_id").join(summaries.select("file_id", "summary"), "file_id")
 
 
-def concept_hits(concepts: DataFrame, chunks: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
-    """``kb_id, term, rank, chunk_id, content``: the best ``k`` chunks of a term, then those in the base's files.
+def concept_queries(concepts: DataFrame) -> DataFrame:
+    """``concepts`` with a ``query_id`` and the text that is searched for each: its name and its description."""
+    told = F.col("description") if "description" in concepts.columns else F.lit("")
+    numbered = concepts.withColumn("query_id", F.monotonically_increasing_id())
+    return numbered.withColumn("query", F.concat(F.col("term"), F.lit(": "), F.coalesce(told, F.lit(""))))
 
-    Files are looked at after the cut, so a base may keep fewer than ``k``, or none.
+
+def concept_hits(asked: DataFrame, chunks: DataFrame, members: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """``kb_id, term, rank, chunk_id, content``: hybrid hits of every concept at once, then those in its base's files.
+
+    ``asked`` comes from ``concept_queries``, ``vectors`` holds ``query_id, vector``.  Files are looked
+    at after the best ``k``, so a base may keep fewer, or none.  The number of scans
+    doesn't grow with that of concepts.
     """
-    wanted = concepts.select("term").distinct()
-    found = retrieval.postings(chunks).join(wanted, "term")
-    stats = retrieval.corpus_stats(chunks)  # one row
-    gain = vx.bm25_gain(F.col("tf"), F.col("dl"), F.col("avgdl"))  # a term's rarity is the same for all its chunks
-    order = Window.partitionBy("term").orderBy(F.desc("score"), "chunk_id")
-    best = found.join(F.broadcast(stats)).withColumn("score", gain).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    placed = best.select("term", "rank", "chunk_id").join(chunks.select("chunk_id", "file_id", "content"), "chunk_id")
-    asked = concepts.select("kb_id", "term").join(placed, "term")
-    return asked.join(members.select("kb_id", "file_id"), ["kb_id", "file_id"], "left_semi")
+    queries = asked.join(vectors, "query_id", "left").select("query_id", "query", "vector").orderBy("query_id")
+    found = many.search_texts(queries, chunks.select("chunk_id", "file_id", "content", "embedding"), k=k)
+    hits = asked.select("query_id", "kb_id", "term").join(found, "query_id")
+    return hits.join(members.select("kb_id", "file_id"), ["kb_id", "file_id"], "left_semi").select("kb_id", "term", "rank", "chunk_id", "content")
+
+
+def query_vectors(asked: DataFrame, embedder: Embedder, dims: int) -> DataFrame:
+    """``query_id, vector`` of the queries, by the model that made the chunks' vectors."""
+    full = vectors_of(F.col("query"), F.lit("text"), embedder, "query")
+    return asked.select("query_id", vx.head(full, dims).alias("vector"))
 
 
 def beginnings(term: Column, texts: Column) -> Column:
@@ -86,18 +98,59 @@ class Compiled(NamedTuple):
 
 
 def compile_bases(
-    bases: DataFrame, members: DataFrame, summaries: DataFrame, titles: DataFrame, chunks: DataFrame, embedder: Embedder, write: Writer = beginnings, per_kb: int = 10, dims: int = 256
+    bases: DataFrame,
+    members: DataFrame,
+    summaries: DataFrame,
+    titles: DataFrame,
+    chunks: DataFrame,
+    embedder: Embedder,
+    write: Writer = beginnings,
+    per_kb: int = 10,
+    dims: int = 256,
+    ask: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Compiled:
-    """Concepts, then articles, then connections both ways, then vectors of all articles.
+    """Concepts, their hits, then articles, then connections both ways, then vectors of all articles.
 
-    A base with articles turns ``active``, one without ``error``.
+    Concepts, hits and articles are written once and read by what follows.  ``ask`` gives
+    ``query_id, vector`` for concepts; without it, the embedder does.  A base with
+    articles turns ``active``, one without ``error``.
     """
     own = members.join(bases.select("kb_id"), "kb_id", "left_semi")
-    found = kb.concepts(kb_summaries(own, summaries), titles, per_kb)
-    made = generate(found, concept_hits(found, chunks, own), write)
-    forth = connections(made.sources).select("kb_id", F.col("source_title").alias("src"), F.col("target_title").alias("dst"), "link_type")
+    found = written(concept_queries(kb.concepts(kb_summaries(own, summaries), titles, per_kb)), "concepts")
+    hits = written(concept_hits(found, chunks, own, ask(found) if ask else query_vectors(found, embedder, dims)), "concept-hits")
+    made = generate(found.select("kb_id", "term", "rank", "is_new"), hits, write)
+    articles, sources = written(made.articles, "articles"), written(made.sources, "sources")
+    forth = connections(sources).select("kb_id", F.col("source_title").alias("src"), F.col("target_title").alias("dst"), "link_type")
+    forth = written(forth, "connections")
     links = forth.unionByName(forth.select("kb_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "link_type"))
-    some = made.articles.select("kb_id").distinct().withColumn("__some", F.lit(True))
+    some = articles.select("kb_id").distinct().withColumn("__some", F.lit(True))
     state = F.when(F.col("__some"), "active").otherwise("error")
     after = bases.join(some, "kb_id", "left").withColumn("status", state).drop("__some")
-    return Compiled(embed_articles(made.articles, embedder, dims), made.sources, links, after)
+    return Compiled(embed_articles(articles, embedder, dims), sources, links, after)
+
+
+def compile_into(store: Store, kb_ids: list, embedder: Embedder, **options) -> int:
+    """Compile bases of a store: first their state turns ``compiling``, then all results and the last state become one version.
+
+    The store holds ``bases, members, summaries, chunks, articles, sources, links``; articles are
+    known by base and title, sources and links by those too.  Old
+    compiled articles of the bases, with their sources and links, give way to the new ones; derived and
+    manual ones stay.  After a failure the bases are in ``error`` and all else is as it was.
+    """
+    wanted = F.col("kb_id").isin(kb_ids)
+    bases = store.read("bases").where(wanted)
+    begun = store.commit({"bases": merge(bases.withColumn("status", F.lit("compiling")))}, "compiling")
+    now = {name: store.read(name, begun) for name in ("members", "summaries", "chunks", "articles", "sources", "links")}
+    own = now["articles"].where(wanted)
+    try:
+        made = compile_bases(bases, now["members"], now["summaries"], own.select("kb_id", "title"), now["chunks"], embedder, **options)
+        old = own.where(~F.col("article_type").isin("derived", "manual")).select("kb_id", "title")
+        lost = {"articles": old, "sources": now["sources"].join(old, ["kb_id", "title"], "left_semi")}
+        ends = [now["links"].join(old.withColumnRenamed("title", end), ["kb_id", end], "left_semi").select("kb_id", "src", "dst") for end in ("src", "dst")]
+        lost["links"] = ends[0].unionByName(ends[1]).distinct()
+        fresh = {"articles": made.articles, "sources": made.sources, "links": made.links}
+        changes = {"bases": merge(made.bases)} | {n: [delete(lost[n].select(*store.keys[n])), merge(fresh[n].select(*now[n].columns))] for n in fresh}
+        return store.commit(changes, "compiled", onto=begun)
+    except Exception:
+        store.commit({"bases": merge(bases.withColumn("status", F.lit("error")))}, "compile failed")
+        raise

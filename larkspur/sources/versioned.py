@@ -145,7 +145,7 @@ class Store:
         made = [s.getPath().getName() for s in self._fs.listStatus(self._at(name))]
         return {n.split("=")[1]: [f"{name}/{n}"] for n in made if n.startswith(BUCKET)}
 
-    def _changed(self, table: str, change: Change, before: dict, manifest: dict) -> dict:
+    def _changed(self, table: str, change: Change, before: dict) -> dict:
         known = before.get("files", {})
         if change.kind in ("replace", "append"):
             rows = change.rows
@@ -162,9 +162,9 @@ class Store:
         if not before:
             if change.kind == "delete":
                 raise KeyError(table)
-            return self._changed(table, replace(change.rows), before, manifest)
+            return self._changed(table, replace(change.rows), before)
         touched = [str(b) for b in self.buckets_of(table, change.rows)]
-        old = self.read(table, buckets=touched, manifest=manifest)
+        old = self.read(table, buckets=touched, manifest={"tables": {table: before}})
         same = reduce(Column.__and__, [old[k].eqNullSafe(change.rows[k]) for k in keys])
         rows = old.join(change.rows.select(*keys).distinct() if change.kind == "delete" else change.rows, same, "left_anti")
         if change.kind == "merge":
@@ -173,8 +173,8 @@ class Store:
         kept = {b: p for b, p in known.items() if b not in touched}
         return {"schema": before["schema"], "files": kept | {b: made[b] for b in touched if b in made}}
 
-    def commit(self, changes: dict[str, Change], note: str = "", onto: int | None = None) -> int:
-        """Publish all changes as one version and return its number.
+    def commit(self, changes: dict[str, Change | list[Change]], note: str = "", onto: int | None = None) -> int:
+        """Publish all changes, several of a table in their order, as one version and return its number.
 
         ``onto`` is the version that the changes were made from; if another one has come
         since, or comes meanwhile, the commit is a ``Conflict`` and nothing is changed.
@@ -183,8 +183,9 @@ class Store:
         if onto is not None and manifest["version"] != onto:
             raise Conflict(f"{self.path} is at version {manifest['version']}, not {onto}")
         tables = dict(manifest["tables"])
-        for name, change in changes.items():
-            tables[name] = self._changed(name, change, manifest["tables"].get(name, {}), manifest)
+        for name, listed in changes.items():
+            for change in listed if isinstance(listed, list) else [listed]:
+                tables[name] = self._changed(name, change, tables.get(name, {}))
         following = {"version": manifest["version"] + 1, "note": note, "at": time.time(), "changed": sorted(changes), "tables": tables}
         self._publish(following)
         return following["version"]
