@@ -37,12 +37,12 @@ def group_texts(parents: DataFrame, whole_max: int, group_max: int) -> DataFrame
     Group numbers come from token counts alone; each text goes to its group once.
     Parents of one index stay together.
     """
-    from larkspur.operators.packing import greedy_groups, let, run
+    from larkspur.operators.packing import let, run, with_groups
 
     sizes = parents.groupBy("file_id", "parent_index").agg(F.sum("token_count").alias("t"))
     files = sizes.groupBy("file_id").agg(F.sum("t").alias("tokens"), F.array_sort(F.collect_list(F.struct("parent_index", "t"))).alias("__p"))
     whole = F.when(F.col("tokens") <= whole_max, F.array(F.struct(F.lit(0).alias("first"), (F.size("__p") - 1).alias("last"))))
-    ranged = files.withColumn("__g", F.coalesce(whole, greedy_groups(F.transform("__p", lambda p: p["t"]), group_max)))
+    ranged = with_groups(files, "__greedy", F.transform("__p", lambda p: p["t"]), group_max).withColumn("__g", F.coalesce(whole, "__greedy"))
     members = let(
         F.struct(F.transform("__p", lambda p: p["parent_index"]).alias("p"), F.col("__g").alias("g")),
         lambda v: F.transform(v["g"], lambda r: run(v["p"], r["first"], r["last"])),

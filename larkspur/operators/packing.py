@@ -47,20 +47,32 @@ def overlapping_ranges(tokens: list[int], budget: int, overlap: int) -> list[tup
     return out
 
 
-# Both are marked as not deterministic, so that the optimizer neither merges them into
-# later steps nor computes them again for a filter below an explode.
-
-
 def _as_rows(ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b} for a, b in ranges]
 
 
+def settled(value: Column) -> Column:
+    """``value``, as a column of its own step.
+
+    The condition always holds, but isn't deterministic, so the optimizer doesn't merge the step into
+    the Python function that reads it: an input with a lambda might then not be recognised,
+    or be computed again.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def with_groups(rows: DataFrame, name: str, tokens: Column, budget: int, overlap: int | None = None) -> DataFrame:
+    """``rows`` with the ranges of greedy groups of the token counts ``tokens``, overlapping ones with ``overlap``."""
+    pack = greedy_groups(F.col("__tokens"), budget) if overlap is None else overlapping_groups(F.col("__tokens"), budget, overlap)
+    return rows.withColumn("__tokens", settled(tokens)).withColumn(name, pack).drop("__tokens")
+
+
 def greedy_groups(tokens: Column, budget: int) -> Column:
     @F.pandas_udf(RANGES)
     def pack(column: pd.Series) -> pd.Series:
         return column.map(lambda t: _as_rows(greedy_ranges(list(t), budget)))
 
-    return pack.asNondeterministic()(tokens)
+    return pack(tokens)
 
 
 def overlapping_groups(tokens: Column, budget: int, overlap: int) -> Column:
@@ -68,7 +80,7 @@ def overlapping_groups(tokens: Column, budget: int, overlap: int) -> Column:
     def pack(column: pd.Series) -> pd.Series:
         return column.map(lambda t: _as_rows(overlapping_ranges(list(t), budget, overlap)))
 
-    return pack.asNondeterministic()(tokens)
+    return pack(tokens)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,7 +107,7 @@ def chunk_hierarchy(
     base = texts.select(*keys, body.alias("__text")).where("__text <> ''").withColumn("__n", count_tokens(F.col("__text")))
     whole = F.array("__text")
     split = F.when(F.col("__n") <= child_max, whole).otherwise(let(sentences(F.col("__text")), lambda s: F.when(F.size(s) == 0, whole).otherwise(s)))
-    cut = base.select(*keys, split.alias("__s")).withColumn("__ranges", overlapping_groups(F.transform("__s", count_tokens), child_max, overlap))
+    cut = with_groups(base.select(*keys, split.alias("__s")), "__ranges", F.transform("__s", count_tokens), child_max, overlap)
     drawn = let(
         F.struct(F.col("__s").alias("s"), F.col("__ranges").alias("r")),
         lambda v: F.transform(v["r"], lambda r: F.array_join(run(v["s"], r["first"], r["last"]), " ")),
@@ -108,7 +120,7 @@ def chunk_hierarchy(
 
     counted = let(let(drawn, with_tail), lambda cs: F.transform(cs, lambda c: F.struct(c.alias("c"), count_tokens(c).alias("t"))))
     children = cut.select(*keys, counted.alias("__c"))
-    packed = children.withColumn("__g", greedy_groups(F.transform("__c", lambda x: x["t"]), parent_max))
+    packed = with_groups(children, "__g", F.transform("__c", lambda x: x["t"]), parent_max)
 
     def parent(own: Column, first: Column) -> Column:
         joined = F.array_join(F.transform(own, lambda x: x["c"]), " ")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators.packing import chunk_hierarchy
+from larkspur.sources.scratch import written
+from larkspur.sources.versioned import Store, append, delete, merge, replace
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files_per_batch: int = 3):
@@ -57,3 +63,115 @@ def watch(updates: DataFrame, minutes: float = 10) -> DataFrame:
             state.remove()
 
     return updates.groupBy("file_id").applyInPandasWithState(step, "file_id string, status string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+PENDING = "file_id string, filename string, content string, created_at timestamp"
+KEYS = {"files": ["file_id"], "chunks": ["file_id"], "triggers": ["kb_id", "batch"], "members": ["kb_id", "file_id"], "batches": ["batch"]}
+
+
+class _Limited:
+    """Runs a job under a limit of seconds; past it, the job is cancelled and fails."""
+
+    def __init__(self, spark: SparkSession, limit: float) -> None:
+        self.context, self.limit, self.group, self.late = spark.sparkContext, limit, f"ingest-{uuid.uuid4().hex}", False
+
+    def __enter__(self) -> _Limited:
+        self.before = self.context.getLocalProperty("spark.jobGroup.id")
+        self.context.setJobGroup(self.group, "ingest", interruptOnCancel=True)
+        self.timer = threading.Timer(self.limit, self._cancel)
+        self.timer.start()
+        return self
+
+    def _cancel(self) -> None:
+        self.late = True
+        self.context.cancelJobGroup(self.group)
+
+    def __exit__(self, *error) -> None:
+        self.timer.cancel()
+        self.context.setLocalProperty("spark.jobGroup.id", self.before)
+
+
+def isolated(batch: DataFrame, chunk: Callable[[DataFrame], DataFrame], limit: float = 900, depth: int = 40) -> tuple[list[DataFrame], list[tuple[str, str]]]:
+    """Chunks of the files of ``batch``, and ``file_id, error`` of those that can't be chunked.
+
+    All files are tried together; a part that fails, or takes over ``limit`` seconds, is halved by the hash of
+    its ids until the bad file is alone.
+    """
+    spark = batch.sparkSession
+    made: list[DataFrame] = []
+    bad: list[tuple[str, str]] = []
+    parts = [(batch, 0)]
+    while parts:
+        part, level = parts.pop()
+        watch = _Limited(spark, limit)
+        try:
+            with watch:
+                made.append(written(chunk(part), "ingest-chunks"))
+            continue
+        except Exception as failed:
+            error = f"Ingestion timed out after {limit:g}s" if watch.late else _first_line(failed)
+        ids = [r["file_id"] for r in part.select("file_id").distinct().limit(2).collect()]
+        if len(ids) < 2 or level == depth:
+            bad += [(i, error) for i in ids[:1]] if len(ids) < 2 else [(r["file_id"], error) for r in part.select("file_id").distinct().collect()]
+            continue
+        side = F.shiftrightunsigned(F.xxhash64("file_id"), level).bitwiseAND(1)
+        parts += [(part.where(side == s), level + 1) for s in (0, 1)]
+    return made, bad
+
+
+def _first_line(failed: Exception) -> str:
+    found = re.findall(r"^(?:Caused by: )?(?:\S+(?:Exception|Error): )(?:\[\S+\] )?(.+)$", str(failed), re.M)
+    return (found[-1] if found else str(failed).splitlines()[0])[:500]
+
+
+def ingest_batch(store: Store, batch: DataFrame, number: int, chunk: Callable[[DataFrame], DataFrame], limit: float = 900, most_tries: int = 3) -> bool:
+    """One batch as one version of ``store``: chunks, states of files, and the bases to compile; whether it was new.
+
+    The version holds the batch's number, so a batch that is run again after a restart changes nothing.  A bad
+    file gets its error and one try more; it is ``pending`` again until its tries are used up.
+    """
+    spark, manifest = batch.sparkSession, store.manifest()
+    if store.read("batches", manifest=manifest).where(F.col("batch") == number).head(1):
+        return False
+    known = store.read("files", manifest=manifest)
+    tried = batch.join(known.select("file_id", "tries"), "file_id", "left").select("file_id", (F.coalesce("tries", F.lit(0)) + 1).alias("tries"))
+    tried = written(tried, "ingest-files")
+    made, bad = isolated(batch, chunk, limit)
+    chunks = reduce(DataFrame.unionByName, made) if made else None
+    some = chunks.select("file_id").distinct() if chunks is not None else spark.createDataFrame([], "file_id string")
+    failed = spark.createDataFrame(bad, "file_id string, error string")
+    told = tried.join(some.withColumn("ok", F.lit(True)), "file_id", "left").join(failed, "file_id", "left")
+    error = F.when(F.col("ok"), F.lit(None)).otherwise(F.coalesce("error", F.lit("No content")))
+    again = F.col("error").isNotNull() & (F.col("tries") < most_tries)
+    status = F.when(F.col("ok"), "ready").when(again, "pending").otherwise("failed")
+    states = written(told.select("file_id", status.alias("status"), "tries", error.alias("error")), "ingest-states")
+    bases = bases_to_compile(states, store.read("members", manifest=manifest)).withColumn("batch", F.lit(number).cast("long"))
+    changes = {"files": merge(states), "triggers": merge(bases), "batches": merge(spark.createDataFrame([(number,)], "batch long"))}
+    if chunks is not None:  # chunks of a file that is read again take the place of the old ones
+        changes["chunks"] = [delete(some), append(chunks)]
+    store.commit(changes, f"batch {number}", onto=manifest["version"])
+    return True
+
+
+def new_store(spark: SparkSession, path: str, chunk_columns: str, members: DataFrame, buckets: int = 16) -> Store:
+    """A store with the tables that ingestion fills; ``members (kb_id, file_id)`` says who asks for files."""
+    store = Store(spark, path, KEYS, buckets)
+    none = lambda shape: replace(spark.createDataFrame([], shape))
+    store.commit({
+        "files": none("file_id string, status string, tries int, error string"), "chunks": none(chunk_columns), "triggers": none("kb_id string, batch long"),
+        "members": replace(members.select("kb_id", "file_id")), "batches": none("batch long"),
+    }, "new")
+    return store
+
+
+def ingest_into(store: Store, pending: DataFrame, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], limit: float = 900, within: str = "1 hour"):
+    """Start ingesting a stream of ``PENDING`` rows; a file that comes twice ``within`` a time is read once.
+
+    Publication, states and the bases to compile are one version a batch.
+    """
+    once = pending.withWatermark("created_at", within).dropDuplicatesWithinWatermark(["file_id"])
+
+    def run(batch: DataFrame, number: int) -> None:
+        ingest_batch(store, written(batch, "ingest-batch"), number, chunk, limit)
+
+    return once.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
