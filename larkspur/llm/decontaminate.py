@@ -11,12 +11,14 @@ does is compared with it directly.
 
 Patterns are grouped by length, so that one short item doesn't shorten the
 shifts of all the others.  Items are taken in blocks of ``block_patterns``
-patterns at most; an item with more goes into several blocks.  A benchmark that
+patterns at most, which take some 55 MB in a task's Python; an item with more goes into several blocks.  A benchmark that
 fits one block is broadcast to one pass over the documents.  Otherwise each block
 gets a pass of its own, which writes the texts it hits, by a key of the text, and
 its broadcast is destroyed before the next block begins; the hits are then united
 per text and joined to the documents.
 
+Item ids of any type that can be compared are reported as they are.
+
 Defined results for odd input: a null or empty text has no words; an item
 without words never occurs; items with equal patterns are all reported; a null
 item id is reported as no item, but its words count as hit; repeated document
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,7 +95,7 @@ class Matcher:
 class Benchmark:
     """All matchers of a block of items."""
 
-    def __init__(self, items: Iterable[tuple[int | None, list[bytes]]], width: int) -> None:
+    def __init__(self, items: Iterable[tuple[Any, list[bytes]]], width: int) -> None:
         self.owners: dict[Pattern, set] = {}
         for item, words in items:
             for p in windows(words, width):
@@ -103,7 +106,7 @@ class Benchmark:
         self.matchers = [Matcher(ps, n) for n, ps in sorted(by_length.items())]
         self.patterns = len(self.owners)
 
-    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[int]]:
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], list]:
         """Number of words, hit runs ``[start, end)``, and ids of items found."""
         words = words_of(text)
         found: list[tuple[int, int]] = []
@@ -126,13 +129,13 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-HITS = "struct<n_words:long,runs:array<struct<start:int,end:int>>,items:array<long>>"
+HITS = "struct<n_words:long,runs:array<struct<start:int,end:int>>,items:array<{}>>"
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, width: int, block_patterns: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, width: int, block_patterns: int) -> Iterator[list[tuple[Any, list[bytes]]]]:
     """Items and their words, of at most ``block_patterns`` windows in all; items with more come in overlapping pieces."""
     block, held = [], 0
-    for row in benchmark.select(F.col(f"`{item}`").cast("long"), F.col(f"`{text}`")).toLocalIterator():
+    for row in benchmark.select(F.col(f"`{item}`"), F.col(f"`{text}`")).toLocalIterator():
         words = words_of(row[1])
         for at in range(0, max(1, len(words) - width + 1), block_patterns):
             piece = words[at : at + block_patterns + width - 1]
@@ -153,7 +156,7 @@ def find_contamination(
     item: str = "item_id",
     item_text: str = "text",
     width: int = 10,
-    block_patterns: int = 200_000,
+    block_patterns: int = 50_000,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``n_items``, ``items`` and ``contaminated``.
 
@@ -161,10 +164,11 @@ def find_contamination(
     """
     blocks = _blocks(benchmark, item, item_text, width, block_patterns)
     first, second = next(blocks, []), next(blocks, None)
+    kind = HITS.format(benchmark.schema[item].dataType.simpleString())
     if second is None:
-        out = docs.withColumn("__wm", F.array(_searched(docs, first, width)(F.col(f"`{text}`"))))
+        out = docs.withColumn("__wm", F.array(_searched(docs, first, width, kind)(F.col(f"`{text}`"))))
     else:
-        out = _united(docs, chain([first, second], blocks), text, width)
+        out = _united(docs, chain([first, second], blocks), text, width, kind)
     out = out.withColumn("__wm_runs", F.array_sort(F.flatten(F.col("__wm.runs"))))
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -184,30 +188,30 @@ def find_contamination(
     return out.drop("__wm", "__wm_runs")
 
 
-def _searched(docs: DataFrame, block: list, width: int):
-    return _searcher(docs.sparkSession.sparkContext.broadcast(Benchmark(block, width)))
+def _searched(docs: DataFrame, block: list, width: int, kind: str):
+    return _searcher(docs.sparkSession.sparkContext.broadcast(Benchmark(block, width)), kind)
 
 
-def _united(docs: DataFrame, blocks: Iterable[list], text: str, width: int) -> DataFrame:
+def _united(docs: DataFrame, blocks: Iterable[list], text: str, width: int, kind: str) -> DataFrame:
     """``docs`` with all blocks' hits as ``__wm``, block after block; only hit texts are written."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    counted = _searched(docs, [], width)
+    counted = _searched(docs, [], width, kind)
     paths: list[str] = []
     for block in blocks:
         sent = spark.sparkContext.broadcast(Benchmark(block, width))
-        hits = docs.select(key128(body).alias("key"), _searcher(sent)(body).alias("hit")).where(F.size("hit.runs") > 0)
+        hits = docs.select(key128(body).alias("key"), _searcher(sent, kind)(body).alias("hit")).where(F.size("hit.runs") > 0)
         paths.append(scratch_path(spark, "benchmark-hits"))
         hits.groupBy("key").agg(F.first("hit").alias("hit")).write.parquet(paths[-1])
         sent.destroy()
     found = spark.read.parquet(*paths).groupBy(F.col("key").alias("__wm_key")).agg(F.collect_list("hit").alias("__wm_hits"))
     joined = docs.withColumns({"__wm_own": key128(body), "__wm_words": counted(body)}).join(found, F.col("__wm_own") == F.col("__wm_key"), "left")
-    every = F.concat(F.array("__wm_words"), F.coalesce("__wm_hits", F.array().cast(f"array<{HITS}>")))
+    every = F.concat(F.array("__wm_words"), F.coalesce("__wm_hits", F.array().cast(f"array<{kind}>")))
     return joined.withColumn("__wm", every).drop("__wm_own", "__wm_words", "__wm_key", "__wm_hits")
 
 
-def _searcher(sent):
-    @F.pandas_udf(HITS)
+def _searcher(sent, kind: str):
+    @F.pandas_udf(kind)
     def search(column: pd.Series) -> pd.DataFrame:
         rows = [sent.value.hits(t) for t in column]
         return pd.DataFrame({

@@ -51,3 +51,10 @@ def test_empty_tables(spark):
     out = dc.find_contamination(docs, items.limit(0)).collect()
     assert [(r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in out] == [(len(words(t)), 0, [], False) for _, t in ROWS[:3]]
     assert dc.find_contamination(docs.limit(0), items).count() == 0
+
+
+def test_item_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([(1, f"zz {ITEMS[0][1]} zz")], "doc_id long, text string")
+    items = spark.createDataFrame([("b/7", ITEMS[0][1]), ("a", ITEMS[0][1])], "item_id string, text string")
+    for most in (50_000, 3):
+        assert sorted(dc.find_contamination(docs, items, block_patterns=most).first()["items"]) == ["a", "b/7"]
