@@ -21,10 +21,12 @@ other columns pass through.
 from __future__ import annotations
 
 import heapq
+import math
 import random
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -62,17 +64,15 @@ def is_octet(part: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[Span]:
-    end, at = 0, text.find("@")
-    while at >= 0:
-        before = text[max(end, at - 4096) : at]
-        start = at - len(before) + len(before.rstrip(LOCAL))
-        if start == max(end, at - 4096) > end:  # a very long local part
-            before = text[end:at]
-            start = end + len(before.rstrip(LOCAL))
+    end, low, at = 0, 0, text.find("@")
+    while at >= 0:  # a local part holds no at-sign, so each stretch between two is looked at once
+        low = max(low, end)
+        start = low + len(text[low:at].rstrip(LOCAL))
         found = DOMAIN.match(text, at + 1) if start < at else None
         if found:
             yield start, found.end(), "email"
             end = found.end()
+        low = at + 1
         at = text.find("@", max(at + 1, end))
 
 
@@ -118,13 +118,15 @@ CUES = {
 }
 #: After so many tokens, what all open paths have in common is given out.
 SETTLE_TOKENS = 512
+#: How many gains of numbers a task remembers.
+KNOWN_GAINS = 1 << 17
 
 
 class Segment:
-    __slots__ = ("end", "features", "kind", "start")
+    __slots__ = ("end", "features", "gain", "kind", "start")
 
-    def __init__(self, start: int, end: int, kind: str, features: list[str]) -> None:
-        self.start, self.end, self.kind, self.features = start, end, kind, features
+    def __init__(self, start: int, end: int, kind: str, features: list[str], gain: float | None = None) -> None:
+        self.start, self.end, self.kind, self.features, self.gain = start, end, kind, features, gain
 
 
 def _shape(span: str) -> str:
@@ -183,43 +185,59 @@ def _spoken_emails(text: str) -> Iterator[re.Match]:
             end = found.end()
 
 
-def candidates(text: str, cuts: list[int], cues: frozenset[str]) -> Iterator[Segment]:
-    """Spans between token cuts that could be an entity, at most MAX_TOKENS long, by start."""
+def candidates(text: str, cuts: list[int], cues: frozenset[str], field: SemiMarkovField | None = None) -> Iterator[Segment]:
+    """Spans between token cuts that could be an entity, at most MAX_TOKENS long, by start.
+
+    With a field they carry its scores in place of features, and those that can't be in a best cover are left out.
+    """
     place = {c: i for i, c in enumerate(cuts)}
-    return heapq.merge(_email_candidates(text, place, cues), _numeric_candidates(text, place, cues), key=lambda s: s.start)
+    return heapq.merge(_email_candidates(text, place, cues, field), _numeric_candidates(text, place, cues, field), key=lambda s: s.start)
 
 
-def _email_candidates(text: str, place: dict[int, int], cues: frozenset[str]) -> Iterator[Segment]:
+def _email_candidates(text: str, place: dict[int, int], cues: frozenset[str], field: SemiMarkovField | None) -> Iterator[Segment]:
     for m in _spoken_emails(text):
         if m.start() in place and m.end() in place and place[m.end()] - place[m.start()] <= MAX_TOKENS:
-            yield Segment(place[m.start()], place[m.end()], "email", span_features(text, m.start(), m.end(), "email", cues))
+            features = span_features(text, m.start(), m.end(), "email", cues)
+            yield Segment(place[m.start()], place[m.end()], "email", features, field and field.gain(features))
+
+
+#: All digits alike: what the pattern of a number depends on.
+FLAT = str.maketrans("123456789", "000000000")
 
 
-def _numeric_candidates(text: str, place: dict[int, int], cues: frozenset[str]) -> Iterator[Segment]:
+@lru_cache(maxsize=1 << 16)
+def kinds_of(shape: str) -> tuple[str, ...]:
+    """Which kinds a number of this shape, of at most 19 digits, could be."""
+    n, kinds = shape.count("0"), []
+    if shape.count(".") == 3 and 4 <= n <= 12 and shape[0] == "0" and re.fullmatch(r"0+(?:\.0+){3}", shape):
+        kinds.append("ip")
+    if n >= 12 and shape[0] == "0" and re.fullmatch(r"0(?:[ -]?0)+", shape):
+        kinds.append("card")
+    if 7 <= n <= 15 and re.fullmatch(r"\+?(?:[ .-]?\(?0++\)?)++", shape):
+        kinds.append("phone")
+    return tuple(kinds)
+
+
+def _numeric_candidates(text: str, place: dict[int, int], cues: frozenset[str], field: SemiMarkovField | None) -> Iterator[Segment]:
     for m in NUMERIC.finditer(text):
-        inside = [c for c in range(m.start(), m.end() + 1) if c in place]
-        digits = [0]
-        for c in text[m.start() : m.end()]:
-            digits.append(digits[-1] + c.isdigit())
+        base, flat = m.start(), m[0].translate(FLAT)
+        inside = [i for i in range(len(flat) + 1) if base + i in place]
+        digits = [0, *accumulate(c == "0" for c in flat)]
         for i, a in enumerate(inside[:-1]):
-            if text[a] not in "0123456789+(":
+            if flat[a] not in "0+(":
                 continue
             for b in inside[i + 1 : i + 1 + MAX_TOKENS]:
-                if text[b - 1] not in "0123456789":
-                    continue
-                n = digits[b - m.start()] - digits[a - m.start()]
+                n = digits[b] - digits[a]
                 if n > 19:
                     break
-                span = text[a:b]
-                kinds = []
-                if span.count(".") == 3 and 4 <= n <= 12 and span[0].isdigit() and re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", span):
-                    kinds.append("ip")
-                if n >= 12 and span[0].isdigit() and re.fullmatch(r"[0-9](?:[ -]?[0-9])+", span):
-                    kinds.append("card")
-                if 7 <= n <= 15 and re.fullmatch(r"\+?(?:[ .-]?\(?[0-9]++\)?)++", span):
-                    kinds.append("phone")
-                for k in kinds:
-                    yield Segment(place[a], place[b], k, span_features(text, a, b, k, cues))
+                if n < 4 or flat[b - 1] != "0":
+                    continue
+                for kind in kinds_of(flat[a:b]):
+                    start, end = base + a, base + b
+                    if field is None:
+                        yield Segment(place[start], place[end], kind, span_features(text, start, end, kind, cues))
+                    elif (gain := field.gain_of_number(text, start, end, kind, cues, flat[a:b])) + field.lead(kind, place[end] - place[start]) >= 0:
+                        yield Segment(place[start], place[end], kind, [], gain)
 
 
 STATES = ("other", *KINDS)
@@ -231,6 +249,8 @@ class SemiMarkovField:
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
         self.pairs = np.zeros((5, 5))
+        self.known: dict[tuple, float] = {}
+        self.leads: dict[str, float] | None = None
 
     def _edges(self, tokens: int, segments: list[Segment]) -> list[list[tuple[int, int, float, Segment | None]]]:
         """By end: start, state, score and segment."""
@@ -242,6 +262,34 @@ class SemiMarkovField:
             into[s.end].append((s.start, 1 + _ORDER[s.kind], sum(get(f, 0.0) for f in s.features), s))
         return into
 
+    def gain(self, features: list[str]) -> float:
+        get = self.weights.get
+        return sum(get(f, 0.0) for f in features)
+
+    def gain_of_number(self, text: str, start: int, end: int, kind: str, cues: frozenset[str], shape: str) -> float:
+        """The gain of a number, computed once for all that have the same features."""
+        more: object = None
+        if kind == "card":
+            digits = NOT_DIGIT.sub("", text[start:end])
+            more = luhn(digits), digits[0] in "3456"
+        elif kind == "ip":
+            groups = text[start:end].split(".")
+            more = all(is_octet(g) for g in groups), any(len(g) > 1 and g[0] == "0" for g in groups)
+        key = kind, shape, text[start - 1 : start], text[end : end + 1], kind in cues, more
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= KNOWN_GAINS:
+                self.known.clear()
+            found = self.known[key] = self.gain(span_features(text, start, end, kind, cues))
+        return found
+
+    def lead(self, kind: str, tokens: int) -> float:
+        """What a segment of ``tokens`` tokens can have over tokens of no entity in its place, at most, besides its gain."""
+        if self.leads is None:
+            p = self.pairs
+            self.leads = {k: float((p[:, s] - p[:, 0]).max() + max(0.0, (p[s] - p[0]).max())) for s, k in enumerate(KINDS, 1)}
+        return self.leads[kind] - (tokens - 1) * float(self.pairs[0, 0])
+
     def best(self, tokens: int, segments: Iterable[Segment]) -> Iterator[Segment]:
         """The best cover of all tokens by segments, jointly; its entities, in order.
 
@@ -250,34 +298,40 @@ class SemiMarkovField:
         """
         coming = iter(segments)
         ahead = next(coming, None)
+        if ahead is None:
+            return
+        pairs = self.pairs.tolist()
         into: dict[int, list[Segment]] = {}
-        score = {0: np.array([0.0, *[-np.inf] * 4])}
+        score: dict[int, list[tuple[int, float]]] = {0: [(0, 0.0)]}  # by position: states that can be reached, and how well
         back: dict[tuple[int, int], tuple[int, int, Segment | None]] = {}
-        root, get = (0, 0), self.weights.get
+        root = (0, 0)
         for end in range(1, tokens + 1):
             while ahead is not None and ahead.start < end:
                 into.setdefault(ahead.end, []).append(ahead)
                 ahead = next(coming, None)
-            now = np.full(5, -np.inf)
+            now: dict[int, float] = {}
             edges = [(end - 1, 0, 0.0, None)]
-            edges += [(s.start, 1 + _ORDER[s.kind], sum(get(f, 0.0) for f in s.features), s) for s in into.pop(end, ())]
+            if end in into:
+                edges += [(s.start, 1 + _ORDER[s.kind], self.gain(s.features) if s.gain is None else s.gain, s) for s in into.pop(end)]
             for start, state, gain, segment in edges:
-                reach = score[start] + self.pairs[:, state]
-                before = int(reach.argmax())
-                if reach[before] + gain > now[state]:
-                    now[state] = reach[before] + gain
+                before, most = -1, -math.inf
+                for x, value in score[start]:
+                    if value + pairs[x][state] > most:
+                        before, most = x, value + pairs[x][state]
+                if most + gain > now.get(state, -math.inf):
+                    now[state] = most + gain
                     back[end, state] = start, before, segment
-            score[end] = now
+            score[end] = sorted(now.items())
             score.pop(end - MAX_TOKENS - 1, None)
             if end % SETTLE_TOKENS == 0:
-                live = {(p, s) for p, row in score.items() for s in range(5) if row[s] > -np.inf}
+                live = {(p, s) for p, row in score.items() for s, _ in row}
                 while len(live) > 1:
                     last = max(live)
                     live.remove(last)
                     live.add(back[last][:2])
                 yield from self._between(back, root, root := live.pop())
                 back = {node: step for node, step in back.items() if node[0] > root[0]}
-        yield from self._between(back, root, (tokens, int(score[tokens].argmax())))
+        yield from self._between(back, root, (tokens, max(score[tokens], key=lambda x: (x[1], -x[0]))[0]))
 
     @staticmethod
     def _between(back: dict, root: tuple[int, int], node: tuple[int, int]) -> list[Segment]:
@@ -436,7 +490,7 @@ def field_spans(text: str, field: SemiMarkovField) -> Iterator[Span]:
     for start, end in stretches(text):
         piece = text[start:end]
         cuts = _cuts(piece)
-        for s in field.best(len(cuts) - 1, candidates(piece, cuts, cues_before(text, start))):
+        for s in field.best(len(cuts) - 1, candidates(piece, cuts, cues_before(text, start), field)):
             yield start + cuts[s.start], start + cuts[s.end], s.kind
 
 

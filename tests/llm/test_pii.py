@@ -141,3 +141,25 @@ def test_odd_input(spark):
     assert got == {i: plain(t or "") for i, t, _ in rows}
     assert {r["text"] for r in pii.redact(out.where("doc_id < 4"), "text").collect()} == {"mail [EMAIL]", None, ""}
     assert pii.find_personal_data(out.limit(0).select("doc_id", "text")).count() == 0
+
+
+def test_numbers_scored_by_shape_are_those_scored_by_features():
+    """Remembered gains and left-out candidates change no result."""
+    rng, field = random.Random(3), pii.trained_field()
+
+    def plain(text):
+        for start, end in pii.stretches(text):
+            piece = text[start:end]
+            cuts = pii._cuts(piece)
+            for s in field.best(len(cuts) - 1, pii.candidates(piece, cuts, pii.cues_before(text, start))):
+                yield start + cuts[s.start], start + cuts[s.end], s.kind
+
+    piece = lambda: rng.choice([str(rng.randint(0, 99999)), f"{rng.random() * 100:.1f}", f"+{rng.randint(1, 99)}", f"({rng.randint(100, 999)})", f"{rng.randint(0, 255)}.1.{rng.randint(0, 300)}.0", "4111 1111 1111 1111", "tel:", "a@b.com"])
+    for _ in range(400):
+        text = rng.choice([" ", ", ", "-", " "]).join(piece() for _ in range(rng.randint(1, 30)))
+        assert list(pii.field_spans(text, field)) == list(plain(text)), text
+
+
+def test_long_local_parts_cost_linear_time():
+    text = ("a" * 5000 + "@ ") * 400
+    assert list(pii._emails(text)) == [] and list(pii._emails("a" * 9000 + "@b.c")) == [(0, 9004, "email")]
