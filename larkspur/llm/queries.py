@@ -147,19 +147,19 @@ FROM g
 
 OP4_SQL = f"""
 WITH s AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+  SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), l AS (
-  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s
+  SELECT row, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l
 ), f AS (
-  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10
 ), m AS (
   SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY row, doc_id
 """
 
 OP6_SQL = """
