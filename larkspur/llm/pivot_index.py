@@ -235,7 +235,7 @@ def near_duplicates(
         vec = vec.cast("array<double>")
     keys = ["label", "dim", "a", "b"]
     takes_part = F.coalesce(usable(vec) & group.isNotNull(), F.lit(False))
-    rows = vectors.select(ident.alias("id"), group.alias("label"), vec.alias("v"), takes_part.alias("ok"))
+    rows = vectors.select(ident.alias("id"), group.cast("string").alias("label"), vec.alias("v"), takes_part.alias("ok"))
     known = rows.where("ok").withColumns({"dim": F.size("v"), "a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v")})
     once = known.groupBy(*keys).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
     nodes = written(once.withColumn("node", F.monotonically_increasing_id()), "pivot-nodes")
