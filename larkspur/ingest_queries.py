@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.functions import vectors as vx
-from larkspur.operators import chunkers, compilation, enrich, kb, models, retrieval, state, writeback
+from larkspur.operators import chunkers, compilation, enrich, kb, many, models, retrieval, state, writeback
+from larkspur.operators.packing import chunk_hierarchy
+from larkspur.operators.text_index import TextIndex
+from larkspur.operators.vector_cells import VectorCells
 from larkspur.plans.demo import Demo
+from larkspur.queries import _COS, _TERMS, ASKED, _bm25
 from larkspur.registry import register
 from larkspur.sources import files
+from larkspur.sources.scratch import new_folder
+from larkspur.sources.versioned import Store, delete, merge, replace
+from larkspur.streaming import ingest
 
 NL = "chr(10)"
 
@@ -22,9 +29,9 @@ def _pick(number: Column, names: list[str]) -> Column:
 # ---- retrieval seams -----------------------------------------------------------
 
 
-@register("SELECT chunk_id, file_id FROM v_chunks c WHERE file_id IN (SELECT file_id FROM v_files WHERE status = 'ready' AND tenant_id = 'src1')")
+@register("SELECT chunk_id, file_id FROM v_chunks c WHERE file_id IN (SELECT file_id FROM v_files WHERE status = 'ready' AND tenant_id = 'src7')")
 def scope_tenant(d: Demo) -> DataFrame:
-    return retrieval.scope(d.chunks(), d.files(), tenant="src1").select("chunk_id", "file_id")
+    return retrieval.scope(d.chunks(), d.files(), tenant="src7").select("chunk_id", "file_id")
 
 
 @register("SELECT file_id FROM v_files WHERE tenant_id = 'src2'")
@@ -39,12 +46,13 @@ _SIMILAR = f"{_DOT} / ({_NORM('embedding')} * {_NORM('q.v')})"
 
 
 @register(f""", q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
-s AS (SELECT chunk_id, chunk_id // 4 AS parent_chunk_id, {_SIMILAR} AS score FROM v_chunks, q),
-t AS (SELECT * FROM s ORDER BY score DESC, chunk_id LIMIT 50)
+s AS (SELECT chunk_id, chunk_id // 4 AS parent_chunk_id, embedding, v FROM v_chunks, q ORDER BY list_cosine_similarity(embedding[1:16], v[1:16]) DESC, chunk_id LIMIT 50),
+t AS (SELECT chunk_id, parent_chunk_id, {_SIMILAR.replace("q.v", "v")} AS score FROM s)
 SELECT chunk_id, parent_chunk_id, round(score, 9) AS score FROM t QUALIFY row_number() OVER (PARTITION BY parent_chunk_id ORDER BY score DESC, chunk_id) = 1""")
 def rescore_one_per_parent(d: Demo) -> DataFrame:
-    chunks = d.chunks().withColumns({"parent_chunk_id": F.floor(F.col("chunk_id") / 4), "embedding_full": F.col("embedding")})
-    hits = retrieval.vector_search(chunks, d.query_vector())
+    """Found by the first 16 dimensions, ordered by all 64."""
+    chunks = d.chunks().withColumns({"parent_chunk_id": F.floor(F.col("chunk_id") / 4), "embedding_full": F.col("embedding"), "embedding": vx.head(F.col("embedding"), 16)})
+    hits = retrieval.vector_search(chunks, d.query_vector()[:16])
     best = retrieval.one_per_parent(retrieval.rescore(hits, d.query_vector()))
     return best.select("chunk_id", "parent_chunk_id", F.round("score", 9).alias("score"))
 
@@ -93,6 +101,88 @@ def vector_text(d: Demo) -> DataFrame:
     return made.select("item_id", "vector", vx.from_text(F.col("vector"))[1].alias("second"))
 
 
+# ---- indexes and versions ------------------------------------------------------
+
+
+def _folder(d: Demo, name: str) -> str:
+    return new_folder(d.spark, name)
+
+
+@register(f", {_bm25('v_texts')} SELECT chunk_id, round(score, 6) AS score FROM txt")
+def bm25_index(d: Demo) -> DataFrame:
+    """An index written in two batches, merged and searched."""
+    index, texts = TextIndex(d.spark, _folder(d, "text-index"), buckets=16), d.texts()
+    for part in (0, 1):
+        index.add(texts.where(F.col("chunk_id") % 2 == part))
+    index.merge()
+    return index.search(ASKED).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@register(f"SELECT chunk_id, round({_COS}, 6) AS score FROM v_chunks ORDER BY {_COS} DESC, chunk_id LIMIT 50")
+def vec_cells(d: Demo) -> DataFrame:
+    """Vectors stored by learned cell, and an exact search over the cells that can hold a hit."""
+    cells = VectorCells(d.spark, _folder(d, "cells"), 16)
+    cells.build(d.chunks(), rounds=3)
+    return cells.search(d.query_vector(), 50).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@register(f"""
+, qs AS (SELECT vec_id AS query_id, ['the with', 'und der', 're'][(vec_id % 3)::INT + 1] AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 30),
+qt AS (SELECT query_id, unnest(string_split(q, ' ')) AS term, len(string_split(q, ' ')) AS m FROM qs),
+tm AS (SELECT chunk_id, {_TERMS} AS ts FROM v_chunks), av AS (SELECT avg(len(ts)) AS avgdl, count(*)::DOUBLE AS n FROM tm),
+po AS (SELECT chunk_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT chunk_id, len(ts) AS dl, unnest(ts) AS term FROM tm) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+sc AS (SELECT query_id, chunk_id, sum(ln((n - df + 5e-1) / (df + 5e-1) + 1e0) * (tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * dl / avgdl)))) AS score
+  FROM qt JOIN po USING (term) JOIN df USING (term), av GROUP BY query_id, chunk_id, m HAVING count(*) = m),
+li AS (SELECT query_id, chunk_id, 1 AS l, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id) AS rn FROM sc
+  UNION ALL SELECT query_id, chunk_id, 0, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding, v) DESC, chunk_id) FROM qs, v_chunks),
+fu AS (SELECT query_id, chunk_id, sum(1e0 / (60 + rn)) AS s, min(l * 1000 + rn) AS f FROM li WHERE rn <= 50 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, f) <= 20),
+re AS (SELECT fu.query_id, fu.chunk_id, len(list_intersect(string_split(q, ' '), ts)) / len(string_split(q, ' '))::DOUBLE AS score FROM fu JOIN qs USING (query_id) JOIN tm USING (chunk_id))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank, chunk_id, score FROM re QUALIFY rank <= 10""")
+def many_hybrid(d: Demo) -> DataFrame:
+    """Thirty queries at once."""
+    queries = d.table("embeddings").where("vec_id < 30").select(F.col("vec_id").alias("query_id"), _pick(F.col("vec_id"), ["the with", "und der", "re"]).alias("query"), F.col("embedding").alias("vector"))
+    found = many.search_texts(queries, d.chunks().select("chunk_id", "content", "embedding"), k=10)
+    return found.select("query_id", "rank", "chunk_id", "score")
+
+
+@register("""
+SELECT 1 AS version, o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 < 2
+UNION ALL SELECT 2, o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE 'merged' END FROM orders
+UNION ALL SELECT 3, o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE 'merged' END FROM orders WHERE o_orderkey % 7 > 0""")
+def table_versions(d: Demo) -> DataFrame:
+    """All rows of three versions: written, merged by key, and some keys deleted."""
+    orders = d.table("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    store, key = Store(d.spark, _folder(d, "versions"), {"orders": ["o_orderkey"]}, buckets=4), F.col("o_orderkey")
+    store.commit({"orders": replace(orders.where(key % 3 < 2))})
+    store.commit({"orders": merge(orders.where(key % 3 != 1).withColumn("status", F.lit("merged")))})
+    store.commit({"orders": delete(orders.where(key % 7 == 0).select("o_orderkey"))})
+    rows = [store.read("orders", v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@register(r"""
+SELECT doc_id::VARCHAR AS file_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^ \t\r\n\x0b\f]') THEN 'ready' ELSE 'failed' END AS status, 1 AS tries,
+  CASE WHEN regexp_matches(coalesce(text, ''), '[^ \t\r\n\x0b\f]') THEN NULL ELSE 'No content' END AS error, lang AS kb_id FROM documents""")
+def stream_versions(d: Demo) -> DataFrame:
+    """Documents through the stream into versioned tables: states of files, each with the base that is to be compiled for it."""
+    root = _folder(d, "stream")
+    d.files().select(F.col("file_id").cast("string"), "filename", "content", "created_at").write.parquet(f"{root}/in")
+    members = d.members().withColumn("file_id", F.col("file_id").cast("string"))
+    shape = "file_id string, parent_index int, child_index int, parent string, parent_tokens int, child string, child_tokens int"
+    store = ingest.new_store(d.spark, f"{root}/store", shape, members, buckets=4)
+    pending = d.spark.readStream.schema(ingest.PENDING).parquet(f"{root}/in")
+    ingest.ingest_into(store, pending, f"{root}/state", lambda rows: chunk_hierarchy(rows.select("file_id", F.col("content").alias("text")))).awaitTermination()
+    wanted = store.read("triggers").select("kb_id").distinct()
+    return store.read("files").join(members, "file_id").join(wanted, "kb_id", "left_semi").select("file_id", "status", "tries", "error", "kb_id")
+
+
+@register("""SELECT event_id, k AS key, CASE WHEN json_type(props, '$.k') IN ('VARCHAR') THEN 'text' ELSE 'number' END AS kind, json_extract(props, '$.k')::VARCHAR AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
+def json_values(d: Demo) -> DataFrame:
+    return files.json_values(d.table("events").select("event_id", F.col("props").alias("content"))).select("event_id", "key", "kind", "value")
+
+
 # ---- compilation ---------------------------------------------------------------
 
 _CONCEPTS = r"""sm AS (SELECT lang AS kb_id, doc_id AS file_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '')[1:2], ' ') AS summary FROM documents),
@@ -201,13 +291,21 @@ def two_pass_context(d: Demo) -> DataFrame:
     return out.select(F.col("file_id").alias("conv_id"), F.col("chunk_index").alias("turn"), F.col("context_prefix").alias("prefix"))
 
 
-@register("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'in ' || n_chars ELSE 'old' END AS prefix FROM documents")
+@register("""
+WITH d AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS document FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, CASE WHEN length(text) % 3 > 0 THEN 'at ' || strpos(document, text) || ' of ' || length(document) || ': ' || substr(text, 1, 9) ELSE 'old' END AS prefix
+FROM conversations JOIN d USING (conv_id)""")
 def whole_document_context(d: Demo) -> DataFrame:
-    docs = d.table("documents")
-    chunks = docs.select(F.col("doc_id").alias("file_id"), F.col("doc_id").alias("content"), F.lit("old").alias("context_prefix"))
-    whole = docs.select(F.col("doc_id").alias("file_id"), F.col("n_chars").alias("content"))
-    model = lambda document, chunk: F.when(chunk % 2 == 0, F.concat(F.lit("in "), document.cast("string"))).otherwise("")
-    return writeback.whole_document_context(chunks, whole, model).select(F.col("file_id").alias("doc_id"), F.col("context_prefix").alias("prefix"))
+    """Each turn in its whole conversation; every third length gets an empty answer."""
+    c = d.table("conversations").select(F.col("conv_id").alias("file_id"), "turn", F.col("text").alias("content"), F.lit("old").alias("context_prefix"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"])
+    whole = c.groupBy("file_id").agg(F.array_join(listed, "\n").alias("content"))
+
+    def model(document: Column, chunk: Column) -> Column:
+        place = F.concat(F.lit("at "), F.instr(document, chunk).cast("string"), F.lit(" of "), F.length(document).cast("string"), F.lit(": "), F.substring(chunk, 1, 9))
+        return F.when(F.length(chunk) % 3 > 0, place).otherwise("")
+
+    return writeback.whole_document_context(c, whole, model).select(F.col("file_id").alias("conv_id"), "turn", F.col("context_prefix").alias("prefix"))
 
 
 @register("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'new ' || doc_id ELSE 'old' END AS prefix FROM documents")
@@ -238,17 +336,17 @@ _KINDS = ["text", "markdown", "code", "code", "json", "csv", "notebook", "image"
 
 
 def _mixed(d: Demo) -> DataFrame:
-    key, name = F.col("n_nationkey"), F.col("n_name")
+    key, name = F.col("c_custkey"), F.col("c_name")
     texts = [
         F.concat(name, F.lit(" here.")), F.concat(F.lit("# "), name, F.lit("\nBody of it.")), F.concat(F.lit("def f():\n    return '"), name, F.lit("'\n")), F.concat(F.lit("let x = '"), name, F.lit("';")),
         F.concat(F.lit('{"k": "'), name, F.lit('"}')), F.concat(F.lit("k,v\n1,"), name), F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":["# '), name, F.lit('"]},{"cell_type":"code","source":["x"]}]}')), name,
     ]
     content = F.element_at(F.array(*texts), (key % 8).cast("int") + 1)
-    return d.table("nation").select(key.alias("file_id"), _pick(key, _NAMES).alias("filename"), _pick(key, _KINDS).alias("content_type"), content.alias("content"))
+    return d.table("customer").select(key.alias("file_id"), _pick(key, _NAMES).alias("filename"), _pick(key, _KINDS).alias("content_type"), content.alias("content"))
 
 
 @register(f"""
-WITH n AS (SELECT n_nationkey AS k, n_name AS name, n_nationkey % 8 AS m FROM nation)
+WITH n AS (SELECT c_custkey AS k, c_name AS name, c_custkey % 8 AS m FROM customer)
 SELECT k::VARCHAR AS file_id, ['text', 'text', 'code', 'code', 'json', 'csv', 'code'][m + 1] AS content_type, 0::BIGINT AS part,
   ['File: a.txt', 'File: a.md | ' || name, 'File: a.py | Function: f', 'File: a.js', 'File: a.json | Path: k', 'File: a.csv | Columns: k, v', 'Notebook: a.ipynb | Section: ' || name || ' | Cell: 1'][m + 1] AS prefix,
   [name || ' here.', '# ' || name || {NL} || 'Body of it.', 'def f():' || {NL} || '    return ''' || name || '''', 'let x = ''' || name || ''';', '{{' || {NL} || '  "k": "' || name || '"' || {NL} || '}}',
@@ -257,7 +355,7 @@ def chunk_dispatch(d: Demo) -> DataFrame:
     return chunkers.chunk_files(_mixed(d)).select("file_id", "content_type", "part", "prefix", "child")
 
 
-@register("SELECT n_nationkey::VARCHAR AS file_id, 'image' AS content_type, 'no chunker for image' AS error FROM nation WHERE n_nationkey % 8 = 7")
+@register("SELECT c_custkey::VARCHAR AS file_id, 'image' AS content_type, 'no chunker for image' AS error FROM customer WHERE c_custkey % 8 = 7")
 def unreadable_files(d: Demo) -> DataFrame:
     return chunkers.unreadable(_mixed(d))
 
@@ -273,17 +371,17 @@ def chunk_markdown(d: Demo) -> DataFrame:
 
 
 @register(f"""
-WITH n AS (SELECT n_nationkey AS k, n_name AS name, n_nationkey % 5 AS m FROM nation)
+WITH n AS (SELECT c_custkey AS k, c_name AS name, c_custkey % 5 AS m FROM customer)
 SELECT k AS file_id, 0 AS part, 'File: a.toml | Path: a' AS prefix, '{{' || {NL} || '  "a": 1' || {NL} || '}}' AS content FROM n WHERE m = 0
 UNION ALL SELECT k, 1, 'File: a.toml | Path: t', '{{' || {NL} || '  "t": {{' || {NL} || '    "b": "' || name || '"' || {NL} || '  }}' || {NL} || '}}' FROM n WHERE m = 0
 UNION ALL SELECT k, 0, 'File: b.json | Path: q"''q', '{{' || {NL} || '  "q\\"''q": "' || name || '"' || {NL} || '}}' FROM n WHERE m = 1
 UNION ALL SELECT k, 0, '', '{{oops ' || name FROM n WHERE m = 2 UNION ALL SELECT k, 0, '', '[' || {NL} || '  "' || name || '"' || {NL} || ']' FROM n WHERE m = 3 UNION ALL SELECT k, 0, '', '{{}}' FROM n WHERE m = 4""")
 def chunk_structured(d: Demo) -> DataFrame:
     """TOML, JSON with an odd key, broken JSON, a list, and an empty object."""
-    key, name = F.col("n_nationkey"), F.col("n_name")
+    key, name = F.col("c_custkey"), F.col("c_name")
     texts = [F.concat(F.lit('a = 1\n[t]\nb = "'), name, F.lit('"\n')), F.concat(F.lit('{"q\\"\'q": "'), name, F.lit('"}')), F.concat(F.lit("{oops "), name), F.concat(F.lit('["'), name, F.lit('"]')), F.lit("{}")]
     content = F.element_at(F.array(*texts), (key % 5).cast("int") + 1)
-    made = d.table("nation").select(key.alias("file_id"), _pick(key, ["a.toml", "b.json", "c.json", "d.json", "e.json"]).alias("filename"), content.alias("content"))
+    made = d.table("customer").select(key.alias("file_id"), _pick(key, ["a.toml", "b.json", "c.json", "d.json", "e.json"]).alias("filename"), content.alias("content"))
     return chunkers.chunk_structured(made).select("file_id", "part", "prefix", "content")
 
 

@@ -19,6 +19,7 @@ from larkspur.functions.text import context_prefix, count_tokens, front_matter,
 from larkspur.operators.markdown import join_small_sections, sections
 from larkspur.operators.packing import chunk_hierarchy
 from larkspur.sources.files import notebook_cells
+from larkspur.sources.scratch import new_folder
 
 try:
     import yaml
@@ -312,23 +313,36 @@ def _packed(rows: DataFrame, part: Column) -> DataFrame:
     return rows.withColumn("part", part.cast("long")).select(*CHUNK)
 
 
+ROUTES = {"markdown": "markdown", "json": "structured", "yaml": "structured", "csv": "csv", "notebook": "notebook", "pdf": "pdf", "image": "unreadable", "xlsx": "unreadable"}
+
+
+def route() -> Column:
+    """Which chunker takes a file: by its type, code also by its name; unknown types are text."""
+    kinds = F.create_map(*[F.lit(x) for pair in ROUTES.items() for x in pair])
+    code = F.when(F.lower("filename").endswith(".py"), "python").otherwise("code")
+    return F.when(F.col("content_type") == "code", code).otherwise(F.coalesce(kinds[F.col("content_type")], F.lit("text")))
+
+
 def chunk_files(files: DataFrame, parse_pdf: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Every file by the chunker of its ``content_type``; unknown types are read as text.
 
+    Files are read once and written by route; each chunker reads its own folder.
     Images, workbooks, and PDFs without a parser give no chunks but rows of ``unreadable``.
     """
-    of = lambda *kinds: files.where(F.col("content_type").isin(*kinds))
-    python = F.lower("filename").endswith(".py")
-    known = ("markdown", "code", "json", "yaml", "csv", "notebook", "pdf", "image", "xlsx")
+    columns = [c for c in ("file_id", "filename", "content_type", "content", "metadata", "n_pages", "is_stored") if c in files.columns]
+    folder = new_folder(files.sparkSession, "routed")
+    files.select(*columns).withColumn("__route", route()).where("__route <> 'unreadable'").write.partitionBy("__route").parquet(folder)
+    routed = files.sparkSession.read.schema(files.select(*columns, F.lit("").alias("__route")).schema).parquet(folder)
+    of = lambda name: routed.where(F.col("__route") == name).drop("__route")
     csv_rows = chunk_csv(of("csv")).withColumnRenamed("chunk_index", "part")
     cells = chunk_notebook(of("notebook")).join(of("notebook").select("file_id", "filename"), "file_id")
     cells = cells.withColumn("prefix", _prefix("notebook", a=F.nullif("section", F.lit("")), b=F.col("chunk_no")))
     parts = [
-        _packed(chunk_text(files.where(~F.col("content_type").isin(*known))), F.lit(0)),
+        _packed(chunk_text(of("text")), F.lit(0)),
         _packed(chunk_markdown(of("markdown")), F.col("group_no")),
-        _packed(chunk_text(of("code").where(~python), "code"), F.lit(0)),
-        _alone(chunk_python(of("code").where(python)), "code"),
-        _alone(chunk_structured(of("json", "yaml")), "json"),
+        _packed(chunk_text(of("code"), "code"), F.lit(0)),
+        _alone(chunk_python(of("python")), "code"),
+        _alone(chunk_structured(of("structured")), "json"),
         _alone(csv_rows, "csv"),
         _alone(cells.withColumn("part", F.col("chunk_no") - 1), "code"),
     ]

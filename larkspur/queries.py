@@ -642,18 +642,11 @@ def newest_files(d: Demo) -> DataFrame:
 @register()
 def stream_ingest(d: Demo) -> DataFrame:
     """Documents through the streaming path: chunk counts and final status per file."""
-    import tempfile
-    import uuid
-
+    from larkspur.sources.scratch import new_folder
     from larkspur.streaming.ingest import ingest
 
     spark = d.spark
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="larkspur-stream-")
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     d.files().select(F.col("file_id").cast("string"), "content", F.lit("pending").alias("status")).write.parquet(f"{base}/in")
     query = ingest(spark, f"{base}/in", "file_id string, content string, status string", f"{base}/out", f"{base}/state")
     query.awaitTermination()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +34,8 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         name.alias("filename"),
         content_type(name, F.lit(None)).alias("content_type"),
         F.col("length").alias("file_size"),
-        F.expr("try_validate_utf8(cast(content as string))").alias("valid"),
         F.expr("make_valid_utf8(cast(content as string))").alias("content"),
-    ).drop("valid")
+    )
 
 
 def write_files(files: DataFrame, path: str) -> None:
@@ -95,6 +95,24 @@ def json_top_level(files: DataFrame, content: str = "content") -> DataFrame:
     return keyed.withColumn("value", F.when(F.col("key").isNull(), F.col(content)).otherwise(F.col("__v"))).drop("__v")
 
 
+def json_values(files: DataFrame, content: str = "content") -> DataFrame:
+    """One row per top-level key of JSON objects: ``key, kind, value``, by the variant type.
+
+    ``kind`` is text, number, boolean, null, object or array; ``value`` is its JSON, numbers as they
+    were written up to 38 digits.  What isn't an object, or can't be parsed, gives none.
+    """
+    others = [c for c in files.columns if c != content]
+    parsed = files.select(*others, F.try_parse_json(content).alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
+    parsed.createOrReplaceTempView(view := f"variants_{uuid.uuid4().hex}")
+    try:
+        keyed = files.sparkSession.sql(f"SELECT {', '.join(f'v.`{c}`' for c in others)}, e.key, e.value FROM {view} AS v, LATERAL variant_explode(v.__v) AS e")
+    finally:
+        files.sparkSession.catalog.dropTempView(view)
+    shape = F.schema_of_variant("value")
+    kind = F.when(shape == "STRING", "text").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("number")
+    return keyed.select(*others, "key", kind.alias("kind"), F.to_json("value").alias("value"))
+
+
 def notebook_cells(files: DataFrame, content: str = "content") -> DataFrame:
     """``cell_no, cell_type, source`` of each notebook cell; invalid JSON gives none."""
     cells = files.withColumn("__nb", F.from_json(content, NOTEBOOK))
