@@ -43,7 +43,7 @@ from larkspur.llm.workspace import forget, join_by_hot, written
 SCALE = 1_000_000_000
 MAX_ROUNDS = 64
 #: A task's counts are sent on when it holds so many.
-ENTRIES = 200_000
+ENTRIES = 400_000
 LONG = 1 << 22
 #: Separators become spaces, A-Z lower case, other bytes stay; terms are what is between spaces.
 _TABLE = bytes(32 if c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -62,6 +62,7 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, df) in held.items():
@@ -76,13 +77,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n, df = held[lang, source]
             seen: set[bytes] = set()
+            size -= len(n)
             for some in terms(text):
                 n.update(some)
                 seen.update(some)
             df.update(seen)
-        if sum(len(n) for n, _ in held.values()) > ENTRIES:
-            yield from out()
-            held.clear()
+            size += len(n)
+            if size > ENTRIES:
+                yield from out()
+                held.clear()
+                size = 0
     yield from out()
 
 
