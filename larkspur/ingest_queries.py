@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as tx
 from larkspur.functions import vectors as vx
-from larkspur.operators import chunkers, compilation, enrich, kb, many, models, retrieval, state, writeback
+from larkspur.operators import chunkers, compilation, enrich, kb, many, models, retrieval, similar, state, writeback
 from larkspur.operators.packing import chunk_hierarchy
 from larkspur.operators.text_index import TextIndex
 from larkspur.operators.vector_cells import VectorCells
@@ -161,6 +161,17 @@ def table_versions(d: Demo) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@register(f"""
+WITH e AS (SELECT item_id, item_id % 3 AS kb_id, {_HASHED('text', 32)} AS v FROM benchmark),
+s AS (SELECT a.kb_id, a.item_id AS low_id, b.item_id AS high_id, list_cosine_similarity(a.v, b.v) AS x FROM e AS a JOIN e AS b ON a.kb_id = b.kb_id AND a.item_id < b.item_id WHERE list_sum(a.v) > 0 AND list_sum(b.v) > 0)
+SELECT kb_id, low_id, high_id, round(x, 9) AS similarity FROM s WHERE x >= 0.4321""")
+def similar_articles(d: Demo) -> DataFrame:
+    """Pairs of a base's articles whose term vectors are similar."""
+    rows = d.table("benchmark").select("item_id", (F.col("item_id") % 3).alias("kb_id"), vx.hashed_embedding(tx.terms(F.col("text")), 32).alias("embedding"))
+    found = similar.similar_pairs(rows, 0.4321, "item_id")
+    return found.select("kb_id", F.col("left").alias("low_id"), F.col("right").alias("high_id"), F.round("similarity", 9).alias("similarity"))
+
+
 @register(r"""
 SELECT doc_id::VARCHAR AS file_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^ \t\r\n\x0b\f]') THEN 'ready' ELSE 'failed' END AS status, 1 AS tries,
   CASE WHEN regexp_matches(coalesce(text, ''), '[^ \t\r\n\x0b\f]') THEN NULL ELSE 'No content' END AS error, lang AS kb_id FROM documents""")
