@@ -40,7 +40,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1.0 - dot(a, b) / (norm(a) * norm(b))
+    """Null where either vector is zero."""
+    return 1.0 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def bm25(tf: Column, df: Column, dl: Column, avgdl: Column, n: Column, k1: float = 1.2, b: float = 0.75) -> Column:

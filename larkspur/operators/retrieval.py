@@ -33,16 +33,17 @@ def top_hits(scored: DataFrame, k: int, ident: str = "chunk_id") -> DataFrame:
 
 
 def vector_search(scoped: DataFrame, query: Sequence[float], k: int = 50, vector: str = "embedding", ident: str = "chunk_id") -> DataFrame:
-    """Nearest by cosine; ``score`` is the similarity."""
+    """Nearest by cosine; ``score`` is the similarity.  Null and zero vectors are never near."""
     near = scoped.where(F.col(vector).isNotNull())
-    return top_hits(near.withColumn("score", 1.0 - vx.cosine_distance(F.col(vector), vx.literal(query))), k, ident)
+    scored = near.withColumn("score", 1.0 - vx.cosine_distance(F.col(vector), vx.literal(query)))
+    return top_hits(scored.where(F.col("score").isNotNull()), k, ident)
 
 
 def with_alias_hits(hits: DataFrame, aliases: DataFrame, scoped: DataFrame, query: Sequence[float], k: int = 50) -> DataFrame:
     """Adds chunks found by their alternative questions; a chunk found directly keeps its score."""
     near = aliases.where(F.col("alias_embedding").isNotNull()).join(scoped.select("chunk_id"), "chunk_id", "left_semi")
     best = near.withColumn("score", 1.0 - vx.cosine_distance(F.col("alias_embedding"), vx.literal(query)))
-    best = best.orderBy(F.desc("score"), "alias_id").limit(k).groupBy("chunk_id").agg(F.max("score").alias("score"))
+    best = best.where(F.col("score").isNotNull()).orderBy(F.desc("score"), "alias_id").limit(k).groupBy("chunk_id").agg(F.max("score").alias("score"))
     new = best.join(hits.select("chunk_id"), "chunk_id", "left_anti").join(scoped, "chunk_id").select(*hits.columns)
     return top_hits(hits.unionByName(new), k)
 
