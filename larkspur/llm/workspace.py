@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +35,39 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Where new paths are noted, besides: lists of ``recorded`` blocks that are open.
+_NOTED: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; it is removed when Python exits."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    for noted in _NOTED:
+        noted.append(path)
     return path
 
 
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Note the scratch paths that are made inside in ``paths``."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.remove(paths)
+
+
+def release(paths: list[str], still_read: DataFrame) -> None:
+    """Remove the noted scratch tables, except those that ``still_read`` reads."""
+    files = still_read.inputFiles() if paths else []
+    kept = [p for p in paths if any(p.rsplit("/", 1)[-1] in f for f in files)]
+    for path in paths:
+        if path not in kept:
+            _remove(still_read.sparkSession, path)
+    paths[:] = kept
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -64,7 +93,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Remove what ``written`` has written for these, which nothing reads any more."""
     for t in tables:
-        _remove(t.sparkSession, t.scratch)
+        for path in [t.scratch] if isinstance(t.scratch, str) else t.scratch:
+            _remove(t.sparkSession, path)
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """One table of written ones; ``forget`` removes them all."""
+    out = reduce(DataFrame.unionByName, tables)
+    out.scratch = [t.scratch for t in tables]
+    return out
 
 
 def join_by_hot(rows: DataFrame, side: DataFrame, keys: list[str], share: int = 1_000) -> DataFrame:
