@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, line_dedup, mixing, simhash, toxicity
-from larkspur.llm.workspace import scratch_path
+from larkspur.llm.workspace import recorded, release, scratch_path
 
 #: Documents with at least this toxicity go.
 REJECT_AT = 0.7
@@ -70,10 +70,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from ``documents``."""
+    """All stages, from ``documents``.
+
+    What a stage has written for itself, and the stage before it, goes when its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    results: list[str] = []
     for name, stage in STAGES:
+        used: list[str] = []
         path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with recorded(used):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(used + results, docs)
+        results = [path]
     return docs
