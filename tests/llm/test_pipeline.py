@@ -74,3 +74,14 @@ def test_extra_columns_stay(spark, tmp_path):
         out = stage(spark, docs.select([f"`{c}`" for c in docs.columns]), sf_dir)
         assert out.columns == docs.columns
         assert [tuple(r) for r in out.collect()] == [tuple(r) for r in docs.collect()]
+
+
+def test_a_run_leaves_its_result_alone(spark, sf_dir):
+    """Tables that stages wrote for themselves, and earlier results, are gone when the run ends."""
+    from larkspur.llm import workspace
+
+    made = []
+    with workspace.recorded(made):
+        out = cp.run(spark, sf_dir)
+    there = [p for p in made if spark._jvm.java.io.File(p.removeprefix("file://")).exists()]
+    assert len(there) == 1 and "stage-mixing" in there[0] and out.count() > 0
