@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 #: A word run or one other visible character is a token; a stand-in for a BPE count.
 TOKEN = "[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\r\\n]"
 TERM = "[a-z0-9]+"
+# Patterns of an id, of where sentences end, of the rule line of a table, of list marks
+# before a question, and of front matter.
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
+TABLE_RULE = r"^\|[ \t\-:|]+\|$"
+LIST_MARK = r"^[0-9.\-) ]+"
+FRONT_MATTER = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
 
 
 def sentences(text: Column) -> Column:
     """Split where white space follows ``. ! ?`` and precedes A-Z; blanks dropped."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.trim(x))
+    parts = F.transform(F.split(text, SENTENCE_END), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -49,18 +55,18 @@ def is_table(text: Column) -> Column:
     """At least 3 lines with 2 pipes, and a rule line."""
     lines = F.transform(F.split(F.btrim(text, F.lit(" \t\r\n")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
     piped = F.filter(lines, lambda x: (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2) & ~x.startswith("`"))
-    return (F.size(piped) >= 3) & F.exists(lines, lambda x: x.rlike(r"^\|[ \t\-:|]+\|$"))
+    return (F.size(piped) >= 3) & F.exists(lines, lambda x: x.rlike(TABLE_RULE))
 
 
 def clean_questions(text: Column) -> Column:
     """One question per line, list marks stripped, those of 5 characters or fewer dropped."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^[0-9.\-) ]+", ""))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), LIST_MARK, ""))
     return F.filter(lines, lambda x: F.length(x) > 5)
 
 
 def front_matter(text: Column) -> Column:
     """Map of the ``key: value`` lines between leading ``---`` lines, the last of a key; empty without them."""
-    block = F.regexp_extract(text, r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)
+    block = F.regexp_extract(text, FRONT_MATTER, 1)
     lines = F.filter(F.split(block, "\n"), lambda x: F.instr(x, ":") > 0)
     entries = F.transform(
         lines,

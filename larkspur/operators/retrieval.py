@@ -103,8 +103,12 @@ def postings(chunks: DataFrame, content: str = "content", ident: str = "chunk_id
 
 
 def save_postings(index: DataFrame, table: str, buckets: int = 256) -> DataFrame:
-    """The postings as a table bucketed and sorted by term; a search reads its terms' buckets only."""
-    index.repartition(buckets, "term").write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
+    """The postings as a table bucketed and sorted by term; a search reads its terms' buckets only.
+
+    A bucket is written by up to four tasks, so that a frequent term isn't one task's work.
+    """
+    bucket, part = F.pmod(F.hash("term"), F.lit(buckets)), F.pmod(F.xxhash64("chunk_id"), F.lit(4))
+    index.repartition(4 * buckets, bucket, part).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
     return index.sparkSession.table(table)
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Extensions by logical type.
 CODE = (
-    ".py .js .ts .jsx .tsx .go .rs .java .rb .c .cpp .h .hpp .swift .kt .scala "
-    ".sh .bash .zsh .r .m .cs .php .lua .zig .nim .ex .exs .clj .hs .ml .vue .svelte"
-).split()
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".rs", ".java", ".rb", ".c", ".cpp", ".h", ".hpp", ".swift", ".kt", ".scala",
+    ".sh", ".bash", ".zsh", ".r", ".m", ".cs", ".php", ".lua", ".zig", ".nim", ".ex", ".exs", ".clj", ".hs", ".ml", ".vue", ".svelte",
+)
 BY_EXTENSION = {
     "pdf": [".pdf"],
     "markdown": [".md", ".mdx"],

@@ -46,3 +46,4 @@ def assert_same(df, con, sql):
     assert sorted(df.columns) == sorted(names)
     want, have = bag(names, found.fetchall()), bag(df.columns, got)
     assert have == want, f"only Spark: {list((have - want).items())[:3]}; only SQL: {list((want - have).items())[:3]}"
+    return got
