@@ -404,13 +404,46 @@ def greedy_pack(d: Demo) -> DataFrame:
     return grouped.select("doc_id", "group_no", "r.first", "r.last")
 
 
-@register()
+_NTOK = r"len(regexp_extract_all({}, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]'))"
+_BLANKS = "' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)"
+#: Children as pieces of sentences with an overlap, a short last one joined to that before, and their parents.
+_CHILDREN = rf"""
+b AS (SELECT doc_id, trim(coalesce(text, ''), {_BLANKS}) AS t FROM documents),
+se AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM b WHERE t <> ''),
+l AS (SELECT doc_id, CASE WHEN {_NTOK.format("t")} <= 300 OR len(ss) = 0 THEN [t] ELSE ss END AS ss FROM se),
+n AS (SELECT doc_id, ss, list_transform(ss, lambda x: {_NTOK.format("x")}) AS ts FROM l),
+w AS (SELECT doc_id, 1 AS i, 1 AS first, ts[1] AS total, 0 AS c FROM n
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN over THEN i + 1 - k ELSE first END, CASE WHEN over THEN coalesce(list_sum(ts[i + 1 - k:i + 1]), 0) ELSE total + ts[i + 1] END, c + over::INT
+  FROM (SELECT w.*, ts, total + ts[i + 1] > 300 AS over,
+          CASE WHEN total + ts[i + 1] > 300 THEN len(list_filter(range(first, i + 1), lambda s: list_sum(ts[s::INT:i]) <= 30)) ELSE 0 END AS k
+        FROM w JOIN n ON n.doc_id = w.doc_id WHERE i < len(ts))),
+ra AS (SELECT doc_id, c, any_value(first) AS first, max(i) AS last FROM w GROUP BY doc_id, c),
+ch AS (SELECT ra.doc_id, c, array_to_string(ss[first:last], ' ') AS child, max(c) OVER (PARTITION BY ra.doc_id) AS top FROM ra JOIN n ON n.doc_id = ra.doc_id),
+ta AS (SELECT doc_id, child FROM ch WHERE c = top AND c > 0 AND {_NTOK.format("child")} < 50),
+jo AS (SELECT ch.doc_id, c, ch.child || CASE WHEN ta.doc_id IS NOT NULL AND c = top - 1 THEN ' ' || ta.child ELSE '' END AS child
+  FROM ch LEFT JOIN ta ON ta.doc_id = ch.doc_id WHERE ta.doc_id IS NULL OR c < top),
+ct AS (SELECT doc_id, list({_NTOK.format("child")} ORDER BY c) AS ts FROM jo GROUP BY doc_id),
+g AS (SELECT doc_id, 0 AS c, ts[1] AS total, 0 AS p FROM ct
+  UNION ALL SELECT g.doc_id, c + 1, CASE WHEN total + ts[c + 2] > 1500 THEN ts[c + 2] ELSE total + ts[c + 2] END, p + (total + ts[c + 2] > 1500)::INT FROM g JOIN ct ON ct.doc_id = g.doc_id WHERE c + 1 < len(ts)),
+pa AS (SELECT g.doc_id, p, string_agg(child, ' ' ORDER BY g.c) AS parent FROM g JOIN jo ON jo.doc_id = g.doc_id AND jo.c = g.c GROUP BY g.doc_id, p)"""
+
+
+@register(f"""WITH RECURSIVE {_CHILDREN}
+SELECT g.doc_id, g.p::INT AS parent_index, g.c::INT AS child_index, {_NTOK.format("child")}::INT AS child_tokens, {_NTOK.format("parent")}::INT AS parent_tokens, md5(child) AS child_md5, md5(parent) AS parent_md5
+FROM g JOIN jo ON jo.doc_id = g.doc_id AND jo.c = g.c JOIN pa ON pa.doc_id = g.doc_id AND pa.p = g.p""")
 def chunk_children(d: Demo) -> DataFrame:
     out = packing.chunk_hierarchy(d.table("documents").select("doc_id", "text"))
     return out.select("doc_id", "parent_index", "child_index", "child_tokens", "parent_tokens", F.md5("child").alias("child_md5"), F.md5("parent").alias("parent_md5"))
 
 
-@register()
+@register(r"""
+WITH p AS (SELECT n_nationkey::VARCHAR AS file_id, unnest([
+  {'part': 0, 'class_name': NULL, 'function_name': NULL, 'content': 'import os', 'prefix': 'File: a.py'},
+  {'part': 1, 'class_name': NULL, 'function_name': 'f' || n_nationkey, 'content': '@wrap' || chr(10) || 'def f' || n_nationkey || '(x):' || chr(10) || '    return x', 'prefix': 'File: a.py | Function: f' || n_nationkey},
+  {'part': 2, 'class_name': 'K', 'function_name': 'm', 'content': '    def m(self):' || chr(10) || '        pass', 'prefix': 'File: a.py | Class: K | Function: m'},
+  {'part': 3, 'class_name': 'K', 'function_name': 'n', 'content': '    async def n(self):' || chr(10) || '        pass', 'prefix': 'File: a.py | Class: K | Function: n'},
+  {'part': 4, 'class_name': NULL, 'function_name': NULL, 'content': 'X = 1', 'prefix': 'File: a.py'}]) AS x FROM nation)
+SELECT file_id, x.part AS part, x.class_name AS class_name, x.function_name AS function_name, x.content AS content, x.prefix AS prefix FROM p""")
 def chunk_python_code(d: Demo) -> DataFrame:
     code = F.concat(F.lit("import os\n\n@wrap\ndef f"), F.col("n_nationkey").cast("string"), F.lit("(x):\n    return x\n\nclass K:\n    def m(self):\n        pass\n\n    async def n(self):\n        pass\n\nX = 1\n"))
     made = d.table("nation").select(F.col("n_nationkey").alias("file_id"), F.lit("a.py").alias("filename"), code.alias("content"))
@@ -639,7 +672,9 @@ def newest_files(d: Demo) -> DataFrame:
     return out.select("file_id", "status", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
-@register()
+@register(f"""WITH RECURSIVE {_CHILDREN}
+SELECT d.doc_id::VARCHAR AS file_id, CASE WHEN count(g.c) > 0 THEN 'ready' ELSE 'failed' END AS status, nullif(count(g.c), 0) AS n_chunks
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id""")
 def stream_ingest(d: Demo) -> DataFrame:
     """Documents through the streaming path: chunk counts and final status per file."""
     from larkspur.sources.scratch import new_folder
