@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected_components
 from larkspur.llm.simhash import Forest
-from larkspur.llm.workspace import join_by_hot, written
+from larkspur.llm.workspace import forget, join_by_hot, united, written
 
 TILE = 1024
 
@@ -212,10 +212,8 @@ def node_links(nodes: DataFrame, threshold: float = 0.98, pivots: int = 256, pre
         cells = here.select("node", "label", "dim", "v", "w", "near", "p.pivot", "p.salt", F.explode("p.meets").alias("m"))
         dealt = cells.select("*", "m.low", "m.high").drop("m").repartition(tasks, *KEY).sortWithinPartitions(*KEY)
         found.append(written(dealt.mapInPandas(_comparer(shared, threshold), shape), "pivot-links"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    forget(described, sizes, placed)
+    return united(found)
 
 
 def near_duplicates(
@@ -246,7 +244,9 @@ def near_duplicates(
     named = written(named.withColumn("component", F.coalesce("component", "node")), "pivot-members")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = named.join(lowest, "component").select(*keys, "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("w").alias("n"))
-    linked = join_by_hot(known.select("id", *keys), written(classes, "pivot-classes"), keys).select("id", "n_links", "component_id")
+    classes = written(classes, "pivot-classes")
+    forget(nodes, named, *([found] if hasattr(found, "scratch") else []))
+    linked = join_by_hot(known.select("id", *keys), classes, keys).select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     every = linked.unionByName(alone)
     return every.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
