@@ -38,7 +38,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.workspace import forget, join_by_hot, written
+from larkspur.llm.workspace import forget, join_by_hot, united, written
 
 SCALE = 1_000_000_000
 MAX_ROUNDS = 64
@@ -67,11 +67,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, df) in held.items():
             names = list(n)
+            columns = [pa.array(names, pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array(list(map(df.__getitem__, names)), pa.int64())]
+            columns = [pa.repeat(pa.scalar(x, pa.string()), len(names)) for x in (lang, source)] + columns
+            whole = pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "df"])
             for at in range(0, len(names), 10_000):
-                part = names[at : at + 10_000]
-                columns = [pa.array([x] * len(part), pa.string()) for x in (lang, source)]
-                columns += [pa.array(part, pa.binary()), pa.array([n[t] for t in part], pa.int64()), pa.array([df[t] for t in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "df"])
+                yield whole.slice(at, 10_000)
 
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -232,22 +232,26 @@ class Audit:
     def __init__(self, docs: DataFrame, min_docs: int, bucket_terms: int, block_groups: int) -> None:
         empty = F.lit("")
         named = docs.select(*[F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("lang", "source", "text")])
-        counts = written(count_terms(named), "divergence-counts")
-        kept = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).where(F.col("df") >= min_docs)
-        kept = written(kept.drop("df"), "divergence-kept")
+        # One shuffle by term says which terms are kept and numbers their rows; only kept terms go on.
+        by_term = Window.partitionBy("lang", "term")
+        summed = {"df": F.sum("df").over(by_term), "count": F.sum("n").over(by_term), "first": F.row_number().over(by_term.orderBy("source")) == 1}
+        kept = count_terms(named).withColumns(summed).where(F.col("df") >= min_docs)
+        kept = written(kept.select("lang", "source", "term", F.col("n").alias("here"), "count", "first"), "divergence-kept")
         langs = named.select("lang", "source").distinct()
-        size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("whole_n"))
+        size = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("here").alias("whole_n"))
         buckets = F.greatest(F.lit(1), F.ceil(F.col("v") / bucket_terms)).cast("long")
         size = written(size.withColumn("buckets", buckets), "divergence-sizes")
-        by_bucket = Window.partitionBy("lang", "bucket").orderBy("term")
-        placed = join_by_hot(kept.withColumnRenamed("n", "count"), size.select("lang", "buckets", F.col("v").alias("n")), ["lang"])
-        placed = placed.withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")))
-        tid = (F.row_number().over(by_bucket) - 1).cast("long")
-        self.dictionary = written(placed.select("lang", "bucket", "term", "count", tid.alias("tid")), "divergence-dictionary")
-        here = counts.drop("df").join(self.dictionary.drop("count"), ["lang", "term"])
-        pairs = F.sort_array(F.collect_list(F.struct("tid", "n")))
-        cells = here.groupBy("lang", "source", "bucket").agg(pairs.alias("cells"), F.sum("n").alias("n"))
+        # A language may hold most terms, so sizes meet them by broadcast.
+        placed = join_by_hot(kept, size.select("lang", "buckets", F.col("v").alias("n")), ["lang"])
+        tid = (F.dense_rank().over(Window.partitionBy("lang", "bucket").orderBy("term")) - 1).cast("long")
+        numbered = placed.withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets"))).withColumn("tid", tid)
+        numbered = written(numbered.select("lang", "source", "bucket", "tid", "term", "here", "count", "first"), "divergence-numbered")
+        forget(kept)
+        self.dictionary = written(numbered.where("first").select("lang", "bucket", "term", "count", "tid"), "divergence-dictionary")
+        pairs = F.sort_array(F.collect_list(F.struct("tid", F.col("here").alias("n"))))
+        cells = numbered.groupBy("lang", "source", "bucket").agg(pairs.alias("cells"), F.sum("here").alias("n"))
         cells = written(cells.select("lang", "source", "bucket", "n", _pack("cells").alias("blob")), "divergence-cells")
+        forget(numbered)
         totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))
         by_lang = Window.partitionBy("lang").orderBy("source")
         g = (F.row_number().over(by_lang) - 1).cast("long")
@@ -271,7 +275,7 @@ class Audit:
             F.coalesce(F.max("whole_n"), zero).alias("whole_n"),
         )
         self.blocks = written(blocks, "divergence-blocks")
-        forget(counts, kept, cells)
+        forget(size, cells)
 
     def resident(self) -> DataFrame:
         """The blocks, dealt by key once and held on disk; a lost part is read from the table again."""
@@ -290,10 +294,8 @@ class Audit:
             meet = one_round(resident, self.blocks, turn).withColumn("whole", F.lit(None).cast("binary"))
             found.append(written(meet.select(*columns).mapInArrow(_meet(top), SUMS), "divergence-round"))
         resident.unpersist()
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out
+        forget(self.blocks, self.whole)
+        return united(found)
 
 
 def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, bucket_terms: int = 8192, block_groups: int = 4) -> DataFrame:
