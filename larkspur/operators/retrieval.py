@@ -82,7 +82,7 @@ def text_hits(rows: DataFrame, query: str, k: int = 50, ident: str = "chunk_id")
 def text_search(scoped: DataFrame, query: str, k: int = 50, content: str = "content", ident: str = "chunk_id") -> DataFrame:
     """Texts with every term of the query, by summed BM25 over the scope's statistics."""
     hits = text_hits(measured(scoped, query, ident=ident, content=content), query, k, ident)
-    return scoped.join(F.broadcast(hits), ident).select(*scoped.columns, "score")  # at most k hits
+    return top_hits(scoped.join(F.broadcast(hits), ident).select(*scoped.columns, "score"), k, ident)  # at most k hits
 
 
 def _occurrences(term: str) -> Column:

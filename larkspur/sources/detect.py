@@ -30,7 +30,7 @@ def extension(filename: Column) -> Column:
 def content_type(filename: Column, mime: Column) -> Column:
     """Notebook, then code, then other extensions, then MIME parts, then text."""
     ext, mime = extension(filename), F.coalesce(mime, F.lit(""))
-    out = F.when(ext == ".ipynb", "notebook").when(ext.isin(CODE), "code")
+    out = F.when(ext == ".ipynb", "notebook").when(ext.isin(*CODE), "code")
     for name, extensions in BY_EXTENSION.items():
         out = out.when(ext.isin(extensions), name)
     for part, name in BY_MIME:

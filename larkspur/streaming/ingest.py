@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,7 +74,7 @@ class _Limited:
     """Runs a job under a limit of seconds; past it, the job is cancelled and fails."""
 
     def __init__(self, spark: SparkSession, limit: float) -> None:
-        self.context, self.limit, self.group, self.late = spark.sparkContext, limit, f"ingest-{uuid.uuid4().hex}", False
+        self.spark, self.context, self.limit, self.group, self.late = spark, spark.sparkContext, limit, f"ingest-{uuid.uuid4().hex}", False
 
     def __enter__(self) -> _Limited:
         self.before = self.context.getLocalProperty("spark.jobGroup.id")
@@ -89,6 +90,26 @@ class _Limited:
     def __exit__(self, *error) -> None:
         self.timer.cancel()
         self.context.setLocalProperty("spark.jobGroup.id", self.before)
+        if self.late:
+            _settle(self.spark)
+
+
+def _settle(spark: SparkSession, quiet: int = 3, most: int = 40) -> None:
+    """Small Python jobs until ``quiet`` of them have run in a row.
+
+    A cancelled task may leave a Python worker half closed to the next one, which then fails.  With one try a
+    task, as on a local master, that would be another job's failure.
+    """
+    rows = spark.range(0, 64, 1, 2 * spark.sparkContext.defaultParallelism)
+    done = 0
+    for _ in range(most):
+        try:
+            rows.mapInPandas(lambda batches: batches, rows.schema).write.format("noop").mode("overwrite").save()
+            done += 1
+        except Py4JJavaError:
+            done = 0
+        if done == quiet:
+            return
 
 
 def isolated(batch: DataFrame, chunk: Callable[[DataFrame], DataFrame], limit: float = 900, depth: int = 40) -> tuple[list[DataFrame], list[tuple[str, str]]]:
