@@ -682,7 +682,7 @@ def stream_ingest(d: Demo) -> DataFrame:
 
     spark = d.spark
     base = new_folder(spark, "stream")
-    d.files().select(F.col("file_id").cast("string"), "content", F.lit("pending").alias("status")).write.parquet(f"{base}/in")
+    d.files().select(F.col("file_id").cast("string"), "content", F.lit("pending").alias("status")).write.option("maxRecordsPerFile", 2000).parquet(f"{base}/in")
     query = ingest(spark, f"{base}/in", "file_id string, content string, status string", f"{base}/out", f"{base}/state")
     query.awaitTermination()
     chunks = spark.read.parquet(f"{base}/out/chunks").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks"))

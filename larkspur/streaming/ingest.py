@@ -19,13 +19,15 @@ from larkspur.sources.scratch import written
 from larkspur.sources.versioned import Store, append, delete, merge, replace
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files_per_batch: int = 3):
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, bytes_per_batch: int = 4 << 30):
     """Chunk pending files as they come and publish them: chunks first, then the ready marker.
 
     Each batch writes to its own folder, replaced if the batch is run again, so
-    a restart neither loses nor repeats rows.  Returns the started query.
+    a restart neither loses nor repeats rows.  A batch is bounded by its bytes, not by a number of
+    files, so it has work for all executors and the number of batches doesn't follow that of
+    files.  Returns the started query.
     """
-    pending = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).where("status = 'pending'")
+    pending = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source).where("status = 'pending'")
 
     def publish(batch: DataFrame, number: int) -> None:
         chunks = chunk_hierarchy(batch.select("file_id", F.col("content").alias("text")))
