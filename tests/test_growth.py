@@ -2,9 +2,11 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import retrieval
+import larkspur.queries as library
+from larkspur.operators import many, retrieval
 from larkspur.operators.packing import chunk_hierarchy, longer
 from larkspur.operators.text_index import blocks_of
 from larkspur.streaming.ingest import ingest
@@ -71,3 +73,33 @@ def test_blocks_hold_what_follows_by_weight(spark):
         weights = [d["tf"] / (0.25 + 0.75 * d["dl"] / 15.0) for d in r["docs"]]
         assert abs(min(weights) - r["low"]) < 1e-12 and abs(max(weights) - r["high"]) < 1e-12
     assert len({r["__bucket"] for r in got if r["term"] == "hot"}) == 1
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["many_hybrid", "kb_compile_links"])
+def test_joined_chunks_are_written_before_they_are_scanned(spark, sf_dir, monkeypatch, name):
+    def seen(queries, chunks, **options):
+        raise Seen(chunks._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(many, "search_texts", seen)
+    with pytest.raises(Seen) as told:
+        library.queries()[name](spark, sf_dir)
+    assert "Relation" in str(told.value) and "Join" not in str(told.value)
+
+
+def test_statistics_of_texts_without_terms(spark):
+    """They come from the postings, and texts without terms still count."""
+    given = []
+    texts = spark.createDataFrame([(1, "a b a", [1.0]), (2, "!", [1.0]), (3, None, None)], "chunk_id long, content string, embedding array<double>")
+    asked = spark.createDataFrame([(0, "a", [1.0])], "query_id long, query string, vector array<double>")
+    whole = many.search_many
+    try:
+        many.search_many = lambda q, c, e, n, avgdl, **o: given.append((n, avgdl)) or whole(q, c, e, n, avgdl, **o)
+        assert [r["chunk_id"] for r in many.search_texts(asked, texts).orderBy("rank").collect()] == [1, 2]
+        many.search_texts(asked, texts.where("chunk_id = 3")).collect()
+    finally:
+        many.search_many = whole
+    assert given == [(3, 1.0), (1, 0.0)]
