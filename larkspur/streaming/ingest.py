@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators.packing import chunk_hierarchy
-from larkspur.sources.scratch import written
-from larkspur.sources.versioned import Store, append, delete, merge, replace
+from larkspur.sources.scratch import held, written
+from larkspur.sources.versioned import Change, Store, delete, merge, replace
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, bytes_per_batch: int = 4 << 30):
@@ -114,14 +114,16 @@ def _settle(spark: SparkSession, quiet: int = 3, most: int = 40) -> None:
             return
 
 
-def isolated(batch: DataFrame, chunk: Callable[[DataFrame], DataFrame], limit: float = 900, depth: int = 40) -> tuple[list[DataFrame], list[tuple[str, str]]]:
-    """Chunks of the files of ``batch``, and ``file_id, error`` of those that can't be chunked.
+def isolated(
+    batch: DataFrame, chunk: Callable[[DataFrame], DataFrame], stage: Callable[[DataFrame], Change], limit: float = 900, depth: int = 40
+) -> tuple[list[Change], list[tuple[str, str]]]:
+    """Chunks of the files of ``batch``, written by ``stage``, and ``file_id, error`` of those that can't be chunked.
 
     All files are tried together; a part that fails, or takes over ``limit`` seconds, is halved by the hash of
     its ids until the bad file is alone.
     """
     spark = batch.sparkSession
-    made: list[DataFrame] = []
+    made: list[Change] = []
     bad: list[tuple[str, str]] = []
     parts = [(batch, 0)]
     while parts:
@@ -129,7 +131,7 @@ def isolated(batch: DataFrame, chunk: Callable[[DataFrame], DataFrame], limit: f
         watch = _Limited(spark, limit)
         try:
             with watch:
-                made.append(written(chunk(part), "ingest-chunks"))
+                made.append(stage(chunk(part)))
             continue
         except Exception as failed:
             error = f"Ingestion timed out after {limit:g}s" if watch.late else _first_line(failed)
@@ -159,9 +161,8 @@ def ingest_batch(store: Store, batch: DataFrame, number: int, chunk: Callable[[D
     known = store.read("files", manifest=manifest)
     tried = batch.join(known.select("file_id", "tries"), "file_id", "left").select("file_id", (F.coalesce("tries", F.lit(0)) + 1).alias("tries"))
     tried = written(tried, "ingest-files")
-    made, bad = isolated(batch, chunk, limit)
-    chunks = reduce(DataFrame.unionByName, made) if made else None
-    some = chunks.select("file_id").distinct() if chunks is not None else spark.createDataFrame([], "file_id string")
+    made, bad = isolated(batch, chunk, lambda rows: store.staged("chunks", rows), limit)
+    some = reduce(DataFrame.unionByName, [m.rows.select("file_id") for m in made]).distinct() if made else spark.createDataFrame([], "file_id string")
     failed = spark.createDataFrame(bad, "file_id string, error string")
     told = tried.join(some.withColumn("ok", F.lit(True)), "file_id", "left").join(failed, "file_id", "left")
     error = F.when(F.col("ok"), F.lit(None)).otherwise(F.coalesce("error", F.lit("No content")))
@@ -170,8 +171,8 @@ def ingest_batch(store: Store, batch: DataFrame, number: int, chunk: Callable[[D
     states = written(told.select("file_id", status.alias("status"), "tries", error.alias("error")), "ingest-states")
     bases = bases_to_compile(states, store.read("members", manifest=manifest)).withColumn("batch", F.lit(number).cast("long"))
     changes = {"files": merge(states), "triggers": merge(bases), "batches": merge(spark.createDataFrame([(number,)], "batch long"))}
-    if chunks is not None:  # chunks of a file that is read again take the place of the old ones
-        changes["chunks"] = [delete(some), append(chunks)]
+    if made:  # chunks of a file that is read again take the place of the old ones; those of new files touch no bucket
+        changes["chunks"] = [delete(some.join(known, "file_id", "left_semi")), *made]
     store.commit(changes, f"batch {number}", onto=manifest["version"])
     return True
 
@@ -195,6 +196,7 @@ def ingest_into(store: Store, pending: DataFrame, checkpoint: str, chunk: Callab
     once = pending.withWatermark("created_at", within).dropDuplicatesWithinWatermark(["file_id"])
 
     def run(batch: DataFrame, number: int) -> None:
-        ingest_batch(store, written(batch, "ingest-batch"), number, chunk, limit)
+        with held(batch, "ingest-batch") as rows:
+            ingest_batch(store, rows, number, chunk, limit)
 
     return once.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
